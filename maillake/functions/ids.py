@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .clean import SPACE, as_col, strip
+from .clean import as_col, strip
 
 
 def extract_ids(value: Column | str) -> Column:
@@ -21,8 +21,8 @@ def first_id(value: Column | str) -> Column:
 
 def canonical_id(value: Column | str) -> Column:
     """Trimmed, lower-cased, without one leading ``<`` and one trailing ``>``; null when blank."""
-    bare = F.regexp_replace(F.lower(strip(value)), rf"\A<|>[{SPACE}]*\z", "")
-    return F.when(bare != "", bare)
+    bare = F.regexp_replace(F.lower(strip(value)), r"\A<|>\z", "")
+    return F.get(F.regexp_extract_all(bare, F.lit(r"(?s)\A.+\z"), F.lit(0)), F.lit(0))
 
 
 def header_id(value: Column | str) -> Column:

@@ -27,7 +27,7 @@ def sanitize_filename(value: Column | str) -> Column:
     """A safe file name; blank or null becomes ``attachment``. Encoded words must be decoded before."""
     safe = F.regexp_replace(as_col(value), r'[/\\:*?"<>|\r\n\t]+', "_")
     bare = F.btrim(strip(safe), F.lit("."))
-    name = F.when(bare != "", bare).otherwise(F.lit("attachment"))
+    name = F.coalesce(F.regexp_replace(bare, r"\A\z", "attachment"), F.lit("attachment"))
     cut = F.concat(F.left(base_name(name), F.lit(BASE_KEPT)), F.lit("_trunc"), F.left(extension(name), F.lit(EXT_KEPT)))
     return F.when(F.length(name) > MAX_NAME, cut).otherwise(name)
 

@@ -24,7 +24,7 @@ def requested(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def list_mailboxes(raw: DataFrame) -> DataFrame:
-    """Distinct mailboxes in name order positions."""
+    """Distinct mailboxes; on a table partitioned by mailbox only the partition values are read."""
     return raw.select("mailbox").distinct()
 
 
@@ -59,7 +59,7 @@ def profile(raw: DataFrame, names: DataFrame, readable: DataFrame | None = None)
 def preview(names: DataFrame, first: int = PREVIEW) -> DataFrame:
     """Number of mailboxes, and the first few names joined by commas."""
     total = names.agg(F.count(F.lit(1)).alias("mailboxes"), F.lit(None).cast("string").alias("preview"))
-    head = names.orderBy("mailbox_ord").limit(first)
+    head = names.orderBy("mailbox_ord", "mailbox").limit(first)
     ordered = F.array_sort(F.collect_list(F.struct("mailbox_ord", "mailbox")))
     text = F.array_join(F.transform(ordered, lambda e: e["mailbox"]), ",")
     shown = head.agg(F.lit(None).cast("long").alias("mailboxes"), text.alias("preview"))

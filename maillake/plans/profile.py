@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import mailboxes
 from ..sources import messages
@@ -14,7 +15,7 @@ def mailbox_profile(
     """Counts per mailbox and the summary row. Without ``names`` every mailbox of the table is profiled."""
     raw = messages.read_raw(spark, path, form)
     if names is None:
-        # A directory of mailboxes, as a mail server lists it: its size is that of the account, not of the mail.
-        names = sorted(r["mailbox"] for r in mailboxes.list_mailboxes(raw).collect())
-    wanted = mailboxes.requested(spark, names)
+        wanted = mailboxes.list_mailboxes(raw).withColumn("mailbox_ord", F.lit(0))
+    else:
+        wanted = mailboxes.requested(spark, names)
     return mailboxes.profile(raw, wanted), mailboxes.preview(wanted)
