@@ -45,7 +45,7 @@ def normalize_addresses(spark, sf_dir):
     from faces where canonical is not null group by all""",
 )
 def documents_contact_addresses(spark, sf_dir):
-    tokens = views.table(spark, sf_dir, "documents").select(F.explode(address.emails_in_text("text")).alias("token"))
+    tokens = views.spread(views.table(spark, sf_dir, "documents").select("text")).select(F.explode(address.emails_in_text("text")).alias("token"))
     faces = tokens.select(address.canonical_email("token").alias("canonical")).where("canonical is not null")
     counted = faces.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses"))
     return counted.withColumn("masked", privacy.mask_email("canonical"))
@@ -155,7 +155,7 @@ for _name, _column, _sql in (
     f"""with {sqltext.ROLES} select uid_n, sender, recipient, customer, agent, conversation_id from keyed""",
 )
 def role_messages(spark, sf_dir):
-    found = people.with_conversation_id(views.headers(spark, sf_dir), views.AGENCY)
+    found = people.with_roles(views.headers(spark, sf_dir), views.AGENCY)
     return found.select(
         "uid_n",
         F.col("from_email_normalized").alias("sender"),
@@ -175,12 +175,12 @@ def role_messages(spark, sf_dir):
     from keyed where conversation_id is not null group by conversation_id""",
 )
 def pair_conversations(spark, sf_dir):
-    found = people.with_conversation_id(views.headers(spark, sf_dir), views.AGENCY)
+    found = people.with_roles(views.headers(spark, sf_dir), views.AGENCY)
     return analytics.conversations(found)
 
 
 def _enriched(spark, sf_dir, **options):
-    found = people.with_conversation_id(views.headers(spark, sf_dir), views.AGENCY)
+    found = people.with_roles(views.headers(spark, sf_dir), views.AGENCY)
     return enrich.with_customer_id(found, views.crm(spark, sf_dir), "acme", **options)
 
 
@@ -280,7 +280,7 @@ def participants(spark, sf_dir):
     group by all""",
 )
 def conversation_participants(spark, sf_dir):
-    found = people.with_conversation_id(views.headers(spark, sf_dir), views.AGENCY)
+    found = people.with_roles(views.headers(spark, sf_dir), views.AGENCY)
     return analytics.conversation_participants(people.with_participants(found))
 
 
@@ -307,5 +307,5 @@ def document_json_keys(spark, sf_dir):
     """JSON quoting of whole texts, as used for hashed keys."""
     from maillake.functions.jsontext import quoted
 
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.sha2(quoted("text"), 256).alias("key_hash"), F.length("text").cast("long").alias("chars"))

@@ -79,7 +79,7 @@ def header_blocks(spark, sf_dir):
     f"""{RAW}, parts as (
         select page_id, 1 as part_index, v in (0, 1, 2, 3, 6) as is_multipart,
             case v when 1 then 'multipart/alternative' when 4 then 'text/html' when 5 then 'text/plain' else 'multipart/mixed' end as content_type,
-            case when v = 4 then octet_length(encode(html)) when v = 5 then 2 end as size from raw where v < 7
+            case when v = 4 then octet_length(encode(html)) when v = 5 then 0 end as size from raw where v < 7
         union all select page_id, 2, v = 3, case v when 0 then 'text/html' when 3 then 'message/rfc822' when 6 then 'application/pdf' else 'text/plain' end,
             case when v in (0, 6) then octet_length(encode(html)) when v in (1, 2) then octet_length(encode(url)) end from raw where v in (0, 1, 2, 3, 6)
         union all select page_id, 3, false, case when v in (1, 2) then 'text/html' else 'text/plain' end,

@@ -49,12 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over the cores when it has fewer partitions than there are; a large scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def mail_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [f"{sql.replace('STR', 'string')} as {name}" for name, sql in MAIL_COLUMNS.items()]
-    return table(spark, sf_dir, "orders").selectExpr(*columns)
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*columns)
 
 
 def mail_sql(*names: str) -> str:

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from .clean import as_col
 
-_SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+_SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 
 
 def quoted(value: Column | str) -> Column:
     """A JSON string literal: control characters escaped in lower-case hex, other text kept."""
     text = as_col(value)
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = plain
+    usual = text
+    for char, escape in _SHORT.items():
+        usual = F.replace(usual, F.lit(char), F.lit(escape))
+    rare = usual
     for code in range(32):
-        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(_SHORT.get(code, f"\\u{code:04x}")))
-    body = F.when(text.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain)
+        if chr(code) not in _SHORT:
+            rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    body = F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(usual)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .address import canonical_email, email_domain
+from .address import address_facts, email_domain, lowered
 from .clean import as_col, strip
 
 ADDRESS_LIST = "array<struct<name:string,email:string>>"
@@ -42,11 +42,13 @@ def recipients(to: Column | str, cc: Column | str, bcc: Column | str) -> Column:
 def people(addresses: Column | str, domains: Iterable[str]) -> Column:
     """Address list -> array<struct<raw, agency, canonical>>, same order."""
     allowed = list(domains)
-    raw = F.transform(as_col(addresses), lambda a: F.coalesce(strip(a["email"]), F.lit("")))
+    facts = address_facts(F.transform(as_col(addresses), lambda a: lowered(a["email"])))
     return F.transform(
-        raw,
-        lambda r: F.struct(
-            r.alias("raw"), is_agency(r, allowed).alias("agency"), canonical_email(r).alias("canonical")
+        facts,
+        lambda f: F.struct(
+            f["raw"].alias("raw"),
+            ((f["domain"] != "") & f["domain"].isin(*allowed)).alias("agency"),
+            f["canonical"].alias("canonical"),
         ),
     )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import email
 import hashlib
 import re
+from email.headerregistry import HeaderRegistry
 from email.message import Message
-from email.policy import default as POLICY
+from email.policy import EmailPolicy, default
 from email.utils import getaddresses
 
 from ..functions.dates import utc_text
@@ -25,6 +26,40 @@ PLAIN_ID = re.compile(rf"<{_SPEC}>")
 LINE_END = re.compile(r"\r\n|\r|\n")
 
 
+CACHED_HEADERS = 5000
+
+
+class RememberedHeaders(HeaderRegistry):
+    """The standard header classes, with parsed headers kept: the same values recur within and across messages."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.classes: dict[str, type] = {}
+        self.parsed: dict[tuple[str, str], str] = {}
+
+    def __getitem__(self, name: str) -> type:
+        name = name.lower()
+        if name not in self.registry:
+            name = ""
+        if name not in self.classes:
+            self.classes[name] = super().__getitem__(name)
+        return self.classes[name]
+
+    def __call__(self, name: str, value: str) -> str:
+        key = (name, value)
+        header = self.parsed.get(key)
+        if header is None:
+            if len(self.parsed) >= CACHED_HEADERS:
+                self.parsed.clear()
+            header = self.parsed[key] = super().__call__(name, value)
+        return header
+
+
+def parsing_policy() -> EmailPolicy:
+    """The default policy with remembered headers; one per task."""
+    return default.clone(header_factory=RememberedHeaders())
+
+
 def clean(text: str | None) -> str | None:
     """Lone surrogates cannot be stored as UTF-8."""
     return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
@@ -129,7 +164,9 @@ def has_body(parts: list[dict], content_type: str) -> str | None:
     return None
 
 
-def message_values(content: bytes | None, body: bool, keep_payload: bool, html_nodes: bool) -> dict:
+def message_values(
+    content: bytes | None, body: bool, keep_payload: bool, html_nodes: bool, policy: EmailPolicy = default
+) -> dict:
     """Values of one row; a failure fills ``stage`` and ``error`` instead of stopping the job."""
     values: dict = {}
     stage = "scan"
@@ -137,7 +174,7 @@ def message_values(content: bytes | None, body: bool, keep_payload: bool, html_n
         if content is None:
             raise ValueError("no content")
         stage = "parse"
-        message = email.message_from_bytes(content, policy=POLICY)
+        message = email.message_from_bytes(content, policy=policy)
         stage = "headers"
         values |= header_values(message)
         if body:

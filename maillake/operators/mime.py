@@ -14,7 +14,7 @@ from ..functions import ids, names
 from ..functions.clean import is_blank
 from ..functions.html import decoded, without_tags
 from ..functions.subjects import canonical_subject
-from .message_rows import message_values, row_size
+from .message_rows import message_values, parsing_policy, row_size
 
 BATCH_BYTES = 32 * 1024 * 1024
 
@@ -38,13 +38,14 @@ def _parse(raw: DataFrame, body: bool, keep_payload: bool, html_nodes: bool) ->
         return pa.RecordBatch.from_arrays(arrays + new, names=batch.schema.names + [f.name for f in arrow_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        policy = parsing_policy()
         for batch in batches:
             contents = batch.column(batch.schema.get_field_index("content"))
             rest = batch.drop_columns(["content"])
             rows: list[dict] = []
             start = held = 0
             for content in contents:
-                rows.append(message_values(content.as_py(), body, keep_payload, html_nodes))
+                rows.append(message_values(content.as_py(), body, keep_payload, html_nodes, policy))
                 held += row_size(rows[-1])
                 if held >= limit:
                     yield emit(rest, start, rows)

@@ -9,37 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions import conversation, roles
 
-_ROLES = ("from_email_normalized", "customer_email_normalized", "agent_email", "first_recipient_email")
-
-
 def with_roles(df: DataFrame, agency_domains: Iterable[str]) -> DataFrame:
-    """Add sender, customer, agent and first recipient in canonical form.
+    """Add sender, customer, agent and first recipient in canonical form, and ``conversation_id``.
 
-    Needs ``from``, ``to``, ``cc`` and ``bcc``. Each address is normalised once per message.
+    Needs ``from``, ``to``, ``cc`` and ``bcc``. Each address is normalised once per message. The new columns
+    come out of ``inline``, so that a later filter on one of them is applied to the value: filters are
+    pushed through projections by repeating the whole expression, but not through a generator.
+    ``conversation_id`` is null when no pair of addresses can be found.
     """
     everyone = F.concat(F.array("from"), roles.recipients("to", "cc", "bcc"))
     staged = df.withColumn("_people", roles.people(everyone, agency_domains))
     sender = F.get("_people", F.lit(0))
     others = F.slice("_people", F.lit(2), F.size("_people"))
-    return staged.withColumns(
+    found = staged.withColumns(
         {
-            "from_email_normalized": sender["canonical"],
-            "customer_email_normalized": roles.customer_email(sender, others),
-            "agent_email": roles.agent_email(sender, others),
-            "first_recipient_email": roles.first_recipient(others),
+            "_sender": sender["canonical"],
+            "_customer": roles.customer_email(sender, others),
+            "_agent": roles.agent_email(sender, others),
+            "_recipient": roles.first_recipient(others),
         }
-    ).drop("_people")
-
-
-def with_conversation_id(df: DataFrame, agency_domains: Iterable[str], keep_roles: bool = True) -> DataFrame:
-    """Add ``conversation_id`` (null when no pair of addresses can be found) and the role columns."""
-    keyed = with_roles(df, agency_domains).withColumn(
-        "conversation_id",
-        conversation.pair_id(
-            "customer_email_normalized", "agent_email", "from_email_normalized", "first_recipient_email"
-        ),
     )
-    return keyed if keep_roles else keyed.drop(*[r for r in _ROLES if r != "customer_email_normalized"])
+    record = F.struct(
+        F.col("_sender").alias("from_email_normalized"),
+        F.col("_customer").alias("customer_email_normalized"),
+        F.col("_agent").alias("agent_email"),
+        F.col("_recipient").alias("first_recipient_email"),
+        conversation.pair_id("_customer", "_agent", "_sender", "_recipient").alias("conversation_id"),
+    )
+    return found.select(*df.columns, F.inline(F.array(record)))
 
 
 def with_participants(df: DataFrame) -> DataFrame:

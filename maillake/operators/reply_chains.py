@@ -62,8 +62,11 @@ def thread_roots(
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     scratch = Scratch(headers.sparkSession, "reply-chains")
-    links = headers.select(
-        *order, "message_id", F.col("in_reply_to").alias("parent"), F.get("references", F.lit(0)).alias("first_ref")
+    # The narrow link table is written once: every later step but the last join reads only it.
+    links = scratch.write(
+        headers.select(
+            *order, "message_id", F.col("in_reply_to").alias("parent"), F.get("references", F.lit(0)).alias("first_ref")
+        )
     )
     # Only ids that somebody replies to can lie on a walk. Everyone else is resolved by the last join.
     replied = links.where(F.col("first_ref").isNull() & F.col("parent").isNotNull()).select("parent").distinct()
@@ -93,8 +96,8 @@ def thread_roots(
     known = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("hops").alias("_hops"))
     walk = F.when(F.get("references", F.lit(0)).isNull(), F.col("in_reply_to"))
     walkers = headers.withColumn("_walk", walk)
-    parents = walkers.select("_walk")
-    joined = skew.lookup(walkers, known, "_walk", "_id", list(order), skew.heavy_keys(parents, "_walk", heavy_rows))
+    often = skew.heavy_keys(links.where("first_ref is null"), "parent", heavy_rows)
+    joined = skew.lookup(walkers, known, "_walk", "_id", list(order), often)
     own = F.col("message_id") if mode == "ancestor" else F.lit(None).cast("string")
     root = (
         F.when(F.get("references", F.lit(0)).isNotNull(), F.get("references", F.lit(0)))

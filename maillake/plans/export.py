@@ -32,7 +32,7 @@ def to_export(
 
     ``flags`` and ``provider_thread_id`` are taken along when the raw table had them.
     """
-    keyed = people.with_conversation_id(parsed, agency_domains, keep_roles=False)
+    keyed = people.with_roles(parsed, agency_domains)
     full = enrich.with_customer_id(keyed, crm, tenant, keys)
     if "flags" not in full.columns:
         full = full.withColumn("flags", F.array().cast("array<string>"))
