@@ -186,10 +186,11 @@ def attachment_content_names(spark, sf_dir):
         sha256(min(body)) as stored_hash from files group by 1, 2""",
 )
 def attachment_store(spark, sf_dir):
-    """Written once per content and read back."""
-    path = f"{Scratch(spark, 'attachment-store').root}/store"
-    attachments.write_store(_files(spark, sf_dir, keep_payload=True), path)
-    stored = spark.read.parquet(path).withColumn("prefix", F.left("sha256", F.lit(2)))
+    """All attachments stored with their bytes, then each content once, read back."""
+    scratch = Scratch(spark, "attachment-store")
+    attachments.write_table(_files(spark, sf_dir, keep_payload=True), scratch.path("table"))
+    attachments.write_store(spark.read.parquet(scratch.path("table")), scratch.path("store"))
+    stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.left("sha256", F.lit(2)))
     return stored.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"))
 
 
@@ -270,7 +271,7 @@ def export_records(spark, sf_dir):
 @query("export_ndjson", EXPORT_SQL)
 def export_ndjson(spark, sf_dir):
     """The export written as NDJSON and read back; every line must hold every field, nulls included."""
-    path = f"{Scratch(spark, 'export').root}/messages"
+    path = Scratch(spark, "export").path("messages")
     sinks.write_ndjson(_exported(spark, sf_dir).drop("mailbox_ord", "uid_n"), path)
     read = spark.read.text(path).select(
         F.from_json("value", schemas.EXPORT).alias("record"), F.size(F.json_object_keys("value")).alias("keys")

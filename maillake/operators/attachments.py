@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names
+from . import skew
 from .mime import filename, is_attachment
 
 
@@ -74,17 +75,31 @@ def write_table(attachments: DataFrame, path: str, mode: str = "overwrite") -> N
     attachments.write.mode(mode).parquet(path)
 
 
-def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", lanes: int = 64) -> None:
+def write_store(
+    attachments: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    digits: int = 3,
+    lanes: int = skew.SALTS,
+    heavy_rows: int = skew.HEAVY_ROWS,
+) -> None:
     """Each distinct content once, partitioned by the first two digits of its hash.
 
-    The first step keeps one copy per content and task and spreads a hot content over ``lanes`` tasks, so
-    the second step sees at most ``lanes`` copies of it.
+    ``attachments`` is the stored table of ``write_table``. Contents are moved once, to tasks that own
+    whole hash prefixes of ``digits`` digits, so there are at most 16 ** digits files. A content with very
+    many copies is first reduced in ``lanes`` tasks, so no task ever reads more than ``lanes`` copies left
+    of it.
     """
-    copies = attachments.select("sha256", "size", "payload").withColumn("_lane", F.spark_partition_id() % lanes)
-    some = copies.groupBy("sha256", "_lane").agg(F.first("size").alias("size"), F.first("payload").alias("payload"))
-    once = some.groupBy("sha256").agg(F.first("size").alias("size"), F.first("payload").alias("payload"))
-    prefixed = once.withColumn("prefix", F.left("sha256", F.lit(2)))
-    prefixed.write.mode(mode).partitionBy("prefix").parquet(path)
+    heavy = skew.heavy_keys(attachments, "sha256", heavy_rows)
+    rows = attachments.select(F.left("sha256", F.lit(digits)).alias("_owner"), "sha256", "size", "payload")
+    one = [F.first("size").alias("size"), F.first("payload").alias("payload")]
+    once = rows.where(~F.col("sha256").isin(heavy)).repartition("_owner").groupBy("_owner", "sha256").agg(*one)
+    if heavy:
+        copies = rows.where(F.col("sha256").isin(heavy)).withColumn("_lane", F.spark_partition_id() % lanes)
+        few = copies.groupBy("_owner", "sha256", "_lane").agg(*one)
+        once = once.unionByName(few.groupBy("_owner", "sha256").agg(*one))
+    stored = once.withColumn("prefix", F.left("sha256", F.lit(2))).drop("_owner")
+    stored.write.mode(mode).partitionBy("prefix").parquet(path)
 
 
 def save_files(attachments: DataFrame, folder: str) -> DataFrame:

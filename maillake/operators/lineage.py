@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,16 +23,46 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Names for the tables of one job under the shared folder."""
+    """Tables of one job under the shared folder."""
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
-        self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write and read back: the result has no lineage and known statistics."""
-        path = f"{self.root}/{self.count:03d}"
-        self.count += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+
+class Rounds:
+    """The table of an iterative job: each round adds its rows, apart by whether they are ``done``.
+
+    Both are partition columns, so the settled rows of all rounds and the open rows of the last one are
+    one scan that opens no other files.
+    """
+
+    def __init__(self, scratch: Scratch, name: str) -> None:
+        self.scratch = scratch
+        self.folder = scratch.path(name)
+        self.last = -1
+        self.schema = T.StructType()
+
+    def add(self, df: DataFrame) -> None:
+        self.last += 1
+        self.schema = T.StructType(df.schema.fields + [T.StructField("round", T.IntegerType())])
+        df.write.partitionBy("done").parquet(f"{self.folder}/round={self.last}")
+
+    def _read(self) -> DataFrame:
+        return self.scratch.spark.read.schema(self.schema).parquet(self.folder)
+
+    def open(self) -> DataFrame:
+        """Rows still open after the last round."""
+        return self._read().where(~F.col("done") & (F.col("round") == self.last)).drop("round")
+
+    def state(self) -> DataFrame:
+        """Settled rows of every round and the open rows of the last."""
+        return self._read().where(F.col("done") | (F.col("round") == self.last)).drop("round")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import skew
-from .lineage import Scratch
+from .lineage import Rounds, Scratch
 
 MODES = ("exact", "ancestor")
 
@@ -36,16 +36,6 @@ def _jump(opened: DataFrame, state: DataFrame, heavy: list) -> DataFrame:
     )
 
 
-def _frequency(opened: DataFrame, heavy_rows: int) -> tuple[int, list]:
-    """Number of open ids, and the targets that many of them share."""
-    counts = opened.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("open"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
-    bound = max(heavy_rows, row["open"] * skew.HEAVY_SHARE)
-    if row["top"] < bound:
-        return row["open"], []
-    return row["open"], [r["ptr"] for r in counts.where(F.col("n") >= bound).select("ptr").collect()]
-
-
 def thread_roots(
     headers: DataFrame,
     mode: str = "ancestor",
@@ -66,7 +56,8 @@ def thread_roots(
     links = scratch.write(
         headers.select(
             *order, "message_id", F.col("in_reply_to").alias("parent"), F.get("references", F.lit(0)).alias("first_ref")
-        )
+        ),
+        "links",
     )
     # Only ids that somebody replies to can lie on a walk. Everyone else is resolved by the last join.
     replied = links.where(F.col("first_ref").isNull() & F.col("parent").isNotNull()).select("parent").distinct()
@@ -82,17 +73,17 @@ def thread_roots(
         closed.alias("done"),
         F.when(outside, F.col("parent")).when(closed, F.coalesce("first_ref", top)).alias("root"),
     )
-    table = scratch.write(start)
-    settled, opened = table.where("done"), table.where("not done")
-    remaining, heavy = _frequency(opened, heavy_rows)
-    before = None
+    rounds = Rounds(scratch, "rounds")
+    rounds.add(start)
+    remaining, before = rounds.open().count(), None
     # Distances to a settled id have no gaps, so a round that settles nothing leaves only cycles.
     while remaining and remaining != before:
-        table = scratch.write(_jump(opened, settled.unionByName(opened), heavy))
-        settled, opened = settled.unionByName(table.where("done")), table.where("not done")
-        before = remaining
-        remaining, heavy = _frequency(opened, heavy_rows)
-    roots = settled.unionByName(opened)
+        opened = rounds.open()
+        often = skew.heavy_keys(opened, "ptr", heavy_rows, total=remaining)
+        rounds.add(_jump(opened, rounds.state(), often))
+        remaining, before = rounds.open().count(), remaining
+    # Ids left open have a null root.
+    roots = rounds.state()
     known = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("hops").alias("_hops"))
     walk = F.when(F.get("references", F.lit(0)).isNull(), F.col("in_reply_to"))
     walkers = headers.withColumn("_walk", walk)

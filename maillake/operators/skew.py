@@ -21,13 +21,21 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def heavy_keys(df: DataFrame, key: str, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
-    """Keys holding at least ``share`` of the rows (and ``rows`` of them): at most 1 / share values."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    bound = max(rows, (totals["total"] or 0) * share)
-    if (totals["largest"] or 0) < bound:
+def heavy_keys(
+    df: DataFrame, key: str, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE, total: int | None = None
+) -> list:
+    """Keys holding at least ``share`` of the rows (and ``rows`` of them): at most 1 / share values.
+
+    ``total`` saves the counting where the number of rows is known. ``df`` is read for the counts, so it
+    should be a stored table rather than a long computation.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    total = keyed.count() if total is None else total
+    bound = max(rows, total * share)
+    # A table with fewer rows than the bound cannot hold a heavy key: no grouping then.
+    if total < bound:
         return []
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return [r[key] for r in counts.where(F.col("n") >= bound).select(key).collect()]
 
 
