@@ -79,18 +79,22 @@ def write_store(
     attachments: DataFrame,
     path: str,
     mode: str = "overwrite",
-    digits: int = 3,
+    owner_bytes: int = 1 << 30,
     lanes: int = skew.SALTS,
     heavy_rows: int = skew.HEAVY_ROWS,
 ) -> None:
     """Each distinct content once, partitioned by the first two digits of its hash.
 
-    ``attachments`` is the stored table of ``write_table``. Contents are moved once, to tasks that own
-    whole hash prefixes of ``digits`` digits, so there are at most 16 ** digits files. A content with very
-    many copies is first reduced in ``lanes`` tasks, so no task ever reads more than ``lanes`` copies left
-    of it.
+    ``attachments`` is the stored table of ``write_table``. Contents are moved once, to owners of whole hash
+    prefixes; the prefixes are as long as it takes to leave each owner about ``owner_bytes``, so the store
+    has few files of that size. A content with very many copies is first reduced in ``lanes`` tasks, so
+    that no task has to read all of them.
     """
-    heavy = skew.heavy_keys(attachments, "sha256", heavy_rows)
+    whole = attachments.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    digits = 2
+    while 16**digits * owner_bytes < whole["bytes"]:
+        digits += 1
+    heavy = skew.heavy_keys(attachments, "sha256", heavy_rows, total=whole["rows"])
     rows = attachments.select(F.left("sha256", F.lit(digits)).alias("_owner"), "sha256", "size", "payload")
     one = [F.first("size").alias("size"), F.first("payload").alias("payload")]
     once = rows.where(~F.col("sha256").isin(heavy)).repartition("_owner").groupBy("_owner", "sha256").agg(*one)
