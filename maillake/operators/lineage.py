@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOCAL_FOLDER = "maillake.local.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -17,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="maillake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get(LOCAL_FOLDER, None) or tempfile.mkdtemp(prefix="maillake-")
+    spark.conf.set(LOCAL_FOLDER, folder)
     return folder
 
 
