@@ -48,6 +48,11 @@ def stored_name(filename: Column | str, mailbox: Column | str, uid: Column | str
     return F.concat(base_name(name), suffix, extension(name))
 
 
+def saved_path(folder: str, mailbox: Column | str, stored: Column) -> Column:
+    """Where an attachment is saved: one folder per mailbox, so equal uids of two mailboxes do not collide."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), sanitize_mailbox(mailbox), F.lit("/"), stored)
+
+
 def content_id(value: Column | str) -> Column:
     """Content-ID without its angle brackets; null stays null."""
     text = strip(value)

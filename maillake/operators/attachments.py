@@ -113,8 +113,7 @@ def save_files(attachments: DataFrame, folder: str) -> DataFrame:
     The name is complete and the rename atomic, so a repeated task just writes the same file again. Lazy:
     the files appear when the result is computed.
     """
-    target = F.concat(names.sanitize_mailbox("mailbox"), F.lit("/"), F.col("stored_name"))
-    staged = attachments.withColumn("saved_path", target)
+    staged = attachments.withColumn("saved_path", names.saved_path(folder, "mailbox", F.col("stored_name")))
     kept = [f for f in staged.schema.fields if f.name != "payload"]
 
     def store(path: str, data: bytes) -> str | None:
@@ -131,7 +130,7 @@ def save_files(attachments: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column("saved_path").to_pylist()
-            saved = [store(os.path.join(folder, p), d.as_py() or b"") for p, d in zip(paths, batch.column("payload"))]
+            saved = [store(p, d.as_py() or b"") for p, d in zip(paths, batch.column("payload"))]
             rest = batch.drop_columns(["payload"])
             at = rest.schema.get_field_index("saved_path")
             yield rest.set_column(at, "saved_path", pa.array(saved, pa.string()))

@@ -111,7 +111,7 @@ def drop_repeated(df: DataFrame, keys: tuple[str, ...] = ("mailbox_ord", "uid_n"
         df.where(F.col("message_id").isNotNull())
         .groupBy("message_id")
         .agg(F.min(F.struct(*keys)).alias("_w"))
-        .select(*[F.col(f"_w.{k}").alias(k) for k in keys])
+        .select(*[F.col(f"_w.{k}").alias(k) for k in keys], F.lit(True).alias("_first"))
     )
-    kept = df.where(F.col("message_id").isNotNull()).join(winners, list(keys), "left_semi")
-    return kept.unionByName(df.where(F.col("message_id").isNull()))
+    marked = df.join(winners, list(keys), "left")
+    return marked.where(F.col("message_id").isNull() | F.col("_first")).select(*df.columns)

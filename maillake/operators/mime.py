@@ -79,7 +79,9 @@ def parse_headers(raw: DataFrame) -> DataFrame:
     return _finish_headers(_parse(cut, body=False, keep_payload=False, html_nodes=False))
 
 
-def parse_messages(raw: DataFrame, keep_payload: bool = False, html_mode: str = "nodes") -> DataFrame:
+def parse_messages(
+    raw: DataFrame, keep_payload: bool = False, html_mode: str = "nodes", attachments_dir: str | None = None
+) -> DataFrame:
     """RAW -> one row per message with headers, bodies, attachments and parts, without a shuffle.
 
     The parts stay nested in their message, so choosing the body and listing the attachments needs no
@@ -89,7 +91,7 @@ def parse_messages(raw: DataFrame, keep_payload: bool = False, html_mode: str =
     if html_mode not in ("nodes", "flat"):
         raise ValueError(f"unknown html_mode {html_mode!r}")
     parsed = _finish_headers(_parse(raw, True, keep_payload, html_mode == "nodes"))
-    return choose_body(parsed, html_mode).withColumn("attachments", attachments_of(F.col("parts")))
+    return choose_body(parsed, html_mode).withColumn("attachments", attachments_of(F.col("parts"), attachments_dir))
 
 
 def is_attachment(part: Column) -> Column:
@@ -136,7 +138,14 @@ def filename(part: Column) -> Column:
     return F.when(part["filename_header"].isNotNull(), names.sanitize_filename(part["filename_header"]))
 
 
-def attachments_of(parts: Column) -> Column:
+def planned_path(folder: str | None, name: Column, part_index: Column) -> Column:
+    """The file an attachment of a message (columns ``mailbox`` and ``uid``) is saved as."""
+    if folder is None:
+        return F.lit(None).cast("string")
+    return names.saved_path(folder, "mailbox", names.stored_name(name, "mailbox", "uid", part_index))
+
+
+def attachments_of(parts: Column, folder: str | None = None) -> Column:
     """Parts of a message -> its attachment records, in walk order."""
     return F.transform(
         F.filter(F.coalesce(parts, F.array().cast(T.ArrayType(schemas.PART))), is_attachment),
@@ -145,7 +154,7 @@ def attachments_of(parts: Column) -> Column:
             p["content_type"].alias("content_type"),
             p["size"].alias("size"),
             p["sha256"].alias("sha256"),
-            F.lit(None).cast("string").alias("saved_path"),
+            planned_path(folder, F.coalesce(filename(p), F.lit("")), p["part_index"]).alias("saved_path"),
             names.content_id(p["content_id_header"]).alias("content_id"),
         ),
     )

@@ -14,10 +14,19 @@ HEAVY_ROWS = 1_000_000
 SALTS = 64
 
 
+def _text_of(field: T.StructField) -> Column | None:
+    """The variable-width part of a column as text; None for fixed-width types."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.col(field.name)
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_json(F.struct(field.name))
+    return None
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size, from one pass over the (narrow) table."""
-    texts = [F.col(f.name) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16 * (len(df.columns) + 2)))
+    texts = [t for t in map(_text_of, df.schema.fields) if t is not None]
+    width = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(16 * (len(df.columns) + 2)))
     return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.roles import parse_domains
-from ..operators import analytics, attachments, enrich, mime, people, quality
+from ..operators import analytics, attachments, enrich, mime, people, quality, skew
 from ..sources import messages, side_inputs, sinks
 
 
@@ -79,7 +79,8 @@ class ExportJob:
         raw = messages.read_mailboxes(spark, self.raw_path, self.mailboxes, self.raw_form, self.limit)
         keep = self.attachments_dir is not None
         staging = f"{self.out_path}/staging"
-        mime.parse_messages(raw, keep_payload=keep, html_mode=self.html_mode).write.mode("overwrite").parquet(staging)
+        parsed = mime.parse_messages(raw, keep, self.html_mode, self.attachments_dir)
+        parsed.write.mode("overwrite").parquet(staging)
         good, bad = quality.split_bad_rows(spark.read.parquet(staging))
         bad.write.mode("overwrite").parquet(f"{self.out_path}/quarantine")
         if keep:
@@ -98,16 +99,27 @@ class ExportJob:
         return analytics.messages_per_mailbox(written)
 
     def _save(self, spark: SparkSession, good: DataFrame) -> DataFrame:
-        """Save attachment files and put their paths into the records."""
+        """Save attachment files; the records already name them, so only failures have to be joined back."""
         table = f"{self.out_path}/saved"
         keys = ("mailbox_ord", "mailbox", "uid")
         saved = attachments.save_files(attachments.inventory(good, *keys), self.attachments_dir)
-        saved.select(*keys, "part_index", "saved_path").write.mode("overwrite").parquet(table)
-        # A message has as many entries as attachments, so the list is no larger than the message.
-        entry = F.struct("part_index", "saved_path")
-        paths = spark.read.parquet(table).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_saved"))
-        joined = good.join(paths, list(keys), "left")
-        filled = F.transform(
-            "attachments", lambda a, i: a.withField("saved_path", F.get(F.col("_saved.saved_path"), i))
+        saved.select(*keys, "stored_name", "saved_path").write.mode("overwrite").parquet(table)
+        # A message has no more failed files than attachments, so the list is no larger than the message.
+        failed = spark.read.parquet(table).where("saved_path is null")
+        failed = failed.groupBy(*keys).agg(F.collect_list("stored_name").alias("_failed"))
+        small = skew.measured_bytes(failed) <= skew.BROADCAST_BYTES
+        joined = good.join(F.broadcast(failed) if small else failed, list(keys), "left")
+        name = r"([^/]+)\z"
+        kept = F.transform(
+            "attachments",
+            lambda a: a.withField(
+                "saved_path",
+                F.when(
+                    ~F.coalesce(
+                        F.array_contains("_failed", F.regexp_extract(a["saved_path"], name, 1)), F.lit(False)
+                    ),
+                    a["saved_path"],
+                ),
+            ),
         )
-        return joined.withColumn("attachments", filled).drop("_saved")
+        return joined.withColumn("attachments", kept).drop("_failed")

@@ -125,3 +125,5 @@ def test_measured_bytes_is_an_upper_estimate(spark):
     df = spark.createDataFrame([("a" * 100, "b" * 50), (None, "é")], "x string, y string")
     assert skew.measured_bytes(df) >= 100 + 50 + 2
     assert skew.measured_bytes(df.limit(0)) == 0
+    lists = spark.createDataFrame([(["c" * 70, "d" * 30],)], "x array<string>")
+    assert skew.measured_bytes(lists) >= 100
