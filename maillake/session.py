@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Whole messages travel in Arrow batches, so a batch holds few rows.
+# Whole messages travel in Arrow batches, so a batch is bounded by its bytes.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
 }
 
