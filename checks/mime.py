@@ -182,7 +182,7 @@ def attachment_content_names(spark, sf_dir):
 
 @query(
     "attachment_store",
-    f"""{FILES} select sha256(body) as sha256, substr(sha256(body), 1, 2) as prefix, min(octet_length(encode(body)))::bigint as size,
+    f"""{FILES} select sha256(body) as sha256, substr(sha256(body), 1, 1) as prefix, min(octet_length(encode(body)))::bigint as size,
         sha256(min(body)) as stored_hash from files group by 1, 2""",
 )
 def attachment_store(spark, sf_dir):
@@ -190,7 +190,7 @@ def attachment_store(spark, sf_dir):
     scratch = Scratch(spark, "attachment-store")
     attachments.write_table(_files(spark, sf_dir, keep_payload=True), scratch.path("table"))
     attachments.write_store(spark.read.parquet(scratch.path("table")), scratch.path("store"))
-    stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.left("sha256", F.lit(2)))
+    stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.col("prefix").cast("string"))
     return stored.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"))
 
 

@@ -87,7 +87,7 @@ def parse_dates_utc(spark, sf_dir):
     months = ", ".join(f"'{m}'" for m in MONTHS)
     zones = " ".join(f"when {i} then ' {z}'" for i, z in enumerate(_ZONES))
     days = "case when event_id % 2 = 0 then element_at(array('Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'), dayofweek(ts)) || ', ' else '' end"
-    headers = views.table(spark, sf_dir, "events").selectExpr(
+    headers = views.spread(views.table(spark, sf_dir, "events").select("event_id", "ts")).selectExpr(
         "event_id",
         f"case when event_id % 7 = 6 then 'some day ' || event_id else {days} || day(ts) || ' ' || element_at(array({months}), month(ts)) "
         f"|| ' ' || year(ts) || ' ' || substr(cast(ts as string), 12, 8) || rtrim(case event_id % 7 {zones} end) end as header",

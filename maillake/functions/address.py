@@ -65,7 +65,7 @@ def canonical_email(value: Column | str) -> Column:
 
 def email_domain(value: Column | str) -> Column:
     """Lower-cased text after the first ``@``; empty when there is none. Not validated."""
-    return strip(F.regexp_extract(lowered(value), r"(?s)\A[^@]*@(.*)\z", 1))
+    return F.coalesce(strip(F.get(F.split(lowered(value), "@", 2), F.lit(1))), F.lit(""))
 
 
 def is_valid_email(value: Column | str) -> Column:

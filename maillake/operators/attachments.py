@@ -14,6 +14,9 @@ from ..functions import names
 from . import skew
 from .mime import filename, is_attachment
 
+# Longest hash prefix used as a folder of the content store: 4,096 folders.
+PREFIX_DIGITS = 3
+
 
 def inventory(parsed: DataFrame, *keys: str) -> DataFrame:
     """One row per attachment: message keys, part index, record, stored name and (if kept) the bytes."""
@@ -83,7 +86,7 @@ def write_store(
     lanes: int = skew.SALTS,
     heavy_rows: int = skew.HEAVY_ROWS,
 ) -> None:
-    """Each distinct content once, partitioned by the first two digits of its hash.
+    """Each distinct content once, partitioned by the first digits of its hash.
 
     ``attachments`` is the stored table of ``write_table``. Contents are moved once, to owners of whole hash
     prefixes; the prefixes are as long as it takes to leave each owner about ``owner_bytes``, so the store
@@ -91,7 +94,7 @@ def write_store(
     that no task has to read all of them.
     """
     whole = attachments.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    digits = 2
+    digits = 1
     while 16**digits * owner_bytes < whole["bytes"]:
         digits += 1
     heavy = skew.heavy_keys(attachments, "sha256", heavy_rows, total=whole["rows"])
@@ -102,7 +105,7 @@ def write_store(
         copies = rows.where(F.col("sha256").isin(heavy)).withColumn("_lane", F.spark_partition_id() % lanes)
         few = copies.groupBy("_owner", "sha256", "_lane").agg(*one)
         once = once.unionByName(few.groupBy("_owner", "sha256").agg(*one))
-    stored = once.withColumn("prefix", F.left("sha256", F.lit(2))).drop("_owner")
+    stored = once.withColumn("prefix", F.left("sha256", F.lit(min(digits, PREFIX_DIGITS)))).drop("_owner")
     stored.write.mode(mode).partitionBy("prefix").parquet(path)
 
 
