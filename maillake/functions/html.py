@@ -23,6 +23,10 @@ VOID = {
     "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
 }
 
+# Scripts and styles with their content. The opening tag ends at its first ">": were it allowed to run on,
+# a page cut off inside a script would be searched once for every later ">".
+SCRIPTS = r"(?is)<(script|style)[^>]*+>.*?</\1>"
+
 # Entities decoded without leaving the JVM; &amp; goes last because decoding is a single pass.
 COMMON_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\xa0",
@@ -84,12 +88,19 @@ class _TextNodes(HTMLParser):
 
 
 def text_nodes(document: str | None) -> str:
-    """Text nodes joined by new lines, without scripts and styles; blanks collapsed."""
+    """Text nodes joined by new lines, without scripts and styles; blanks collapsed.
+
+    A document the parser gives up on is read by removing its tags.
+    """
     if not document:
         return ""
     parser = _TextNodes()
-    parser.feed(document)
-    parser.close()
+    try:
+        parser.feed(document)
+        parser.close()
+    except Exception:
+        bare = re.sub(r"<[^>]+>", " ", re.sub(SCRIPTS, "", document))
+        return " ".join(unescape(bare).split())
     parser.flush()
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(parser.nodes))
     return re.sub(r"[ \t]{2,}", " ", text).strip()
@@ -111,10 +122,20 @@ def nodes(document: Column | str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(_text_nodes(text))
 
 
+def without_scripts(document: Column | str) -> Column:
+    return F.regexp_replace(F.coalesce(as_col(document), F.lit("")), SCRIPTS, "")
+
+
 def without_tags(document: Column | str) -> Column:
-    """Scripts and styles removed, every tag a blank. Entities still encoded."""
-    bare = F.regexp_replace(as_col(document), r"(?is)<(script|style).*?>.*?</\1>", "")
-    return F.regexp_replace(bare, r"<[^>]+>", " ")
+    """Every tag a blank. Entities still encoded.
+
+    The text behind the last ``>`` holds no tag. It is set aside, since every ``<`` in it would be searched to
+    its end for nothing.
+    """
+    text = as_col(document)
+    tail = F.substring_index(text, ">", -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    return F.concat(F.regexp_replace(head, r"<[^>]++>", " "), tail)
 
 
 def decoded(bare: Column | str) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import ids, names
 from ..functions.clean import is_blank
-from ..functions.html import decoded, without_tags
 from ..functions.subjects import canonical_subject
 from .message_rows import message_values, parsing_policy, row_size
+from .text import flat_text
 
 BATCH_BYTES = 32 * 1024 * 1024
 
@@ -124,8 +124,7 @@ def choose_body(parsed: DataFrame, html_mode: str = "nodes") -> DataFrame:
     )
     picked = picked.withColumn("_html", F.when(F.col("_plain").isNull(), F.col("_html")))
     if html_mode == "flat":
-        picked = picked.withColumn("html_text", without_tags("_html"))
-        picked = picked.withColumn("html_text", decoded("html_text"))
+        picked = flat_text(picked, "_html", "html_text")
     return picked.withColumns(
         {
             "body_text": F.coalesce("_plain", "html_text", F.lit("")),

@@ -14,6 +14,10 @@ def html_to_text(df: DataFrame, column: str, out: str = "text", mode: str = "nod
         return df.withColumn(out, html.nodes(column))
     if mode != "flat":
         raise ValueError(f"unknown mode {mode!r}")
-    # Two steps, so that the tag removal is computed once although the decoding uses it several times.
-    bare = df.withColumn(out, html.without_tags(F.coalesce(F.col(column), F.lit(""))))
-    return bare.withColumn(out, html.decoded(out))
+    return flat_text(df, column, out)
+
+
+def flat_text(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The ``flat`` mode. Each step uses the one before several times, so each is a column of its own."""
+    stripped = df.withColumn(out, html.without_scripts(column))
+    return stripped.withColumn(out, html.without_tags(out)).withColumn(out, html.decoded(out))

@@ -308,3 +308,24 @@ def test_unknown_html_mode(spark):
 
     with pytest.raises(ValueError):
         html_to_text(spark.createDataFrame([("x",)], "x string"), "x", mode="other")
+
+
+def test_html_cut_off_in_a_script_is_read_in_linear_time(spark):
+    import time
+
+    from maillake.operators.text import html_to_text
+
+    page = "<p>a</p><script>" + "if (x > 1) y();" * 40_000
+    many = "<" * 300_000
+    started = time.time()
+    rows = html_to_text(spark.createDataFrame([(page,), (many,)], "x string"), "x", "y", "flat").collect()
+    assert rows[0]["y"].startswith("a if (x > 1)") and rows[1]["y"] == many
+    assert time.time() - started < 30
+
+
+def test_html_nodes_falls_back_when_the_parser_gives_up(monkeypatch):
+    def refuse(self, data):
+        raise AssertionError("unknown markup")
+
+    monkeypatch.setattr(html._TextNodes, "feed", refuse)
+    assert html.text_nodes("<p>a &amp;\n<b>b</b></p><style>s</style>") == "a & b"
