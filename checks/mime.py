@@ -63,15 +63,19 @@ def parse_headers(spark, sf_dir):
 
 @query(
     "header_blocks",
-    """select page_id as uid_n, (octet_length(encode(html)) > 0) as has_body from pages where page_id % 10 in (0, 1, 2, 3, 4, 6)""",
+    """select page_id as uid_n, (page_id % 10 <> 7) as ends_blank, (page_id % 10 not in (5, 7, 8)) as body_left_out from pages""",
 )
 def header_blocks(spark, sf_dir):
-    """The header scan keeps nothing of the body and loses nothing of the headers."""
-    raw = views.raw_mail(spark, sf_dir).where("uid_n % 10 in (0, 1, 2, 3, 4, 6)")
-    cut = raw.withColumn("block", mime.header_block("content"))
+    """The header scan ends with the first blank line: nothing of the body is kept and no header is lost."""
+    cut = views.raw_mail(spark, sf_dir).withColumn("block", mime.header_block("content"))
     text = F.decode("block", "UTF-8")
     exact = text.endswith("\r\n\r\n") & (F.regexp_count(text, F.lit("\r\n\r\n")) == 1)
-    return cut.select("uid_n", (exact & (F.octet_length("block") < F.octet_length("content"))).alias("has_body"))
+    shorter = F.octet_length("block") < F.octet_length("content")
+    return cut.select(
+        "uid_n",
+        F.coalesce(exact, F.lit(False)).alias("ends_blank"),
+        F.coalesce(shorter, F.lit(False)).alias("body_left_out"),
+    )
 
 
 @query(
@@ -209,17 +213,24 @@ def quarantine_rows(spark, sf_dir):
 @query(
     "header_full_join",
     f"""with src as ({views.mail_sql('uid_n', 'mailbox', 'uid', 'message_id_raw', 'subject_raw')}),
-    headers as (select *, case when uid_n % 6 = 0 then null else 'H ' || subject_raw end as header_subject from src where uid_n % 3 <> 1)
+    headers as (select mailbox, case when uid_n % 3 = 1 then 'x' || uid else uid end as uid, uid_n,
+        case when uid_n % 6 = 0 then null else 'H ' || subject_raw end as header_subject from src)
     select s.uid_n, case when h.uid_n is not null then h.header_subject else s.subject_raw end as subject,
         case when s.uid_n % 4 = 1 then 'known' else trim(lower(s.message_id_raw), '<>') end as conversation_id
-    from src s left join headers h using (mailbox, uid) where s.uid_n % 5 <> 0""",
+    from src s left join headers h using (mailbox, uid)""",
 )
 def header_full_join(spark, sf_dir):
-    """Full messages with separately parsed headers (a third is missing) and some known conversation ids."""
+    """Full messages with separately parsed headers and known conversation ids.
+
+    A third of the header records belong to other uids: they are dropped, and those messages keep their own.
+    """
     mail = views.headers(spark, sf_dir)
-    full = mail.where("uid_n % 5 <> 0").withColumn("conversation_id", F.col("message_id"))
-    headers = mail.where("uid_n % 3 <> 1").withColumn(
-        "subject", F.when(F.col("uid_n") % 6 != 0, F.concat(F.lit("H "), F.col("subject")))
+    full = mail.withColumn("conversation_id", F.col("message_id"))
+    headers = mail.withColumns(
+        {
+            "uid": F.when(F.col("uid_n") % 3 == 1, F.concat(F.lit("x"), F.col("uid"))).otherwise(F.col("uid")),
+            "subject": F.when(F.col("uid_n") % 6 != 0, F.concat(F.lit("H "), F.col("subject"))),
+        }
     )
     known = mail.select(
         "mailbox", "uid", F.when(F.col("uid_n") % 4 == 1, F.lit("known")).otherwise(F.lit("")).alias("conversation_id")
@@ -231,8 +242,8 @@ def header_full_join(spark, sf_dir):
 EXPORT_SQL = f"""{RAW}, good as (select *, 's' || (page_id % 13) || '@shop.example' as customer from raw where v < 7)
 select uid, mailbox, 'p' || page_id || '@mail.example' as message_id,
     sha256('pair:agent@agency.example|' || customer) as conversation_id, customer as customer_email_normalized,
-    case when page_id % 13 = 0 then '' when page_id % 13 < 4 then 'CRM-' || (page_id % 13) else customer end as customer_id,
-    case when page_id % 13 = 0 then null else sha256('customer|acme|' || case when page_id % 13 < 4 then 'CRM-' || (page_id % 13) else customer end) end as session_id,
+    case when page_id % 13 = 0 then '' when page_id % 13 % 2 = 0 then 'CRM-' || (page_id % 13) else customer end as customer_id,
+    case when page_id % 13 = 0 then null else sha256('customer|acme|' || case when page_id % 13 % 2 = 0 then 'CRM-' || (page_id % 13) else customer end) end as session_id,
     'Re: Seite é ' || page_id as subject, 'Seite é ' || page_id as subject_canonical,
     strftime(timestamp '2024-01-14 23:30:00' + to_hours((page_id % 24)::integer), '%Y-%m-%dT%H:%M:%SZ') as date_utc,
     'Sender, ' || page_id as from_name, 2::bigint as recipients, 2::bigint as "references",
@@ -245,8 +256,9 @@ select uid, mailbox, 'p' || page_id || '@mail.example' as message_id,
 def _exported(spark, sf_dir):
     good, _ = quality.split_bad_rows(mime.parse_messages(views.raw_mail(spark, sf_dir)))
     flagged = good.withColumn("flags", F.array(F.lit("\\Seen")))
-    crm = views.table(spark, sf_dir, "customer").where("c_custkey < 4").selectExpr(
-        "'s' || c_custkey || '@shop.example' as email", "case when c_custkey = 0 then '' else 'CRM-' || c_custkey end as customer_id"
+    crm = views.table(spark, sf_dir, "customer").selectExpr(
+        "case when c_custkey % 2 = 0 then 's' else 'lead' end || c_custkey || '@shop.example' as email",
+        "case when c_custkey = 0 then '' else 'CRM-' || c_custkey end as customer_id",
     )
     return export.to_export(flagged, crm, views.AGENCY, "acme", "2024-02-01T00:00:00Z")
 

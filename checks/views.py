@@ -91,17 +91,17 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CRM map of every second customer; some ids are empty."""
-    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(
-        "'cust' || c_custkey || '@shop' || (c_custkey % 20) || '.example' as email",
-        "case when c_custkey % 10 = 0 then '' else 'CRM-' || c_custkey end as customer_id",
-    )
+_CRM = (
+    "case when c_custkey % 2 = 0 then 'cust' else 'lead' end || c_custkey || '@shop' || (c_custkey % 20) || '.example' as email",
+    "case when c_custkey % 10 = 0 then '' else 'CRM-' || c_custkey end as customer_id",
+)
+CRM_SQL = f"select {', '.join(_CRM)} from customer"
 
 
-CRM_SQL = """select 'cust' || c_custkey || '@shop' || (c_custkey % 20) || '.example' as email,
-    case when c_custkey % 10 = 0 then '' else 'CRM-' || c_custkey end as customer_id
-    from customer where c_custkey % 2 = 0"""
+def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRM map: every second customer under the address of its mails; some ids are empty."""
+    return table(spark, sf_dir, "customer").selectExpr(*_CRM)
+
 
 def conv_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply chains: every turn of a conversation answers the turn before."""
