@@ -203,10 +203,10 @@ def crm_enrichment(spark, sf_dir):
 
 
 @query(
-    "crm_enrichment_shuffled",
+    "crm_enrichment_salted",
     f"""with {ENRICHED} select customer as email, customer_id, count(*)::bigint as messages from enriched group by 1, 2""",
 )
-def crm_enrichment_shuffled(spark, sf_dir):
+def crm_enrichment_salted(spark, sf_dir):
     """The same result by the salted join that a CRM map too large to broadcast takes."""
     found = _enriched(spark, sf_dir, broadcast_bytes=0)
     return found.groupBy(F.col("customer_email_normalized").alias("email"), "customer_id").agg(

@@ -29,8 +29,7 @@ def parse_domains_col(text: Column | str) -> Column:
 
 def is_agency(address: Column | str, domains: Iterable[str]) -> Column:
     """True when the address has exactly one of the domains; subdomains do not count."""
-    domain = email_domain(address)
-    return (domain != "") & domain.isin(*domains)
+    return email_domain(address).isin(*[d for d in domains if d])
 
 
 def recipients(to: Column | str, cc: Column | str, bcc: Column | str) -> Column:
@@ -41,13 +40,13 @@ def recipients(to: Column | str, cc: Column | str, bcc: Column | str) -> Column:
 
 def people(addresses: Column | str, domains: Iterable[str]) -> Column:
     """Address list -> array<struct<raw, agency, canonical>>, same order."""
-    allowed = list(domains)
+    allowed = [d for d in domains if d]
     facts = address_facts(F.transform(as_col(addresses), lambda a: lowered(a["email"])))
     return F.transform(
         facts,
         lambda f: F.struct(
             f["raw"].alias("raw"),
-            ((f["domain"] != "") & f["domain"].isin(*allowed)).alias("agency"),
+            f["domain"].isin(*allowed).alias("agency"),
             f["canonical"].alias("canonical"),
         ),
     )
