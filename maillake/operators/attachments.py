@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,7 +123,7 @@ def save_files(attachments: DataFrame, folder: str) -> DataFrame:
     def store(path: str, data: bytes) -> str | None:
         try:
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
+            part = f"{path}.{uuid.uuid4().hex}.part"
             with open(part, "wb") as out:
                 out.write(data)
             os.replace(part, path)
