@@ -111,7 +111,10 @@ def date_buckets(spark, sf_dir):
 
 
 def _bare(tag_free: str) -> str:
-    decoded = f"replace(replace(replace(replace({tag_free}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    """Entities decoded, with or without their semicolon (cut-off titles leave it out), and white space collapsed."""
+    decoded = tag_free
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        decoded = f"regexp_replace({decoded}, '&{name};?', '{char}', 'g')"
     return f"trim(regexp_replace({decoded}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
 
 
