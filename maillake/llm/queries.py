@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, sqltext, url_rules
-from .registry import query
-from .store import scratch, table
+from . import language, mixing, sharding, sqltext, token_files, url_rules
+from .registry import QUERIES, query  # noqa: F401
+from .store import bound_batches, scratch, table
 
 
 @query("op1_mixing", sqltext.MIXING)
@@ -58,3 +58,27 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = docs.withColumn("held_out", language.held_out())
+    model = language.train(apart.where(~F.col("held_out")))
+    told = language.identify(apart.select("doc_id", "held_out", "text"), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    folder = scratch(spark, "token-files").root
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return token_files.read_digests(manifest, folder)
