@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, sharding, sqltext, token_files, url_rules
+from . import language, licenses, mixing, secrets, sharding, sqltext, token_files, url_rules
 from .registry import QUERIES, query  # noqa: F401
 from .store import bound_batches, scratch, table
 
@@ -82,3 +82,34 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files").root
     manifest = token_files.write_shards(table(spark, sf_dir, "documents"), folder, tokenizer_path())
     return token_files.read_digests(manifest, folder)
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    every = F.expr(secrets.in_order("concat(base_spans, layer_spans)"))
+    counts = {
+        f"n_{kind}": F.expr(f"cast(size(filter(base_spans, s -> startswith(s, '{kind}:'))) as long)")
+        for kind in secrets.KINDS
+    }
+    return found.select(
+        "doc_id",
+        *[n.alias(name) for name, n in counts.items()],
+        F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"),
+        "layers",
+        "unscanned",
+    )
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("license_ids"),
+        F.to_json("licenses").alias("findings"),
+    )
