@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, secrets, sharding, sqltext, token_files, url_rules
+from . import language, licenses, mixing, near_dup, secrets, sharding, sqltext, token_files, url_rules
 from .registry import QUERIES, query  # noqa: F401
 from .store import bound_batches, scratch, table
 
@@ -113,3 +113,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("license_ids"),
         F.to_json("licenses").alias("findings"),
     )
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dup.classes(docs, scratch(spark, "near-dup"))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
