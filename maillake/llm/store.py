@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import Scratch
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,3 +37,14 @@ def uniform(*parts: Column | str) -> Column:
     text = F.concat_ws(":", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
     bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return bits / F.lit(float(2**52))
+
+
+def per_process(name: str, make: Callable[[], T]) -> T:
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    Functions reach the workers by value, so what their modules hold lives for one task only.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import io
 import json
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -31,12 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import per_process
+
 END = 0
 SHARD_BYTES = 32 * 1024 * 1024  # of text
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, file string, docs long, ids long, first_key long, last_key long"
-KNOWN_PIECES = 400_000
-KNOWN_LENGTH = 40  # longer pieces are not remembered, so what is remembered is bounded
+KNOWN_PIECES = 400_000  # remembered by a worker, besides those of one round
+KEPT_LENGTH = 9
 ENCODE_CHARS = 1 << 20
 GAMMA = 2.0
 LEVELS = 24
@@ -53,6 +55,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,34 +71,70 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made["added_tokens"])
         )
         self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s | \s|\A | \Z")
-        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        # Bytes that each id stands for: byte-level tokens are written with one character per byte.
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda item: item[1])
+        whole = {t["id"] for t in made["added_tokens"]}
+        self.widths = np.zeros(names[-1][1] + 1 if names else 1, np.int64)
+        for name, number in names:
+            self.widths[number] = len(name.encode()) if number in whole else len(name)
+        self.marks = dict(zip(",.", self._encoded([",", "."])))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _inner(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a blank: encoded as one text and cut where the pieces' bytes end."""
+        text = " " + " ".join(pieces)
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) == 32)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        reached = np.cumsum(self.widths[ids])
+        at = np.searchsorted(reached, blanks[1:])
+        if len(blanks) != len(pieces) or (reached[at] != blanks[1:]).any():
+            return self._encoded([" " + p for p in pieces])
+        data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        bounds = [0, *((at + 1) * width).tolist(), len(data)]
+        return [data[i:j] for i, j in zip(bounds, bounds[1:])]
+
+    def _learn(self, wanted: set[str]) -> set[str]:
+        """Make all wanted pieces known, except odd ones, which are returned: no text is cut at those.
+
+        A blank beside other white space is no place to cut. A comma or full stop behind a letter is a token
+        border, so such a piece is known once its word is.
+        """
+        known = self.known
+        new = wanted.difference(known)
+        odd = {p for p in new if not p or p.strip() != p}
+        ended = [p for p in new - odd if p[-1:] in (",", ".") and p[-2:-1].isalpha()]
+        fresh = new - odd - set(ended)
+        fresh.update({p[:-1] for p in ended}.difference(known, odd))
+        listed = list(fresh)
+        for i in range(0, len(listed), 4096):
+            part = listed[i : i + 4096]
+            known.update(zip(part, self._inner(part)))
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in ended)
+        return odd
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
         if not self.by_piece:
             return self._encoded(texts)
-        cuts = [(self.cut.split(t) if self.odd.search(t) else t.split(" ")) if t else [] for t in texts]
-        known = self.known
+        cuts = [t.split(" ") for t in texts]
         # First pieces have no blank before them, so they are not the same pieces as inside.
-        wanted = {p for pieces in cuts for p in pieces[1:]}
-        new = [p for p in wanted if p not in known]
-        if len(known) + len(new) > KNOWN_PIECES:
-            known.clear()
-            new = list(wanted)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self._encoded([" " + p for p in part])))
-        firsts = self._encoded([pieces[0] if pieces else "" for pieces in cuts])
-        out = [first + b"".join([known[p] for p in pieces[1:]]) for first, pieces in zip(firsts, cuts)]
-        for p in new:
-            if len(p) > KNOWN_LENGTH:
-                del known[p]
-        return out
+        wanted: set[str] = set()
+        for pieces in cuts:
+            wanted.update(pieces[1:])
+        if len(self.known) > KNOWN_PIECES:  # short pieces are the frequent ones
+            self.known = {p: ids for p, ids in self.known.items() if len(p) <= KEPT_LENGTH}
+            if len(self.known) > KNOWN_PIECES // 2:
+                self.known = {}
+        odd = self._learn(wanted)
+        heads = [pieces[0] for pieces in cuts]
+        for i, pieces in enumerate(cuts):
+            if len(pieces) > 1 and (heads[i].strip() != heads[i] or not heads[i] or odd and not odd.isdisjoint(pieces)):
+                heads[i], cuts[i] = texts[i], [""]  # encoded whole
+        get = self.known.__getitem__
+        return [first + b"".join(map(get, pieces[1:])) for first, pieces in zip(self._encoded(heads), cuts)]
 
 
 # -- minimal perfect hash ---------------------------------------------------------------------------
@@ -311,7 +350,7 @@ def write_shards(
         writer = stream = None
         files, base = _place(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
-        encoder = Encoder(tokenizer)
+        encoder = per_process(f"encoder:{tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             for keys, texts in _pieces(batch):
                 if writer is None:
