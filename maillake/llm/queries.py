@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, near_dup, secrets, sharding, sqltext, token_files, url_rules
+from . import (
+    language,
+    licenses,
+    mixing,
+    near_dup,
+    secrets,
+    sharding,
+    sqltext,
+    token_files,
+    url_rules,
+    vector_dup,
+)
 from .registry import QUERIES, query  # noqa: F401
 from .store import bound_batches, scratch, table
 
@@ -121,3 +132,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_dup.classes(docs, scratch(spark, "near-dup"))
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query("op7_vector_duplicates")
+def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dup.near_duplicates(table(spark, sf_dir, "embeddings"), scratch(spark, "vector-dup"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
