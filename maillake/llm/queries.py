@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    decontaminate,
     language,
     licenses,
     mixing,
@@ -138,3 +139,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_dup.near_duplicates(table(spark, sf_dir, "embeddings"), scratch(spark, "vector-dup"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), scratch(spark, "decontaminate"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
