@@ -57,6 +57,17 @@ def sharded(spark: SparkSession, docs: DataFrame, shards: int) -> DataFrame:
     return sharding.place(assigned, sharding.starts_frame(spark, owner, counts), ["doc_id", "text_crc32", "size"])
 
 
+def with_shards(spark: SparkSession, docs: DataFrame, shards: int) -> DataFrame:
+    """The documents with ``virtual_slot`` and ``shard``; only slot and size are read for the map."""
+    slotted = docs.withColumn("virtual_slot", sharding.slot_of())
+    loads, _ = sharding.slot_loads(slotted.select("virtual_slot", sharding.byte_size().alias("size")))
+    owner = sharding.rebalance(sharding.dealt(shards), loads, shards)
+    tables = scratch(spark, "shards")
+    for version, of in enumerate((sharding.dealt(shards), owner)):
+        sharding.save_map(spark, tables.path("slot_map"), of, version)
+    return sharding.assign(slotted, sharding.load_map(spark, tables.path("slot_map"), 1))
+
+
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharded(spark, table(spark, sf_dir, "documents"), 24)
