@@ -37,9 +37,9 @@ END = 0
 SHARD_BYTES = 32 * 1024 * 1024  # of text
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, file string, docs long, ids long, first_key long, last_key long"
-KNOWN_PIECES = 400_000  # remembered by a worker, besides those of one round
-KEPT_LENGTH = 9
-ENCODE_CHARS = 1 << 20
+KNOWN_PIECES = 800_000  # remembered by a worker, besides those of one round
+KEPT_LENGTH = 10
+ENCODE_CHARS = 1 << 21
 GAMMA = 2.0
 LEVELS = 24
 
