@@ -5,8 +5,8 @@ n-grams, says on which side of the bit a text is. The decoder adds, over all bit
 classifier's margin against each codeword, weighted by how good that classifier was in training; the codeword
 with the least loss wins. If the second is almost as near, or none is near, the text is flagged as ambiguous.
 
-Fitting uses a bounded sample of the labelled rows (``PER_LANGUAGE`` expected per language, picked by a hash of the
-key); prediction reads every whole text and nothing but the text.
+Fitting uses a bounded sample of the labelled rows (``PER_LANGUAGE`` expected per language, picked by a hash of key
+and text); prediction reads every whole text and nothing but the text.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; if nothing was learned (no
 labelled row), every text is ``und``; repeated rows get the same answer; an empty table gives an empty one; columns
@@ -111,7 +111,7 @@ def fit(rows: np.ndarray, names: list[str], steps: int = 150, decay: float = 1e-
     w, b = np.zeros((DIMENSIONS, bits), np.float32), np.zeros(bits, np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     rate = 4.0  # rows have length 1, so the curvature is at most 1/4 (and 1/4 for the bias)
-    for _ in range(steps):
+    for _ in range(steps if len(rows) else 0):
         aw, ab = w + 0.9 * vw, b + 0.9 * vb
         pull = balance * y / (1 + np.exp(np.clip(y * (rows @ aw + ab), -30, 30)))
         vw = 0.9 * vw + rate * (rows.T @ pull / n - decay * aw)
@@ -122,15 +122,15 @@ def fit(rows: np.ndarray, names: list[str], steps: int = 150, decay: float = 1e-
     return Model(languages, code, w, b, trust.astype(np.float32))
 
 
-def sample(labelled: DataFrame, key: str, label: str, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, chosen by a hash of their keys."""
+def sample(labelled: DataFrame, key: str, text: str, label: str, per_language: int) -> DataFrame:
+    """About ``per_language`` rows of each language, chosen by a hash of key and text."""
     counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).take(MOST_LANGUAGES + 1)}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col(label) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return labelled.where(draw < share)
 
 
@@ -149,7 +149,7 @@ def train(
                     rows.append(features(value.as_py()).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.binary())], names=["l", "v"])
 
-    chosen = sample(labelled, key, label, per_language).select(text, label)
+    chosen = sample(labelled, key, text, label, per_language).select(text, label)
     found = sorted(tuple(r) for r in chosen.mapInArrow(vectors, "l string, v binary").collect())
     if not found:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])

@@ -1,8 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 ``measure`` counts words, ``plan`` derives from the words per source how often each document is taken, and
-``emit`` repeats the documents. A document is taken floor(rate) times, and once more if a number hashed from
-the seed and its key falls below the fraction of the rate.
+``emit`` repeats the documents. A document is taken floor(rate) times, and once more if a number hashed from a
+seed and its key falls below the fraction of the rate. Few long documents would make a source miss its target by
+chance, so each source uses the one of ``SEEDS`` seeds with which its words come nearest; the words under every seed
+are summed in one aggregation.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; rows with the
 same key get the same number, so repeated rows are taken alike; an empty table gives an empty plan; sources
@@ -22,6 +24,7 @@ from ..operators.skew import lookup_measured
 from .store import uniform
 
 WEIGHTS = (5, 2, 1)
+SEEDS = 16
 MOST = 3  # a target stops at so many times its source's size
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,10 +89,28 @@ def plan(
     )
     added = ("source_size", "target", "rate", "copies")
     keyed = measured.drop(*added).withColumn("_key", _key(F.col(source)))
-    joined = lookup_measured(keyed, rates, "_key", "_rate_key", [key, "size"]).drop("_key")
+    spread = [key, "size"]
+    joined = lookup_measured(keyed, rates, "_key", "_rate_key", spread)
+    chosen = _best_seeds(joined, key, seed)
+    seeded = lookup_measured(joined, chosen, "_key", "_seed_key", spread).drop("_key")
+    draw = uniform(F.col("_seed").cast("string"), F.col(key).cast("string"))
+    return seeded.withColumn("copies", _copies(draw)).drop("_seed")
+
+
+def _copies(draw: Column) -> Column:
     whole = F.floor("rate")
-    extra = (uniform(F.lit(str(seed)), F.col(key).cast("string")) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", whole + extra)
+    return whole + (draw < F.col("rate") - whole).cast("long")
+
+
+def _best_seeds(rated: DataFrame, key: str, seed: int) -> DataFrame:
+    """Per source the seed with which the words taken come nearest to its target; of equals the first."""
+    seeds = range(seed, seed + SEEDS)
+    draws = [uniform(F.lit(str(s)), F.col(key).cast("string")) for s in seeds]
+    sums = [F.sum(F.col("size") * _copies(draw)).alias(f"_s{i}") for i, draw in enumerate(draws)]
+    summed = rated.groupBy("_key").agg(F.first("target").alias("_target"), *sums)
+    misses = F.array(*[F.struct(F.abs(F.col(f"_s{i}") - F.col("_target")), F.lit(s)) for i, s in enumerate(seeds)])
+    best = F.array_min(misses)
+    return summed.select(F.col("_key").alias("_seed_key"), best["col2"].alias("_seed"))
 
 
 def emit(planned: DataFrame) -> DataFrame:

@@ -25,11 +25,18 @@ sized as (
   from limited l left join first_free f on true
 ), rated as (
   select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from rates
+), joined as (
+  select d.*, r.source_size, r.target, r.rate from sized d join rated r on d.source is not distinct from r.source
+), drawn as (
+  select *, floor(rate)::bigint + case when ('0x' || md5(seed || ':' || coalesce(doc_id::varchar, ''))[:13])::bigint::double
+      / 4503599627370496.0::double < rate - floor(rate) then 1 else 0 end as copies
+  from (select *, unnest(range(16)) as seed from joined)
+), misses as (
+  select source, seed, abs(sum(size * copies) - any_value(target)) as miss from drawn group by source, seed
+), seeds as (
+  select source, arg_min(seed, (miss, seed)) as seed from misses group by source
 ), planned as (
-  select d.*, r.source_size, r.target, r.rate,
-    floor(r.rate)::bigint + case when ('0x' || md5('0:' || coalesce(d.doc_id::varchar, ''))[:13])::bigint::double
-      / 4503599627370496.0::double < r.rate - floor(r.rate) then 1 else 0 end as copies
-  from sized d join rated r on d.source is not distinct from r.source
+  select d.* from drawn d join seeds s on d.source is not distinct from s.source and d.seed = s.seed
 )
 """
 
