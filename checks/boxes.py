@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maillake.operators import analytics, mailboxes
+from maillake.operators.lineage import Scratch
+from maillake.plans import profile
 from maillake.sources import messages
 
 from . import views
@@ -118,6 +120,60 @@ def dedup_messages(spark, sf_dir):
     return mailboxes.drop_repeated(keyed).select("uid_n", "mailbox", "message_id")
 
 
+TEXT_UIDS = f"""texts as (select mailbox, mailbox_ord, uid_n as n, case when uid_n % 2 = 0 then uid_n end as uid_n,
+    case when uid_n % 2 = 0 then uid_n::varchar else 'p' || uid_n end as uid,
+    case when uid_n % 10 <> 9 then 'd' || (uid_n // 3) end as message_id from ({views.mail_sql('uid_n', 'mailbox', 'mailbox_ord')}))"""
+
+
+def _text_uids(spark, sf_dir):
+    """Messages of which half have no number as uid."""
+    return views.mail_src(spark, sf_dir).selectExpr(
+        "mailbox",
+        "mailbox_ord",
+        "uid_n as n",
+        "case when uid_n % 2 = 0 then uid_n end as uid_n",
+        "case when uid_n % 2 = 0 then cast(uid_n as string) else 'p' || uid_n end as uid",
+        "case when uid_n % 10 <> 9 then 'd' || (uid_n div 3) end as message_id",
+    )
+
+
+@query(
+    "dedup_messages_text_uids",
+    f"""with {TEXT_UIDS}, ranked as (select *, row_number() over (
+        partition by message_id order by mailbox_ord, uid_n nulls last, uid) as rn from texts)
+    select n, uid, mailbox, message_id from ranked where rn = 1 or message_id is null""",
+)
+def dedup_messages_text_uids(spark, sf_dir):
+    return mailboxes.drop_repeated(_text_uids(spark, sf_dir)).select("n", "uid", "mailbox", "message_id")
+
+
+@query(
+    "limit_per_mailbox_text_uids",
+    f"""with {TEXT_UIDS}, counted as (select *, row_number() over (
+        partition by mailbox order by uid_n nulls last, md5(uid), uid) as rn, count(uid_n) over (partition by mailbox) as numbers from texts)
+    select mailbox, uid from counted where rn <= 2500""",
+)
+def limit_per_mailbox_text_uids(spark, sf_dir):
+    """The limit falls among the text uids of some mailboxes."""
+    return mailboxes.limit_per_mailbox(_text_uids(spark, sf_dir), 2500).select("mailbox", "uid")
+
+
+@query(
+    "mailbox_profile_landed",
+    f"""with src as ({SRC}), counts as (select mailbox, count(*) as n from src group by mailbox)
+    select a.mailbox, a.mailbox_ord::integer as mailbox_ord,
+        (case when a.mailbox in ({_OPEN}) then coalesce(c.n, 0) else -1 end)::bigint as messages
+    from {_ASKED} left join counts c on c.mailbox = a.mailbox""".replace("a.mailbox", "asked.mailbox"),
+)
+def mailbox_profile_landed(spark, sf_dir):
+    """The profile flow over a landed table, read back through the raw source."""
+    path = Scratch(spark, "landed").path("raw")
+    landed = _src(spark, sf_dir).select("mailbox", "uid", F.lit("x").cast("binary").alias("content"))
+    landed.write.partitionBy("mailbox").parquet(path)
+    counts, _ = profile.mailbox_profile(spark, path, REQUESTED, readable=READABLE)
+    return counts.select("mailbox", "mailbox_ord", "messages")
+
+
 _PREFIX = """o_orderkey || ' (' || case when o_orderkey % 9 = 8 then '' else 'UID ' || o_orderkey || ' ' end
     || case o_orderkey % 3 when 0 then 'FLAGS (\\\\Seen  $Label' || (o_orderkey % 5) || ') '
         when 1 then 'FLAGS ( ) ' else '' end

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import skew
@@ -24,7 +24,7 @@ def requested(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def list_mailboxes(raw: DataFrame) -> DataFrame:
-    """Distinct mailboxes; on a table partitioned by mailbox only the partition values are read."""
+    """Distinct mailboxes. On a table partitioned by mailbox no column is read, though every file is opened."""
     return raw.select("mailbox").distinct()
 
 
@@ -39,8 +39,9 @@ def select_mailboxes(raw: DataFrame, names: list[str]) -> DataFrame:
 
 
 def missing_mailboxes(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Requested mailboxes without any message or folder."""
-    return requested(raw.sparkSession, names).join(list_mailboxes(raw), "mailbox", "left_anti")
+    """Requested mailboxes without any message or folder; only the requested ones are scanned."""
+    asked = raw.where(F.col("mailbox").isin(sorted(set(names))))
+    return requested(raw.sparkSession, names).join(list_mailboxes(asked), "mailbox", "left_anti")
 
 
 def profile(raw: DataFrame, names: DataFrame, readable: DataFrame | None = None) -> DataFrame:
@@ -66,19 +67,38 @@ def preview(names: DataFrame, first: int = PREVIEW) -> DataFrame:
     return total.unionByName(shown).agg(F.max("mailboxes").alias("mailboxes"), F.max("preview").alias("preview"))
 
 
+def _text_rank(uid: Column) -> Column:
+    """Text uids have no order of their own; that of their MD5 deals them evenly over ranges."""
+    return F.md5(F.coalesce(uid, F.lit("")).cast("binary"))
+
+
 def limit_per_mailbox(
-    df: DataFrame, limit: int | None, by: tuple[str, ...] = ("mailbox",), uid: str = "uid_n", width: int = UID_RANGE
+    df: DataFrame,
+    limit: int | None,
+    by: tuple[str, ...] = ("mailbox",),
+    uid: str = "uid_n",
+    width: int = UID_RANGE,
+    text: str = "uid",
 ) -> DataFrame:
     """The first ``limit`` messages of each mailbox in uid order; null or <= 0 means all.
 
-    A window over whole mailboxes would sort the largest one in one task. Instead uid ranges are counted
-    (combined before the shuffle), the range in which the limit falls is found from the running totals,
-    only that range is ranked, and the resulting last uid of each mailbox filters the messages in place.
+    Messages whose uid is no number (null ``uid_n``) come after the others, in the order of the MD5 of their
+    uid text. A window over whole mailboxes would sort the largest one in one task. Instead ranges of uids are
+    counted (combined before the shuffle), the range in which the limit falls is found from the running totals,
+    only that range is ranked, and the place of the first message left out filters the messages of each mailbox.
     Uids are unique per mailbox. Works for any limit, and wide columns are never shuffled.
     """
     if limit is None or limit <= 0:
         return df
-    slim = df.select(*by, uid, F.floor(F.col(uid) / width).alias("_range"))
+    named = F.col(text) if text in df.columns else F.lit(None).cast("string")
+    rank = F.when(F.col(uid).isNull(), _text_rank(named)).otherwise(F.lit(""))
+    no_number, number = F.col(uid).isNull(), F.coalesce(F.col(uid), F.lit(0)).cast("long")
+    place = F.struct(
+        no_number.alias("t"), number.alias("n"), rank.alias("h"), F.when(no_number, named).otherwise("").alias("u")
+    )
+    # Text uids have 65,536 ranges by the first digits of the MD5.
+    range_ = F.struct(no_number.alias("t"), F.floor(number / width).alias("r"), F.left(rank, F.lit(4)).alias("h"))
+    slim = df.select(*by, place.alias("_place"), range_.alias("_range"))
     counts = slim.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     totals = counts.withColumn("_upto", F.sum("_n").over(running))
@@ -89,29 +109,34 @@ def limit_per_mailbox(
     # One row per mailbox over the limit; the list of ends below is no longer than this one.
     small = skew.measured_bytes(cut) <= skew.BROADCAST_BYTES
     inside = slim.join(F.broadcast(cut) if small else cut, [*by, "_range"])
-    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(uid))
-    ends = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_first_left_out"))
-    ends = ends.select(*by, F.col(uid).alias("_end"))
+    order = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_place"))
+    ends = inside.withColumn("_rank", order).where(F.col("_rank") == F.col("_first_left_out"))
+    ends = ends.select(*by, F.col("_place").alias("_end"))
+    placed = df.withColumn("_place", place)
     if small:
-        joined = df.join(F.broadcast(ends), list(by), "left")
+        joined = placed.join(F.broadcast(ends), list(by), "left")
     else:
         key = F.concat_ws("\0", *[F.col(c).cast("string") for c in by])
-        keyed, sided = df.withColumn("_box", key), ends.select(key.alias("_key"), "_end")
-        joined = skew.lookup(keyed, sided, "_box", "_key", [*by, uid], skew.heavy_keys(keyed, "_box")).drop("_box")
-    return joined.where(F.col("_end").isNull() | (F.col(uid) < F.col("_end"))).drop("_end")
+        keyed, sided = placed.withColumn("_box", key), ends.select(key.alias("_key"), "_end")
+        joined = skew.lookup(keyed, sided, "_box", "_key", [*by, "_place"], skew.heavy_keys(keyed, "_box")).drop("_box")
+    return joined.where(F.col("_end").isNull() | (F.col("_place") < F.col("_end"))).drop("_end", "_place")
 
 
-def drop_repeated(df: DataFrame, keys: tuple[str, ...] = ("mailbox_ord", "uid_n")) -> DataFrame:
-    """Keep the first message (by ``keys``) of each message id; messages without an id all stay.
+def drop_repeated(df: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Keep the first message of each message id; messages without an id all stay.
 
-    The winners are found on narrow rows, combined before the shuffle, so a message repeated in a third
-    of the mailboxes does not gather in one task.
+    The first is the least by ``keys`` (default: position and name of the mailbox, number and text of the uid, as
+    far as they are there), nulls last. Winners and losers are found on narrow rows, winners combined before the
+    shuffle, so a message repeated in a third of the mailboxes does not gather in one task; the wide
+    rows only look up whether they are among the losers.
     """
-    winners = (
-        df.where(F.col("message_id").isNotNull())
-        .groupBy("message_id")
-        .agg(F.min(F.struct(*keys)).alias("_w"))
-        .select(*[F.col(f"_w.{k}").alias(k) for k in keys], F.lit(True).alias("_first"))
-    )
-    marked = df.join(winners, list(keys), "left")
-    return marked.where(F.col("message_id").isNull() | F.col("_first")).select(*df.columns)
+    keys = keys or tuple(c for c in ("mailbox_ord", "mailbox", "uid_n", "uid") if c in df.columns)
+    place = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"{k}_null"), F.col(k).alias(k))])
+    narrow = df.where(F.col("message_id").isNotNull()).select("message_id", place.alias("_place"))
+    winners = narrow.groupBy("message_id").agg(F.min("_place").alias("_place"))
+    losers = narrow.join(winners, ["message_id", "_place"], "left_anti").distinct().withColumnRenamed("message_id", "_id")
+    losers = losers.withColumnRenamed("_place", "_lost")
+    small = skew.measured_bytes(losers) <= skew.BROADCAST_BYTES
+    placed = df.withColumn("_place", place)
+    lost = (F.col("message_id") == F.col("_id")) & (F.col("_place") == F.col("_lost"))
+    return placed.join(F.broadcast(losers) if small else losers, lost, "left_anti").select(*df.columns)

@@ -73,3 +73,21 @@ def test_drop_repeated(spark):
     df = spark.createDataFrame(rows, "mailbox_ord int, uid_n long, message_id string")
     kept = sorted((r["mailbox_ord"], r["uid_n"]) for r in mailboxes.drop_repeated(df).collect())
     assert kept == [(0, 2), (1, 2), (1, 3), (1, 4)]
+
+
+def test_text_uids_are_neither_lost_nor_kept_by_mistake(spark):
+    rows = [("a", None, f"p{i}", f"m{i % 5}") for i in range(10)]
+    df = spark.createDataFrame(rows, "mailbox string, uid_n long, uid string, message_id string")
+    assert mailboxes.drop_repeated(df).count() == 5
+    assert mailboxes.limit_per_mailbox(df, 3).count() == 3
+    mixed = df.unionByName(spark.createDataFrame([("a", i, str(i), None) for i in range(10)], df.schema))
+    kept = mailboxes.limit_per_mailbox(mixed, 15).collect()
+    assert len(kept) == 15 and sum(r["uid_n"] is not None for r in kept) == 10
+    assert mailboxes.limit_per_mailbox(mixed, 7).where("uid_n < 7").count() == 7
+
+
+def test_missing_mailboxes_scan_only_the_requested_ones(spark, tmp_path, plan):
+    _, df = corpus(spark)
+    df.write.partitionBy("mailbox").parquet(str(tmp_path / "raw"))
+    text = plan(mailboxes.missing_mailboxes(spark.read.parquet(str(tmp_path / "raw")), ["one", "nowhere"]))
+    assert "IN (nowhere,one)" in text.split("PartitionFilters:")[1].split("\n")[0]
