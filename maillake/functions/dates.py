@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import UTC
-from email.utils import parsedate_to_datetime
+from datetime import datetime, timedelta
+from email.utils import parsedate_tz
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,14 +22,16 @@ COMMON_FORM = (
 
 def utc_text(header: str | None) -> str | None:
     """One mail date as UTC ISO text, or None. A missing zone means UTC."""
-    if not header:
+    fields = parsedate_tz(header) if header else None
+    if fields is None:
         return None
     try:
-        moment = parsedate_to_datetime(header)
-        if moment.tzinfo is None:
-            moment = moment.replace(tzinfo=UTC)
-        return moment.astimezone(UTC).isoformat().replace("+00:00", "Z")
-    except Exception:
+        local = datetime(*fields[:6])
+        shift = timedelta(seconds=fields[9] or 0)
+        if abs(shift) >= timedelta(days=1):
+            return None
+        return f"{local - shift:%Y-%m-%dT%H:%M:%S}Z".rjust(20, "0")
+    except (ValueError, OverflowError):  # no such day or time, or beyond the calendar
         return None
 
 
@@ -57,7 +59,7 @@ def to_utc_common(header: Column | str) -> Column:
 
 
 def to_utc(header: Column | str) -> Column:
-    """UTC text for any mail date. Only headers outside the common form cross into Python."""
+    """UTC text for any mail date. Headers in the common form pass through the Arrow stage as nulls."""
     text = as_col(header)
     return F.coalesce(to_utc_common(text), _utc_text(F.when(~text.rlike(COMMON_FORM), text)))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -23,14 +25,16 @@ VOID = {
     "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
 }
 
-# Scripts and styles with their content. The opening tag ends at its first ">": were it allowed to run on,
+# Scripts and styles with their content, and the white space that is reduced. The opening tag ends at its first ">": were it allowed to run on,
 # a page cut off inside a script would be searched once for every later ">".
 SCRIPTS = r"(?is)<(script|style)[^>]*+>.*?</\1>"
 
 # Entities decoded without leaving the JVM; &amp; goes last because decoding is a single pass.
 COMMON_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\xa0",
-    "&copy;": "\xa9", "&middot;": "\xb7", "&amp;": "&",
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\xa0", "&copy;": "\xa9",
+    "&middot;": "\xb7", "&rsquo;": "\u2019", "&lsquo;": "\u2018", "&rdquo;": "\u201d", "&ldquo;": "\u201c",
+    "&ndash;": "\u2013", "&mdash;": "\u2014", "&hellip;": "\u2026", "&bull;": "\u2022", "&euro;": "\u20ac",
+    "&#8217;": "\u2019", "&#8211;": "\u2013", "&#160;": "\xa0", "&amp;": "&",
 }
 
 
@@ -40,6 +44,7 @@ class _TextNodes(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
         self.open: list[str] = []
+        self.counts: Counter[str] = Counter()  # of open tags, as the stack may be long
         self.hidden = 0
         self.pending: list[str] = []
         self.nodes: list[str] = []
@@ -49,7 +54,7 @@ class _TextNodes(HTMLParser):
         self.pending.clear()
         if not text or self.hidden:
             return
-        if not text.strip("\n\t\x0c\r ") and "pre" not in self.open and "textarea" not in self.open:
+        if not text.strip("\n\t\x0c\r ") and not self.counts["pre"] and not self.counts["textarea"]:
             text = "\n" if "\n" in text else " "
         self.nodes.append(text)
 
@@ -57,6 +62,7 @@ class _TextNodes(HTMLParser):
         self.flush()
         if tag not in VOID:
             self.open.append(tag)
+            self.counts[tag] += 1
             self.hidden += tag in DROPPED or tag in NOT_TEXT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -64,9 +70,10 @@ class _TextNodes(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
-        if tag in self.open:
+        if self.counts[tag]:
             while True:
                 closed = self.open.pop()
+                self.counts[closed] -= 1
                 self.hidden -= closed in DROPPED or closed in NOT_TEXT
                 if closed == tag:
                     break
@@ -87,6 +94,25 @@ class _TextNodes(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
 
+def bare_of_scripts(document: str) -> str:
+    """What is left when ``SCRIPTS`` is removed, in linear time: tags are found once, ends looked up."""
+    ends = {kind: [m.start() for m in re.finditer(rf"(?i)</{kind}>", document)] for kind in ("script", "style")}
+    closing = [m.start() for m in re.finditer(">", document)]
+    out, at = [], 0
+    for m in re.finditer(r"(?i)<(script|style)", document):
+        if m.start() < at:
+            continue
+        kind = m.group(1).lower()
+        tag_end = bisect_left(closing, m.end())
+        if tag_end == len(closing):
+            break
+        end = bisect_left(ends[kind], closing[tag_end] + 1)
+        if end < len(ends[kind]):
+            out.append(document[at : m.start()])
+            at = ends[kind][end] + len(kind) + 3
+    return "".join(out) + document[at:]
+
+
 def text_nodes(document: str | None) -> str:
     """Text nodes joined by new lines, without scripts and styles; blanks collapsed.
 
@@ -99,7 +125,8 @@ def text_nodes(document: str | None) -> str:
         parser.feed(document)
         parser.close()
     except Exception:
-        bare = re.sub(r"<[^>]+>", " ", re.sub(SCRIPTS, "", document))
+        head, angle, tail = bare_of_scripts(document).rpartition(">")
+        bare = re.sub(r"<[^>]+>", " ", head + angle) + tail
         return " ".join(unescape(bare).split())
     parser.flush()
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(parser.nodes))
@@ -122,8 +149,23 @@ def nodes(document: Column | str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(_text_nodes(text))
 
 
+@F.pandas_udf(StringType())
+def _bare_of_scripts(documents: pd.Series) -> pd.Series:
+    return documents.map(bare_of_scripts, na_action="ignore").astype(object)
+
+
 def without_scripts(document: Column | str) -> Column:
-    return F.regexp_replace(F.coalesce(as_col(document), F.lit("")), SCRIPTS, "")
+    """A page without its scripts and styles.
+
+    An opening tag behind the last end tag of its kind would be searched to the end of the page for nothing; pages
+    with such tags are read by a scan in Python instead of the pattern.
+    """
+    text = F.coalesce(as_col(document), F.lit(""))
+    spare = F.lit(False)
+    for kind in ("script", "style"):
+        spare = spare | F.substring_index(F.lower(text), f"</{kind}>", -1).contains(f"<{kind}")
+    by_pattern = F.regexp_replace(F.when(~spare, text), SCRIPTS, "")
+    return F.coalesce(by_pattern, _bare_of_scripts(F.when(spare, text)))
 
 
 def without_tags(document: Column | str) -> Column:
@@ -139,7 +181,10 @@ def without_tags(document: Column | str) -> Column:
 
 
 def decoded(bare: Column | str) -> Column:
-    """Entities of tag-free text decoded and white space collapsed. Only unusual entities cross into Python."""
+    """Entities of tag-free text decoded and white space collapsed.
+
+    Python decodes the texts with unusual entities; the other rows pass through the same Arrow stage as nulls.
+    """
     text = as_col(bare)
     usual = "|".join(e[1:] for e in COMMON_ENTITIES)
     unusual = text.rlike(rf"&(?!(?:{usual}))(?:#|[A-Za-z])")

@@ -9,6 +9,9 @@ from .clean import as_col, strip
 
 # Longest file name kept whole, and what is kept of longer ones.
 MAX_NAME, BASE_KEPT, EXT_KEPT = 255, 200, 50
+# Fixed value: characters replaced in file names.
+UNSAFE = r'[/\\:*?"<>|\r\n\t]+'
+FOLDER_HASH = 10
 
 _SPLIT = r"(?s)\A(\.*[^.].*)(\.[^.]*)\z"
 
@@ -25,7 +28,7 @@ def base_name(name: Column | str) -> Column:
 
 def sanitize_filename(value: Column | str) -> Column:
     """A safe file name; blank or null becomes ``attachment``. Encoded words must be decoded before."""
-    safe = F.regexp_replace(as_col(value), r'[/\\:*?"<>|\r\n\t]+', "_")
+    safe = F.regexp_replace(as_col(value), UNSAFE, "_")
     bare = F.btrim(strip(safe), F.lit("."))
     name = F.coalesce(F.regexp_replace(bare, r"\A\z", "attachment"), F.lit("attachment"))
     cut = F.concat(F.left(base_name(name), F.lit(BASE_KEPT)), F.lit("_trunc"), F.left(extension(name), F.lit(EXT_KEPT)))
@@ -39,6 +42,15 @@ def sanitize_mailbox(value: Column | str) -> Column:
     return F.when(safe != "", safe).otherwise(F.lit("mailbox"))
 
 
+def mailbox_folder(value: Column | str) -> Column:
+    """A folder of its own for each mailbox: the usable name and the start of a hash of the raw one.
+
+    Names that only differ in replaced characters, and names made of dots, get folders apart and inside.
+    """
+    raw = F.coalesce(as_col(value), F.lit(""))
+    return F.concat(sanitize_mailbox(raw), F.lit("-"), F.left(F.sha2(raw, 256), F.lit(FOLDER_HASH)))
+
+
 def stored_name(filename: Column | str, mailbox: Column | str, uid: Column | str, part_index: Column | str) -> Column:
     """``{base}_{uid}_{part_index}{ext}``; nameless parts get a name made of mailbox, uid and index."""
     suffix = F.concat(F.lit("_"), as_col(uid), F.lit("_"), as_col(part_index).cast("string"))
@@ -50,7 +62,7 @@ def stored_name(filename: Column | str, mailbox: Column | str, uid: Column | str
 
 def saved_path(folder: str, mailbox: Column | str, stored: Column) -> Column:
     """Where an attachment is saved: one folder per mailbox, so equal uids of two mailboxes do not collide."""
-    return F.concat(F.lit(f"{folder.rstrip('/')}/"), sanitize_mailbox(mailbox), F.lit("/"), stored)
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), mailbox_folder(mailbox), F.lit("/"), stored)
 
 
 def content_id(value: Column | str) -> Column:

@@ -30,6 +30,6 @@ def _decode(values: pd.Series) -> pd.Series:
 
 
 def decode_words(value: Column | str) -> Column:
-    """Decode encoded words of a header column. Rows without ``=?`` never cross into Python."""
+    """Decode encoded words of a header column. Rows without ``=?`` pass through the Arrow stage as nulls."""
     text = as_col(value)
     return F.coalesce(_decode(F.when(text.contains("=?"), text)), text, F.lit(""))

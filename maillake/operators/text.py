@@ -9,7 +9,10 @@ from ..functions import html
 
 
 def html_to_text(df: DataFrame, column: str, out: str = "text", mode: str = "nodes") -> DataFrame:
-    """Add ``out``: text nodes on lines (``nodes``, Arrow batches) or one line (``flat``, Catalyst)."""
+    """Add ``out``: text nodes on lines (``nodes``) or one line (``flat``).
+
+    Both have an Arrow stage; in the flat one it only sees texts with unusual entities or unclosed scripts.
+    """
     if mode == "nodes":
         return df.withColumn(out, html.nodes(column))
     if mode != "flat":
