@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,44 +79,68 @@ def write_table(attachments: DataFrame, path: str, mode: str = "overwrite") -> N
     attachments.write.mode(mode).parquet(path)
 
 
-def write_store(
-    attachments: DataFrame,
-    path: str,
-    mode: str = "overwrite",
-    owner_bytes: int = 1 << 30,
-    lanes: int = skew.SALTS,
-    heavy_rows: int = skew.HEAVY_ROWS,
-) -> None:
+def first_copies(attachments: DataFrame, keys: tuple[str, ...] = ("mailbox", "uid", "part_index")) -> DataFrame:
+    """The first attachment of each content, with its bytes.
+
+    The first ones are found on narrow rows, combined before the shuffle. They are looked up by their whole key, so
+    the copies of a frequent content do not meet; if the list is small, no bytes move at all.
+    """
+    place = F.struct(*keys)
+    first = attachments.groupBy("sha256").agg(F.min(place).alias("_first"))
+    small = skew.measured_bytes(first) <= skew.BROADCAST_BYTES
+    first = first.withColumnRenamed("sha256", "_content")
+    same = (F.col("sha256") == F.col("_content")) & (place == F.col("_first"))
+    return attachments.join(F.broadcast(first) if small else first, same, "left_semi")
+
+
+def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", owner_bytes: int = 1 << 30) -> None:
     """Each distinct content once, partitioned by the first digits of its hash.
 
-    ``attachments`` is the stored table of ``write_table``. Contents are moved once, to owners of whole hash
-    prefixes; the prefixes are as long as it takes to leave each owner about ``owner_bytes``, so the store
-    has few files of that size. A content with very many copies is first reduced in ``lanes`` tasks, so
-    that no task has to read all of them.
+    ``attachments`` is the stored table of ``write_table``; its keys are those of ``inventory``. Only the first copy
+    of each content is moved, to as many tasks as leave each about ``owner_bytes``; the prefixes are as long as
+    it takes for that.
     """
-    whole = attachments.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    contents = attachments.groupBy("sha256").agg(F.first("size").alias("size"))
+    total = contents.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
     digits = 1
-    while 16**digits * owner_bytes < whole["bytes"]:
+    while 16**digits * owner_bytes < total:
         digits += 1
-    heavy = skew.heavy_keys(attachments, "sha256", heavy_rows, total=whole["rows"])
-    rows = attachments.select(F.left("sha256", F.lit(digits)).alias("_owner"), "sha256", "size", "payload")
-    one = [F.first("size").alias("size"), F.first("payload").alias("payload")]
-    once = rows.where(~F.col("sha256").isin(heavy)).repartition("_owner").groupBy("_owner", "sha256").agg(*one)
-    if heavy:
-        copies = rows.where(F.col("sha256").isin(heavy)).withColumn("_lane", F.spark_partition_id() % lanes)
-        few = copies.groupBy("_owner", "sha256", "_lane").agg(*one)
-        once = once.unionByName(few.groupBy("_owner", "sha256").agg(*one))
-    stored = once.withColumn("prefix", F.left("sha256", F.lit(min(digits, PREFIX_DIGITS)))).drop("_owner")
+    owners = max(1, -(-total // owner_bytes))
+    prefix = F.left("sha256", F.lit(min(digits, PREFIX_DIGITS)))
+    once = first_copies(attachments).select("sha256", "size", "payload").dropDuplicates(["sha256"])
+    stored = once.withColumn("prefix", prefix).repartition(int(owners), "prefix")
     stored.write.mode(mode).partitionBy("prefix").parquet(path)
 
 
+def check_shared(spark: SparkSession, folder: str) -> None:
+    """Raise unless the executors see what the driver writes into ``folder``. A local session needs no check."""
+    if spark.conf.get("spark.master", "local").startswith("local["):
+        return
+    os.makedirs(folder, exist_ok=True)
+    mark = os.path.join(folder, f".mark-{uuid.uuid4().hex}")
+    with open(mark, "w"):
+        pass
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [os.path.exists(mark)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.bool_())], names=["seen"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    seen = spark.range(0, tasks, 1, tasks).mapInArrow(look, "seen boolean").agg(F.bool_and("seen")).first()[0]
+    os.remove(mark)
+    if not seen:
+        raise RuntimeError(f"{folder} is not shared by all executors")
+
+
 def save_files(attachments: DataFrame, folder: str) -> DataFrame:
     """Write each attachment as a file under ``folder/<mailbox>/`` and add ``saved_path``.
 
-    ``folder`` is a mount every executor sees. A failed write leaves ``saved_path`` null and keeps the row.
+    ``folder`` is a mount every executor sees, which is checked first. A failed write leaves ``saved_path`` null and keeps the row.
     The name is complete and the rename atomic, so a repeated task just writes the same file again. Lazy:
     the files appear when the result is computed.
     """
+    check_shared(attachments.sparkSession, folder)
     staged = attachments.withColumn("saved_path", names.saved_path(folder, "mailbox", F.col("stored_name")))
     kept = [f for f in staged.schema.fields if f.name != "payload"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import session_id
@@ -27,26 +27,38 @@ def with_customer_id(
     is kept as customer id and gives no session.
     """
     unique = crm.groupBy("email").agg(F.max("customer_id").alias("_crm_id"))
+    if skew.measured_bytes(unique) > broadcast_bytes:
+        # Only the addresses of these messages are wanted: one narrow pass finds them, and no body is shuffled for
+        # the rest of a large map.
+        asked = df.select(F.col("customer_email_normalized").alias("email")).where("email is not null").distinct()
+        unique = unique.join(asked, "email", "left_semi")
     joined = skew.lookup_measured(df, unique, "customer_email_normalized", "email", list(keys), broadcast_bytes)
     found = joined.withColumn("customer_id", F.coalesce("_crm_id", "customer_email_normalized")).drop("_crm_id")
     return found.withColumn("session_id", session_id("customer_id", tenant))
 
 
+def last_of_each(df: DataFrame, keys: tuple[str, ...], record: Column, name: str) -> DataFrame:
+    """One record per key: that of the last mailbox position, and there always the same one."""
+    place = F.col("mailbox_ord") if "mailbox_ord" in df.columns and "mailbox_ord" not in keys else F.lit(0)
+    return df.groupBy(*keys).agg(F.max_by(record, F.struct(F.coalesce(place, F.lit(-1)), F.xxhash64(record))).alias(name))
+
+
 def with_headers(full: DataFrame, headers: DataFrame, keys: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
     """Full messages with the separately parsed headers where there are any, else their own.
 
     Header rows without a full message are dropped. The header record wins as a whole, even where one of
-    its values is null.
+    its values is null; of several records of a key the last one counts, so no message is repeated.
     """
-    record = F.struct(*HEADER_COLUMNS).alias("_headers")
-    joined = full.join(headers.select(*keys, record), list(keys), "left")
+    single = last_of_each(headers, keys, F.struct(*HEADER_COLUMNS), "_headers")
+    joined = full.join(single, list(keys), "left")
     kept = {c: F.when(F.col("_headers").isNotNull(), F.col(f"_headers.{c}")).otherwise(F.col(c)) for c in HEADER_COLUMNS}
     return joined.withColumns(kept).drop("_headers")
 
 
 def with_known_conversation(full: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
-    """Conversation id computed earlier where there is one, else the one computed from the full message."""
-    earlier = known.select(*keys, F.col("conversation_id").alias("_known"))
+    """Conversation id computed earlier where there is one (the last one), else the one computed from the full message."""
+    earlier = last_of_each(known, keys, F.struct("conversation_id"), "_last")
+    earlier = earlier.select(*keys, F.col("_last.conversation_id").alias("_known"))
     joined = full.join(earlier, list(keys), "left")
     usable = F.when(F.col("_known") != "", F.col("_known"))
     return joined.withColumn("conversation_id", F.coalesce(usable, "conversation_id")).drop("_known")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+import contextlib
 import email
 import hashlib
 import re
+from collections import OrderedDict
 from email.headerregistry import HeaderRegistry
 from email.message import Message
 from email.policy import EmailPolicy, default
@@ -26,16 +29,22 @@ PLAIN_ID = re.compile(rf"<{_SPEC}>")
 LINE_END = re.compile(r"\r\n|\r|\n")
 
 
-CACHED_HEADERS = 5000
+# Parsed headers keep their parse trees, many times the size of their text; so the texts are what is bounded.
+CACHED_TEXT = 256 * 1024
+CACHED_HEADER = 1024
 
 
 class RememberedHeaders(HeaderRegistry):
-    """The standard header classes, with parsed headers kept: the same values recur within and across messages."""
+    """The standard header classes, with parsed headers kept: the same values recur within and across messages.
+
+    Long headers are not kept; when the kept texts pass the bound, the ones not used for longest go.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.classes: dict[str, type] = {}
-        self.parsed: dict[tuple[str, str], str] = {}
+        self.parsed: OrderedDict[tuple[str, str], str] = OrderedDict()
+        self.held = 0
 
     def __getitem__(self, name: str) -> type:
         name = name.lower()
@@ -48,10 +57,16 @@ class RememberedHeaders(HeaderRegistry):
     def __call__(self, name: str, value: str) -> str:
         key = (name, value)
         header = self.parsed.get(key)
-        if header is None:
-            if len(self.parsed) >= CACHED_HEADERS:
-                self.parsed.clear()
-            header = self.parsed[key] = super().__call__(name, value)
+        if header is not None:
+            self.parsed.move_to_end(key)
+            return header
+        header = super().__call__(name, value)
+        if len(value) <= CACHED_HEADER:
+            self.parsed[key] = header
+            self.held += len(name) + len(value)
+            while self.held > CACHED_TEXT:
+                (old_name, old_value), _ = self.parsed.popitem(last=False)
+                self.held -= len(old_name) + len(old_value)
         return header
 
 
@@ -113,25 +128,26 @@ def header_values(message: Message) -> dict:
     }
 
 
-def part_bytes(part: Message) -> bytes:
-    """Transfer-decoded payload; undecodable text is encoded again instead."""
+def codec_of(charset: str | None) -> str:
+    """A text codec for a charset name; UTF-8 for missing and unknown names."""
     try:
+        found = codecs.lookup(charset or "utf-8")
+        return found.name if found._is_text_encoding else "utf-8"
+    except (LookupError, ValueError):
+        return "utf-8"
+
+
+def part_bytes(part: Message) -> bytes:
+    """Transfer-decoded payload; text that cannot be decoded is encoded as it stands, and no payload is empty."""
+    with contextlib.suppress(Exception):
         return part.get_payload(decode=True) or b""
-    except Exception:
-        payload = part.get_payload()
-        if not isinstance(payload, str):
-            return b""
-        try:
-            return payload.encode(part.get_content_charset() or "utf-8", "ignore")
-        except Exception:
-            return payload.encode("utf-8", "ignore")
+    stored = part.get_payload()
+    return stored.encode(codec_of(part.get_content_charset()), "ignore") if isinstance(stored, str) else b""
 
 
 def charset_text(data: bytes, charset: str | None) -> str:
-    try:
-        return data.decode(charset or "utf-8", "replace")
-    except Exception:
-        return data.decode("utf-8", "replace")
+    """Bytes as text; what the codec cannot read is replaced."""
+    return codecs.decode(data, codec_of(charset), "replace")
 
 
 def part_values(index: int, part: Message, keep_payload: bool) -> dict:
@@ -140,13 +156,15 @@ def part_values(index: int, part: Message, keep_payload: bool) -> dict:
         return row
     data = part_bytes(part)
     name, content_id = part.get_filename(), part.get("Content-ID")
+    disposition = part.get_content_disposition()
+    attached = disposition in ("attachment", "inline") or bool(name) and disposition is None
     row |= {
-        "disposition": clean(part.get_content_disposition()),
+        "disposition": clean(disposition),
         "filename_header": clean(decode(name)) if name else None,
         "content_id_header": clean(str(content_id)) if content_id else None,
         "size": len(data),
         "sha256": hashlib.sha256(data).hexdigest(),
-        "payload": data if keep_payload else None,
+        "payload": data if keep_payload and attached else None,
     }
     if row["content_type"] in ("text/plain", "text/html"):
         charset = part.get_content_charset()

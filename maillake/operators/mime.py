@@ -22,8 +22,13 @@ BATCH_BYTES = 32 * 1024 * 1024
 def header_block(content: Column | str) -> Column:
     """The bytes up to and including the first blank line, or everything when there is none."""
     data = F.col(content) if isinstance(content, str) else content
-    end = F.regexp_instr(F.decode(data, "ISO-8859-1"), F.lit(r"\r\n\r\n|\n\r?\n|\r\r"))
-    return F.when(end > 0, F.substring(data, F.lit(1), end + 3)).otherwise(data)
+    # The bytes are searched as they are: as text they would be decoded with all attachments. The first of the
+    # blank lines ends the header; four bytes from its start hold it.
+    text = data.cast("string")
+    head = F.substring_index(F.substring_index(F.substring_index(text, "\r\n\r\n", 1), "\n\n", 1), "\r\r", 1)
+    head = F.substring_index(head, "\n\r\n", 1)
+    length = F.octet_length(head.cast("binary"))
+    return F.when(length < F.octet_length(data), F.substring(data, F.lit(1), length + 4)).otherwise(data)
 
 
 def _parse(raw: DataFrame, body: bool, keep_payload: bool, html_nodes: bool) -> DataFrame:

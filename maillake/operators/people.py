@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import conversation, roles
@@ -51,9 +51,14 @@ def with_fallback_id(df: DataFrame) -> DataFrame:
     )
 
 
-def agency_messages(df: DataFrame, agency_domains: Iterable[str], member: bool = True) -> DataFrame:
-    """Messages with (or, with ``member=False``, without) an agency address among sender and recipients."""
+def in_agency(agency_domains: Iterable[str]) -> Column:
+    """Whether there is an agency address among sender and recipients."""
     allowed = list(agency_domains)
     everyone = F.concat(F.array("from"), roles.recipients("to", "cc", "bcc"))
-    touched = F.exists(everyone, lambda a: roles.is_agency(a["email"], allowed))
+    return F.exists(everyone, lambda a: roles.is_agency(a["email"], allowed))
+
+
+def agency_messages(df: DataFrame, agency_domains: Iterable[str], member: bool = True) -> DataFrame:
+    """Messages with (or, with ``member=False``, without) an agency address among sender and recipients."""
+    touched = in_agency(agency_domains)
     return df.where(touched if member else ~touched)

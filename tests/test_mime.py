@@ -12,7 +12,7 @@ from email.utils import getaddresses
 import pytest
 from pyspark.sql import functions as F
 
-from maillake.operators import attachments, mime, quality
+from maillake.operators import attachments, mime, quality, skew
 from maillake.operators.message_rows import Headers, header_values, message_values, parsing_policy
 
 RAW = "mailbox string, uid string, content binary"
@@ -205,7 +205,7 @@ def test_one_parse_stage(spark, plan):
     assert text.count("MapInArrow") == 1 and "ArrowEvalPython" not in text and "Exchange" not in text
 
 
-def test_rollup_and_store(spark, tmp_path):
+def test_rollup_and_store(spark, tmp_path, monkeypatch):
     content = compose(("application/pdf", "attachment", "a.pdf", "same"), ("application/pdf", "attachment", "b.pdf", "same"), ("text/plain", "attachment", "c.txt", "other\n"))
     files = attachments.inventory(mime.parse_messages(raw(spark, [content] * 50), keep_payload=True))
     attachments.write_table(files, str(tmp_path / "table"))
@@ -215,8 +215,35 @@ def test_rollup_and_store(spark, tmp_path):
     uses = {r["size"]: r for r in attachments.dedup(table).collect()}
     assert uses[4]["uses"] == 100 and uses[4]["names"] == 2 and uses[4]["saved_bytes"] == 4 * 99
     assert attachments.content_names(table).count() == 3
-    for heavy_rows, name in ((1_000_000, "store"), (10, "salted")):
-        attachments.write_store(table, str(tmp_path / name), heavy_rows=heavy_rows, owner_bytes=1)
+    for limit, name in ((skew.BROADCAST_BYTES, "store"), (-1, "joined")):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        attachments.write_store(table, str(tmp_path / name), owner_bytes=1)
         stored = spark.read.parquet(str(tmp_path / name)).collect()
         assert sorted(bytes(r["payload"]).strip() for r in stored) == [b"other", b"same"]
         assert all(hashlib.sha256(r["payload"]).hexdigest() == r["sha256"] for r in stored)
+
+
+def test_remembered_headers_are_bounded_by_their_text():
+    from maillake.operators import message_rows
+
+    registry = message_rows.RememberedHeaders()
+    for i in range(20_000):
+        assert str(registry("to", f"name{i} <a{i}@b.example>")) == f"name{i} <a{i}@b.example>"
+    assert registry.held <= message_rows.CACHED_TEXT
+    assert registry.held == sum(len(n) + len(v) for n, v in registry.parsed)
+    before = len(registry.parsed)
+    registry("to", "a@b.example, " * 200 + "a@b.example")
+    assert len(registry.parsed) == before and registry("subject", "s") is registry("subject", "s")
+
+
+def test_only_attachments_keep_their_bytes(spark):
+    content = compose(("text/plain", None, None, "body\n"), ("application/pdf", "attachment", "a.pdf", "pdf"))
+    parts = mime.explode_parts(mime.parse_messages(raw(spark, [content]), keep_payload=True)).collect()
+    assert [p["payload"] is not None for p in parts if not p["is_multipart"]] == [False, True]
+
+
+def test_codecs():
+    from maillake.operators.message_rows import charset_text, codec_of
+
+    assert codec_of(None) == codec_of("x-nowhere") == codec_of("base64") == codec_of("a\0b") == "utf-8"
+    assert charset_text(b"f\xfcr", "latin-1") == "für" and charset_text(b"\xff", None) == "\ufffd"
