@@ -45,7 +45,7 @@ def normalize_addresses(spark, sf_dir):
     from faces where canonical is not null group by all""",
 )
 def documents_contact_addresses(spark, sf_dir):
-    tokens = views.spread(views.table(spark, sf_dir, "documents").select("text")).select(F.explode(address.emails_in_text("text")).alias("token"))
+    tokens = views.table(spark, sf_dir, "documents").select(F.explode(address.emails_in_text("text")).alias("token"))
     faces = tokens.select(address.canonical_email("token").alias("canonical")).where("canonical is not null")
     counted = faces.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses"))
     return counted.withColumn("masked", privacy.mask_email("canonical"))
@@ -127,11 +127,8 @@ def agency_domain_lists(spark, sf_dir):
 )
 def agency_messages(spark, sf_dir):
     mail = views.headers(spark, sf_dir)
-    parts = [
-        people.agency_messages(mail, views.AGENCY, member).select("mailbox", F.lit(member).alias("agency"))
-        for member in (True, False)
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("mailbox", "agency").agg(F.count(F.lit(1)).alias("messages"))
+    flagged = mail.select("mailbox", people.in_agency(views.AGENCY).alias("agency"))
+    return flagged.groupBy("mailbox", "agency").agg(F.count(F.lit(1)).alias("messages"))
 
 
 def _role(column: str):
@@ -307,5 +304,5 @@ def document_json_keys(spark, sf_dir):
     """JSON quoting of whole texts, as used for hashed keys."""
     from maillake.functions.jsontext import quoted
 
-    docs = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.sha2(quoted("text"), 256).alias("key_hash"), F.length("text").cast("long").alias("chars"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maillake import schemas
 from maillake.functions.clean import collapse
-from maillake.operators import attachments, enrich, mime, people, quality
+from maillake.operators import attachments, enrich, lineage, mime, people, quality
 from maillake.operators.lineage import Scratch
 from maillake.plans import export
 from maillake.sources import sinks
@@ -63,7 +66,7 @@ def parse_headers(spark, sf_dir):
 
 @query(
     "header_blocks",
-    """select page_id as uid_n, (page_id % 10 <> 7) as ends_blank, (page_id % 10 not in (5, 7, 8)) as body_left_out from pages""",
+    f"{RAW} select page_id as uid_n, (v <> 7) as ends_blank, (v not in (5, 7, 8)) as body_left_out from raw",
 )
 def header_blocks(spark, sf_dir):
     """The header scan ends with the first blank line: nothing of the body is kept and no header is lost."""
@@ -187,19 +190,27 @@ def attachment_content_names(spark, sf_dir):
 @query(
     "attachment_store",
     f"""{FILES} select sha256(body) as sha256, substr(sha256(body), 1, 1) as prefix, min(octet_length(encode(body)))::bigint as size,
-        sha256(min(body)) as stored_hash from files group by 1, 2""",
+        sha256(min(body)) as stored_hash from (select body from files union all select 'logo' from raw) group by 1, 2""",
 )
 def attachment_store(spark, sf_dir):
     """All attachments stored with their bytes, then each content once, read back."""
     scratch = Scratch(spark, "attachment-store")
-    attachments.write_table(_files(spark, sf_dir, keep_payload=True), scratch.path("table"))
+    # One content in most messages: a small file that every message has besides its own attachments.
+    files = _files(spark, sf_dir, keep_payload=True)
+    logo = views.raw_mail(spark, sf_dir).select(
+        "uid_n", "mailbox", "uid", F.lit(99).alias("part_index"), F.lit("logo.png").alias("filename"),
+        F.lit("image/png").alias("content_type"), F.lit(4).cast("long").alias("size"),
+        F.sha2(F.lit("logo"), 256).alias("sha256"), F.lit(None).cast("string").alias("content_id"),
+        F.lit("logo").cast("binary").alias("payload"), F.lit("logo.png").alias("stored_name"),
+    )
+    attachments.write_table(files.unionByName(logo), scratch.path("table"))
     attachments.write_store(spark.read.parquet(scratch.path("table")), scratch.path("store"))
     stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.col("prefix").cast("string"))
     return stored.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"))
 
 
-@query("quarantine_counts", """select case page_id % 10 when 7 then 'scan' when 8 then 'headers' when 9 then 'body' else 'ok' end as stage,
-    count(*)::bigint as messages from pages group by 1""")
+@query("quarantine_counts", f"""{RAW} select case v when 7 then 'scan' when 8 then 'headers' when 9 then 'body' else 'ok' end as stage,
+    count(*)::bigint as messages from raw group by 1""")
 def quarantine_counts(spark, sf_dir):
     return quality.quarantine_counts(mime.parse_messages(views.raw_mail(spark, sf_dir)))
 
@@ -239,6 +250,47 @@ def header_full_join(spark, sf_dir):
     return joined.select("uid_n", "subject", "conversation_id")
 
 
+@query(
+    "header_full_join_repeated",
+    f"""with src as ({views.mail_sql('uid_n', 'mailbox', 'uid', 'message_id_raw', 'subject_raw')}), twice as (
+        select * from src union all select * from src where mailbox = 'INBOX')
+    select uid_n, mailbox, case when mailbox = 'INBOX' then 'B ' else 'A ' end || subject_raw as subject,
+        case when mailbox = 'INBOX' then 'second' else 'first' end as conversation_id from twice""",
+)
+def header_full_join_repeated(spark, sf_dir):
+    """A mailbox named twice has two header records per message: the last one counts, and no row is repeated."""
+    mail = views.headers(spark, sf_dir)
+    again = mail.where("mailbox = 'INBOX'").withColumn("mailbox_ord", F.lit(7))
+    full = mail.unionByName(again).withColumn("conversation_id", F.col("message_id"))
+    first = mail.withColumn("subject", F.concat(F.lit("A "), "subject"))
+    headers = first.unionByName(again.withColumn("subject", F.concat(F.lit("B "), "subject"))).unionByName(first)
+    known = headers.select(
+        "mailbox", "uid", "mailbox_ord", F.when(F.col("mailbox_ord") == 7, "second").otherwise("first").alias("conversation_id")
+    )
+    joined = enrich.with_known_conversation(enrich.with_headers(full, headers), known)
+    return joined.select("uid_n", "mailbox", "subject", "conversation_id")
+
+
+@query(
+    "saved_attachment_files",
+    f"""{FILES}, twice as (select * from files union all select * replace ('INBOX Sent' as mailbox) from files where mailbox = 'INBOX.Sent')
+    select uid, mailbox, part_index::integer as part_index, sha256(body) as sha256, sha256(body) as file_sha256 from twice""",
+)
+def saved_attachment_files(spark, sf_dir):
+    """Files of mailboxes whose names look alike, with equal uids, saved and read back."""
+    files = _files(spark, sf_dir, keep_payload=True)
+    alike = files.where("mailbox = 'INBOX.Sent'")
+    both = files.where("mailbox <> 'INBOX.Sent'").unionByName(alike.withColumn("mailbox", F.lit("INBOX/Sent")))
+    both = both.unionByName(alike.withColumn("mailbox", F.lit("INBOX Sent")))
+    root = lineage.shared_folder(spark).removeprefix("file://")
+    folder = f"{root}/saved-files-{uuid.uuid4().hex}"
+    saved = Scratch(spark, "saved").write(attachments.save_files(both, folder), "records")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{folder}")
+    read = found.select(F.regexp_replace("path", "^file:/+", "/").alias("saved_path"), F.sha2("content", 256).alias("file_sha256"))
+    named = F.when(F.col("mailbox") == "INBOX/Sent", "INBOX.Sent").otherwise(F.col("mailbox")).alias("mailbox")
+    return saved.join(read, "saved_path").select("uid", named, "part_index", "sha256", "file_sha256")
+
+
 EXPORT_SQL = f"""{RAW}, good as (select *, 's' || (page_id % 13) || '@shop.example' as customer from raw where v < 7)
 select uid, mailbox, 'p' || page_id || '@mail.example' as message_id,
     sha256('pair:agent@agency.example|' || customer) as conversation_id, customer as customer_email_normalized,
@@ -289,3 +341,47 @@ def export_ndjson(spark, sf_dir):
         F.from_json("value", schemas.EXPORT).alias("record"), F.size(F.json_object_keys("value")).alias("keys")
     )
     return _export_columns(read.select("record.*", "keys"), F.col("keys"))
+
+
+FLOW_SQL = f"""{RAW}, good as (select *, 's' || (page_id % 13) || '@shop.example' as customer from raw where v < 7)
+select uid, mailbox, 'p' || page_id || '@mail.example' as message_id, 'q' || (page_id % 7) || '@mail.example' as in_reply_to,
+    'r' || (page_id % 5) || '@mail.example|q' || (page_id % 7) || '@mail.example' as "references",
+    sha256('pair:agent@agency.example|' || customer) as conversation_id, customer as customer_email_normalized,
+    customer as customer_id, sha256('customer|acme|' || customer) as session_id,
+    'Re: Seite é ' || page_id as subject, 'Seite é ' || page_id as subject_canonical,
+    strftime(timestamp '2024-01-14 23:30:00' + to_hours((page_id % 24)::integer), '%Y-%m-%dT%H:%M:%SZ') as date_utc,
+    'Mon, 15 Jan 2024 ' || lpad((page_id % 24)::varchar, 2, '0') || ':30:00 +0100' as date_header,
+    'Sender, ' || page_id || '<s' || (page_id % 13) || '@shop.example>' as "from",
+    '<agent@agency.example>|Bob ' || page_id || '<bob@b.example>' as "to", 'Jörg<j' || page_id || '@c.example>' as cc, '' as bcc,
+    case v when 1 then url when 3 then url when 5 then '' when 6 then '' else {TEXT} end as body_text,
+    case when v in (0, 2, 4) then html else '' end as body_html,
+    case v when 0 then 'u' || page_id || '.txt:' || sha256(url) when 2 then ':' || sha256(url)
+        when 6 then 'a_b_' || page_id || '.pdf:' || sha256(html) else '' end as attachments,
+    '' as flags, true as fetched, null::varchar as provider_thread_id,
+    row_number() over (order by case mailbox when 'Archive' then 0 else 1 end, page_id, uid) as place
+from good where mailbox in ('INBOX', 'Archive')"""
+
+
+@query("export_job", FLOW_SQL)
+def export_job(spark, sf_dir):
+    """The whole flow over landed Parquet, in order, with all fields; the run's time is only checked for its form."""
+    tables = Scratch(spark, "export-job")
+    views.raw_mail(spark, sf_dir).drop("mailbox_ord").write.parquet(tables.path("raw"))
+    job = export.ExportJob(
+        tables.path("raw"), tables.path("out"), ["Archive", "Nowhere", "INBOX"], agency_domains=",".join(views.AGENCY), tenant="acme", ordered=True
+    )
+    job.run(spark)
+    lines = sinks.read_ndjson(spark, tables.path("out/messages"))
+    # The files follow each other in name order, and so do the lines in a file.
+    place = F.row_number().over(Window.orderBy("_file", "_at"))
+    lines = lines.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("place", place.cast("long"))
+    files = F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["sha256"]))
+    box = F.concat(F.col("from.name"), F.lit("<"), F.col("from.email"), F.lit(">"))
+    return lines.select(
+        "uid", "mailbox", "message_id", "in_reply_to", F.array_join("references", "|").alias("references"), "conversation_id",
+        "customer_email_normalized", "customer_id", "session_id", "subject", "subject_canonical", "date_utc", "date_header",
+        box.alias("from"), _people("to"), _people("cc"), _people("bcc"), collapse("body_text").alias("body_text"), "body_html",
+        F.array_join(files, "|").alias("attachments"), F.array_join("flags", "|").alias("flags"),
+        F.col("fetch_ts_utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$").alias("fetched"), "provider_thread_id", "place",
+    )

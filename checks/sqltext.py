@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .views import mail_sql
 
+# The reply and forward prefixes.
 PREFIXES = "re|fwd|fw|aw|wg|sv|rv|res|enc|vb|tr|ré|antw|antwort|回复|轉寄|转发|пере|ответ|轉發"
 
 
@@ -75,10 +76,10 @@ def walk(top: str, own: str) -> str:
     select message_id, parent, first_ref from (
         select *, row_number() over (partition by message_id order by mailbox_ord desc, uid_n desc) as rn from links) where rn = 1),
 walk as (
-    select uid_n, parent as cur, 1 as hops from links where first_ref is null and parent is not null
+    select uid_n, parent as cur, 1 as hops, [parent] as seen from links where first_ref is null and parent is not null
     union all
-    select w.uid_n, i.parent, w.hops + 1 from walk w join idx i on i.message_id = w.cur
-    where i.first_ref is null and i.parent is not null and w.hops < 200),
+    select w.uid_n, i.parent, w.hops + 1, list_append(w.seen, i.parent) from walk w join idx i on i.message_id = w.cur
+    where i.first_ref is null and i.parent is not null and not list_contains(w.seen, i.parent)),
 ends as (
     select w.uid_n, w.hops, case when i.message_id is null then w.cur when i.first_ref is not null then i.first_ref else {top} end as root
     from walk w left join idx i on i.message_id = w.cur

@@ -31,7 +31,7 @@ def canonical_subjects(spark, sf_dir):
 )
 def decoded_subjects(spark, sf_dir):
     """Encoded words in a column of headers; the plain ones do not cross into Python."""
-    pages = views.spread(views.table(spark, sf_dir, "pages")).selectExpr(
+    pages = views.spread(views.table(spark, sf_dir, "pages"), "page_id").selectExpr(
         "page_id",
         "case when page_id % 2 = 0 then '=?utf-8?b?' || base64(encode('Re: Seite é ' || page_id, 'utf-8')) || '?=' "
         "else 'Fwd: plain ' || page_id end as header",
@@ -87,7 +87,7 @@ def parse_dates_utc(spark, sf_dir):
     months = ", ".join(f"'{m}'" for m in MONTHS)
     zones = " ".join(f"when {i} then ' {z}'" for i, z in enumerate(_ZONES))
     days = "case when event_id % 2 = 0 then element_at(array('Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'), dayofweek(ts)) || ', ' else '' end"
-    headers = views.spread(views.table(spark, sf_dir, "events").select("event_id", "ts")).selectExpr(
+    headers = views.spread(views.table(spark, sf_dir, "events").select("event_id", "ts"), "event_id").selectExpr(
         "event_id",
         f"case when event_id % 7 = 6 then 'some day ' || event_id else {days} || day(ts) || ' ' || element_at(array({months}), month(ts)) "
         f"|| ' ' || year(ts) || ' ' || substr(cast(ts as string), 12, 8) || rtrim(case event_id % 7 {zones} end) end as header",
@@ -129,7 +129,7 @@ _NO_SCRIPTS = (
     select page_id, text, length(text)::bigint as chars from texts""",
 )
 def html_text_flat(spark, sf_dir):
-    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     found = text.html_to_text(pages, "html", mode="flat")
     return found.select("page_id", "text", F.length("text").cast("long").alias("chars"))
 
@@ -143,6 +143,6 @@ def html_text_nodes(spark, sf_dir):
     """Compared with white space collapsed; the line structure is covered by tests."""
     from maillake.functions.clean import collapse
 
-    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = views.spread(views.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     found = text.html_to_text(pages, "html", mode="nodes").select("page_id", collapse("text").alias("text"))
     return found.select("page_id", "text", F.length("text").cast("long").alias("chars"))

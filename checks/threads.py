@@ -70,7 +70,22 @@ def conversation_thread_roots(spark, sf_dir):
     return found.select("conv_id", "turn", "root_message_id", F.col("reply_depth").cast("long").alias("depth"))
 
 
-@query("conversation_thread_roots_exact", "select conv_id, turn, null::varchar as root_message_id from conversations")
+@query(
+    "conversation_thread_roots_exact",
+    """select conv_id, turn, case when turn >= 3 then conv_id || '.' || (turn - (turn - 3) % 5) || '.ref@conv.example'
+        when conv_id % 2 = 0 then conv_id || '.gone@conv.example' end as root_message_id from conversations""",
+)
 def conversation_thread_roots_exact(spark, sf_dir):
-    found = reply_chains.thread_roots(views.conv_mail(spark, sf_dir), "exact", ("conv_id", "turn"))
+    """Roots are the nearest references, else an unknown parent of the first turn, else nothing."""
+    found = reply_chains.thread_roots(views.broken_conv_mail(spark, sf_dir), "exact", ("conv_id", "turn"))
     return found.select("conv_id", "turn", "root_message_id")
+
+
+@query(
+    "thread_roots_deep",
+    f"""select o_orderkey as n, (o_orderkey - o_orderkey % {views.DEEP}) || '@deep.example' as root_message_id,
+        (o_orderkey % {views.DEEP})::bigint as depth from orders""",
+)
+def thread_roots_deep(spark, sf_dir):
+    found = reply_chains.thread_roots(views.deep_mail(spark, sf_dir), "ancestor", ("n",))
+    return found.select("n", "root_message_id", F.col("reply_depth").cast("long").alias("depth"))

@@ -46,15 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer partitions than there are; a large scan stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key, since each input may be one small file; the plan is the same at every size."""
+    return df.repartition(key)
 
 
 def mail_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [f"{sql.replace('STR', 'string')} as {name}" for name, sql in MAIL_COLUMNS.items()]
-    return spread(table(spark, sf_dir, "orders")).selectExpr(*columns)
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr(*columns)
 
 
 def mail_sql(*names: str) -> str:
@@ -114,7 +113,30 @@ def conv_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.withColumn("references", F.array().cast("array<string>"))
 
 
-# MIME messages made of pages. The variant is page_id % 10:
+def broken_conv_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with references at some turns, and first turns that answer an unknown message."""
+    gone = "case when turn > 0 then in_reply_to when conv_id % 2 = 0 then conv_id || '.gone@conv.example' end"
+    refs = "case when turn % 5 = 3 then array(conv_id || '.' || turn || '.ref@conv.example') else references end"
+    return conv_mail(spark, sf_dir).selectExpr(
+        "conv_id", "turn", "message_id", f"{gone} as in_reply_to", f"{refs} as references"
+    )
+
+
+DEEP = 10_000
+
+
+def deep_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very long chains: messages numbered by order, each answering the one before, up to DEEP of them."""
+    numbered = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as n",
+        "o_orderkey || '@deep.example' as message_id",
+        f"case when o_orderkey % {DEEP} <> 0 then (o_orderkey - 1) || '@deep.example' end as in_reply_to",
+    )
+    return numbered.withColumn("references", F.array().cast("array<string>"))
+
+
+# MIME messages made of pages. Every page is in a message with its HTML and its URL (variants 0 to 2); most pages are
+# in an edge message too. The variant v is page_id % 10, and page_id % 3 for the second message of a page:
 # 0 HTML and a text attachment      1 plain and HTML alternatives     2 inline text and HTML
 # 3 forwarded message with text     4 HTML in an unknown charset      5 headers only
 # 6 PDF with a name only            7 no content                      8 unreadable recipient header
@@ -122,7 +144,7 @@ def conv_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANTS = 10
 _HEAD = (
     "'From: \"Sender, ' || page_id || '\" <s' || (page_id % 13) || '@shop.example>\\r\\n'"
-    " || 'To: ' || case when page_id % 10 = 8 then 'a@[' else 'agent@agency.example, Bob ' || page_id || ' <bob@b.example>' end"
+    " || 'To: ' || case when v = 8 then 'a@[' else 'agent@agency.example, Bob ' || page_id || ' <bob@b.example>' end"
     " || '\\r\\nCc: =?utf-8?q?J=C3=B6rg?= <j' || page_id || '@c.example>\\r\\n'"
     " || 'Subject: =?utf-8?b?' || base64(encode('Re: Seite é ' || page_id, 'utf-8')) || '?=\\r\\n'"
     " || 'Message-ID: <P' || page_id || '@Mail.example>\\r\\nIn-Reply-To: <Q' || (page_id % 7) || '@Mail.example>\\r\\n'"
@@ -156,15 +178,18 @@ _BODIES = {
 def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW table of MIME messages; the oracles read the original pages."""
     bodies = " ".join(f"when {variant} then {sql}" for variant, sql in _BODIES.items())
-    pages = spread(table(spark, sf_dir, "pages"))
+    variants = "case when page_id % 10 > 2 then array(page_id % 10, page_id % 3) else array(page_id % 10) end"
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").selectExpr("*", f"posexplode({variants}) as (nth, v)")
     return pages.selectExpr(
         "page_id as uid_n",
-        "'p' || page_id as uid",
+        "if(nth = 0, 'p', 'q') || page_id as uid",
         "case page_id % 3 when 0 then 'INBOX' when 1 then 'INBOX.Sent' else 'Archive' end as mailbox",
         "cast(page_id % 3 as int) as mailbox_ord",
-        f"case when page_id % 10 <> 7 then cast({_HEAD} || case page_id % 10 {bodies} end as binary) end as content",
+        f"case when v <> 7 then cast({_HEAD} || case v {bodies} end as binary) end as content",
     )
 
 
-RAW_SQL = """select page_id, 'p' || page_id as uid, page_id % 10 as v, url, html,
-    case page_id % 3 when 0 then 'INBOX' when 1 then 'INBOX.Sent' else 'Archive' end as mailbox from pages"""
+RAW_SQL = """select page_id, uid, v, url, html,
+    case page_id % 3 when 0 then 'INBOX' when 1 then 'INBOX.Sent' else 'Archive' end as mailbox from (
+        select page_id, 'p' || page_id as uid, page_id % 10 as v, url, html from pages
+        union all select page_id, 'q' || page_id, page_id % 3, url, html from pages where page_id % 10 > 2)"""

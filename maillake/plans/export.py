@@ -49,8 +49,16 @@ def to_export(
 
 
 def in_order(exported: DataFrame) -> DataFrame:
-    """Mailbox order, then uid order: a range-partitioned sort, opt-in."""
-    return exported.orderBy("mailbox_ord", "uid_n")
+    """Mailbox order, then uid order, text uids last: a range-partitioned sort, opt-in."""
+    return exported.orderBy("mailbox_ord", F.col("uid_n").asc_nulls_last(), "uid")
+
+
+def slim(parsed: DataFrame, keep_payload: bool) -> DataFrame:
+    """Parsed messages without the part texts, which the chosen body repeats; parts go altogether without bytes."""
+    if not keep_payload:
+        return parsed.drop("parts")
+    texts = ("text", "charset")
+    return parsed.withColumn("parts", F.transform("parts", lambda p: p.dropFields(*texts)))
 
 
 @dataclass
@@ -69,6 +77,7 @@ class ExportJob:
     crm_form: str = "json"
     attachments_dir: str | None = None
     html_mode: str = "nodes"
+    ordered: bool = False
     fetch_ts_utc: str = field(default_factory=run_timestamp)
 
     def run(self, spark: SparkSession) -> DataFrame:
@@ -79,7 +88,7 @@ class ExportJob:
         raw = messages.read_mailboxes(spark, self.raw_path, self.mailboxes, self.raw_form, self.limit)
         keep = self.attachments_dir is not None
         staging = f"{self.out_path}/staging"
-        parsed = mime.parse_messages(raw, keep, self.html_mode, self.attachments_dir)
+        parsed = slim(mime.parse_messages(raw, keep, self.html_mode, self.attachments_dir), keep)
         parsed.write.mode("overwrite").parquet(staging)
         good, bad = quality.split_bad_rows(spark.read.parquet(staging))
         bad.write.mode("overwrite").parquet(f"{self.out_path}/quarantine")
@@ -88,15 +97,15 @@ class ExportJob:
         crm = side_inputs.read_crm_map(spark, self.crm_path, self.crm_form)
         exported = to_export(
             good, crm, parse_domains(self.agency_domains), self.tenant, self.fetch_ts_utc, ("mailbox_ord", "mailbox", "uid")
-        ).select(*schemas.EXPORT_FIELDS)
+        )
+        exported = (in_order(exported) if self.ordered else exported).select(*schemas.EXPORT_FIELDS)
         target = f"{self.out_path}/messages"
         if self.out_form == "ndjson":
             sinks.write_ndjson(exported, target)
-            written = sinks.read_ndjson(spark, target)
         else:
-            sinks.write_parquet(exported, target)
-            written = spark.read.parquet(target)
-        return analytics.messages_per_mailbox(written)
+            sinks.write_parquet(exported, target, arrange=not self.ordered)
+        # One record per good message: two narrow columns of the staging table say how many were written.
+        return analytics.messages_per_mailbox(spark.read.parquet(staging).where("error is null").select("mailbox"))
 
     def _save(self, spark: SparkSession, good: DataFrame) -> DataFrame:
         """Save attachment files; the records already name them, so only failures have to be joined back."""
