@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.lineage import Scratch
 from ..operators.skew import lookup_measured
 from .store import uniform
 
@@ -70,31 +71,33 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def plan(
-    measured: DataFrame,
+def source_plan(
+    sized: DataFrame,
+    tables: Scratch,
     key: str = "doc_id",
     source: str = "source",
     weights: Sequence[int] = WEIGHTS,
     most: int = MOST,
     seed: int = 0,
 ) -> DataFrame:
-    """Measured documents with ``source_size``, ``target``, ``rate`` and ``copies``: how often each is taken.
+    """One stored row per source: ``_source_key``, ``source_size``, ``target``, ``rate`` and ``_seed``.
 
-    The rates are broadcast if they are measured to be small, else joined by salted source, so a source
-    with a third of the rows is no hot key.
+    ``sized`` is a stored narrow table with ``size``; it is read for the sums and for the words under each seed.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets(measured, source, weights, most).select(
-        _key(F.col("source")).alias("_rate_key"), "source_size", "target", rate.alias("rate")
+    rates = targets(sized, source, weights, most).select(
+        _key(F.col("source")).alias("_source_key"), "source_size", "target", rate.alias("rate")
     )
-    added = ("source_size", "target", "rate", "copies")
-    keyed = measured.drop(*added).withColumn("_key", _key(F.col(source)))
-    spread = [key, "size"]
-    joined = lookup_measured(keyed, rates, "_key", "_rate_key", spread)
-    chosen = _best_seeds(joined, key, seed)
-    seeded = lookup_measured(joined, chosen, "_key", "_seed_key", spread).drop("_key")
-    draw = uniform(F.col("_seed").cast("string"), F.col(key).cast("string"))
-    return seeded.withColumn("copies", _copies(draw)).drop("_seed")
+    rates = tables.write(rates, "rates")
+    keyed = sized.select(_key(F.col(source)).alias("_key"), F.col(key).cast("string").alias("_id"), "size")
+    rated = lookup_measured(keyed, rates, "_key", "_source_key", ["_id", "size"])
+    every = F.explode(F.sequence(F.lit(seed), F.lit(seed + SEEDS - 1)))
+    drawn = rated.withColumn("_seed", every)
+    words = F.sum(F.col("size") * _copies(uniform(F.col("_seed").cast("string"), "_id")))
+    summed = drawn.groupBy("_key", "_seed").agg(words.alias("_words"), F.first("target").alias("_target"))
+    miss = F.struct(F.abs(F.col("_words") - F.col("_target")), F.col("_seed"))
+    best = summed.groupBy(F.col("_key").alias("_source_key")).agg(F.min_by("_seed", miss).alias("_seed"))
+    return tables.write(rates.join(best, "_source_key"), "sources")
 
 
 def _copies(draw: Column) -> Column:
@@ -102,15 +105,21 @@ def _copies(draw: Column) -> Column:
     return whole + (draw < F.col("rate") - whole).cast("long")
 
 
-def _best_seeds(rated: DataFrame, key: str, seed: int) -> DataFrame:
-    """Per source the seed with which the words taken come nearest to its target; of equals the first."""
-    seeds = range(seed, seed + SEEDS)
-    draws = [uniform(F.lit(str(s)), F.col(key).cast("string")) for s in seeds]
-    sums = [F.sum(F.col("size") * _copies(draw)).alias(f"_s{i}") for i, draw in enumerate(draws)]
-    summed = rated.groupBy("_key").agg(F.first("target").alias("_target"), *sums)
-    misses = F.array(*[F.struct(F.abs(F.col(f"_s{i}") - F.col("_target")), F.lit(s)) for i, s in enumerate(seeds)])
-    best = F.array_min(misses)
-    return summed.select(F.col("_key").alias("_seed_key"), best["col2"].alias("_seed"))
+def apply_plan(docs: DataFrame, sources: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """Documents with ``source_size``, ``target``, ``rate`` and ``copies``: how often each is taken.
+
+    The sources are broadcast if they are measured to be small, else joined by salted source, so a source with a
+    third of the rows is no hot key.
+    """
+    keyed = docs.drop("source_size", "target", "rate", "copies").withColumn("_key", _key(F.col(source)))
+    joined = lookup_measured(keyed, sources, "_key", "_source_key", [key]).drop("_key")
+    draw = uniform(F.col("_seed").cast("string"), F.col(key).cast("string"))
+    return joined.withColumn("copies", _copies(draw)).drop("_seed")
+
+
+def plan(measured: DataFrame, tables: Scratch, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """Measured documents, a stored table, with the columns of ``apply_plan``."""
+    return apply_plan(measured, source_plan(measured, tables, key, source, **options), key, source)
 
 
 def emit(planned: DataFrame) -> DataFrame:
@@ -119,6 +128,13 @@ def emit(planned: DataFrame) -> DataFrame:
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mixed documents with the columns of the input."""
-    return emit(plan(measure(docs, text), key, source, **options)).select(*docs.columns)
+def mix(
+    docs: DataFrame, tables: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """The mixed documents with the columns of the input. Their words are counted once, into a narrow table."""
+    row = F.struct(*docs.columns).alias("row")
+    sized = measure(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    sized = tables.write(sized.select("id", "source", "size"), "sizes")
+    packed = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), row)
+    planned = apply_plan(packed, source_plan(sized, tables, "id", "source", **options), "id", "source")
+    return emit(planned).select("row.*")

@@ -26,7 +26,8 @@ from .store import bound_batches, scratch, table
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.measure(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
     # Written once, so that the texts are counted once for both the sums and the rows.
-    planned = mixing.plan(scratch(spark, "mixing").write(docs, "sizes"))
+    tables = scratch(spark, "mixing")
+    planned = mixing.plan(tables.write(docs, "sizes"), tables)
     taken = F.col("size") * F.col("copies")
     return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "rate")
 

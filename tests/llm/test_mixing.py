@@ -4,6 +4,7 @@ import pytest
 
 from maillake.llm import mixing
 from maillake.llm.queries import QUERIES
+from maillake.llm.store import scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,8 +63,8 @@ def test_emitted_copies(spark):
     rows = [(i, f"w{i} " * (i % 5 + 1), "s" if i % 3 else None) for i in range(300)]
     rows += [(1000, None, "s"), (1001, "", "t"), (None, "x y", "s"), (7, rows[7][1], rows[7][2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'c' as copies", "1 as _key2")
-    planned = mixing.plan(mixing.measure(docs)).collect()
-    out = mixing.mix(docs)
+    planned = mixing.plan(mixing.measure(docs), scratch(spark, "test")).collect()
+    out = mixing.mix(docs, scratch(spark, "test"))
     assert out.columns == docs.columns
     counts = {}
     for r in out.collect():
@@ -72,9 +73,9 @@ def test_emitted_copies(spark):
     for r in planned:
         expected[r["doc_id"]] = expected.get(r["doc_id"], 0) + r["copies"]
     assert counts == {k: n for k, n in expected.items() if n}
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0), scratch(spark, "test")).count() == 0
 
 
 def test_native_only(spark, plan):
-    text = plan(mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")))
+    text = plan(mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), scratch(spark, "test")))
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text

@@ -3,6 +3,7 @@ import json
 import corpus_pipeline as cp
 from maillake.llm import mixing, near_dup
 from maillake.llm.queries import QUERIES
+from maillake.llm.store import scratch
 
 from .helpers import component_names, jaccard, shingle_set, words
 
@@ -36,7 +37,7 @@ def test_stages_against_brute_force(spark):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == free
 
     mixed = cp.mix(spark, clean, SF)
-    times = {r["doc_id"]: r["copies"] for r in mixing.plan(mixing.measure(clean)).collect()}
+    times = {r["doc_id"]: r["copies"] for r in mixing.plan(mixing.measure(clean), scratch(spark, "test")).collect()}
     got = {}
     for r in mixed.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
