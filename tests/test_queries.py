@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as contract
 import verify
+from checks import registry
 from conftest import SF
 
 
@@ -21,14 +22,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     good, note = verify.compare(spark, duck, SF, name)
     assert good, note
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(registry.SQL) == set(registry.QUERIES)
+    assert set(registry.QUERIES) <= set(contract.queries()) and set(registry.SQL) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
