@@ -18,30 +18,38 @@ MOST_ROUNDS = 200  # far more than doubling needs; passing it is an error, never
 def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for all nodes of edges ``a``, ``b``.
 
-    Each round takes the smallest label around each node and then follows labels once, so labels travel twice
-    as far in each round. Groups are only ever reduced to a minimum, which is combined before the shuffle; no
-    component is gathered anywhere. Every round is a written table, so lost executors cost no earlier round.
+    In a round every node takes the smallest label beside it, labels are followed twice, and the graph is contracted
+    to the labels: edges inside one label go, so later rounds are ever smaller. Groups are only reduced to a minimum,
+    which is combined before the shuffle; no component is gathered anywhere. Every round is a written table, so lost
+    executors cost no earlier round.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = tables.write(both.where("a <> b").distinct(), f"{name}-edges")
-    labels = tables.write(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0"
-    )
-    for round_ in range(1, MOST_ROUNDS):
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(around, F.col("node") == F.col("a")).select(
-            "node", F.col("label").alias("was"), F.least("label", "near").alias("label")
-        )
-        lower = tables.write(lower, f"{name}-{round_}-near")
-        target = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        moved = lower.join(target, F.col("label") == F.col("at")).select(
-            "node", F.least("label", "next").alias("label"), (F.col("was") != F.least("label", "next")).alias("changed")
-        )
-        moved = tables.write(moved, f"{name}-{round_}")
-        labels = moved.select("node", "label")
-        if not moved.where("changed").take(1):
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+    pair = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = tables.write(pair.distinct(), f"{name}-edges-0")
+    moves: list[DataFrame] = []
+    for round_ in range(MOST_ROUNDS):
+        if round_ and not open_.take(1):
+            break
+        ends = open_.select("a", "b").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        step = tables.write(step.select("node", F.least("node", "near").alias("label")), f"{name}-near-{round_}")
+        for _ in range(2):
+            target = step.select(F.col("node").alias("at"), F.col("label").alias("next"))
+            step = step.join(target, F.col("label") == F.col("at")).select("node", F.col("next").alias("label"))
+        step = tables.write(step, f"{name}-step-{round_}")
+        moves.append(step)
+        left = open_.join(step.toDF("x", "la"), F.col("a") == F.col("x"))
+        both = left.join(step.toDF("y", "lb"), F.col("b") == F.col("y")).where("la <> lb")
+        contracted = both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        open_ = tables.write(contracted, f"{name}-edges-{round_ + 1}")
+    else:
+        raise RuntimeError("components did not settle")
+    # The last labels are final; earlier ones move on by the later rounds.
+    final = moves[-1]
+    for round_ in reversed(range(len(moves) - 1)):
+        later = final.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        moved = moves[round_].join(later, F.col("label") == F.col("at"), "left")
+        final = tables.write(moved.select("node", F.coalesce("next", "label").alias("label")), f"{name}-final-{round_}")
+    return final.withColumnRenamed("label", "component")
 
 
 def map_blocks(
