@@ -24,7 +24,7 @@ def scratch(spark: SparkSession, job: str) -> Scratch:
     return Scratch(spark, job)
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches by bytes: texts may be very long, and a batch is in memory several times."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
