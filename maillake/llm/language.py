@@ -161,10 +161,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``."""
     added = T._parse_datatype_string(ADDED)
     kept = [f for f in docs.schema.fields if f.name not in added.names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by DIMENSIONS and MOST_LANGUAGES
+    # Plain values, as classes of a broadcast would have to be installed on the executors. Bounded by DIMENSIONS
+    # and MOST_LANGUAGES.
+    values = (model.languages, model.code, model.weights, model.bias, model.trust)
+    shared = docs.sparkSession.sparkContext.broadcast(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model(*shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             rest = batch.select([n for n in batch.schema.names if n != "_text"])

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import per_process
+
 # Wordings of licence notices; fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -87,7 +88,6 @@ def blocks_of(text: str) -> Iterator[tuple[int, str]]:
         yield start, "".join(held)
 
 
-@lru_cache(maxsize=1)
 def _engines(templates: tuple[tuple[str, str], ...]) -> tuple:
     import zstandard as zs
 
@@ -127,7 +127,8 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[Finding]:
     """The licences of a text in order; a block may hold several."""
     if not text or not _CUE.search(text):
         return []
-    plain, engines = _engines(tuple(templates.items()))
+    given = tuple(templates.items())
+    plain, engines = per_process(f"licence-engines-{hash(given)}", lambda: _engines(given))
     spelled = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
     found: list[Finding] = []
     for offset, block in blocks_of(text):
