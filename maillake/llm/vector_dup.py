@@ -3,12 +3,16 @@
 1. Equal vectors of a label are one node. Random hyperplanes give every node a path per tree; runs of nodes that are
    neighbours in path order compare with each other and fill the first neighbour lists.
 2. A round of descent brings the neighbours of each node (in both directions) together; they compare with each other,
-   and every node keeps the best ``NEIGHBOURS`` it has met. Rounds end when few lists change.
-3. Pairs at the threshold are links; their components are found. The list of a node in a component is enlarged to
-   its whole component, compared exactly block by block: a dense group saturates any fixed list. Only counts leave a
-   block, never pairs.
-4. An audit compares ``AUDITED`` nodes with all nodes by brute force. While too few of their links are inside
-   components, further trees and rounds are added; links that the audit finds are kept.
+   and every node keeps the best ``NEIGHBOURS`` it has met. Rounds end when few lists change. Of all pairs at the
+   threshold that meet in a comparison a spanning forest is kept besides, so a full list cuts no group in two.
+3. Pairs at the threshold are links; their components are found. A list whose last entry is at the threshold is full
+   and may hide links to other components, so the nodes of full lists are compared exactly with those of other
+   components: in balls of up to ``BLOCK`` members, leaving out balls that are too far apart for any link.
+4. The list of a node in a component is enlarged to its whole component, compared exactly block by block: a dense
+   group saturates any fixed list. Only counts leave a block, never pairs.
+5. An audit compares ``AUDITED`` nodes with all nodes by brute force. While too few of their links are inside
+   components, further trees and rounds are added; links that the audit finds are kept. A recall that stays below
+   ``RECALL`` is an error, never a poorer result.
 
 Cosines are in double precision. Defined results: vectors that are null, empty, zero, of a null label, or with
 null or non-finite components link with nothing; vectors of different length are not compared; repeated rows are
@@ -43,6 +47,7 @@ AUDITED = 1024
 RECALL = 0.99
 TRIES = 3
 PAIRS = "a binary, b binary, cosine double"
+MET = PAIRS + ", forest boolean"
 
 
 def unit_rows(raw: list[bytes]) -> np.ndarray:
@@ -96,17 +101,38 @@ def with_paths(nodes: DataFrame, trees: int, first: int) -> DataFrame:
     return nodes.select("node", "space", "vec").mapInArrow(run, "node binary, space long, vec binary, paths array<long>")
 
 
-def _offers(nodes: list[bytes], rows: np.ndarray, most: int) -> pa.RecordBatch:
-    """The best others of each node among these, as pairs."""
+def _forest(nodes: list[bytes], linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the linked nodes, from the smallest node of each tree."""
+    left = linked.any(axis=1)
+    ends: tuple[list[int], list[int]] = [], []
+    for root in sorted(np.flatnonzero(left).tolist(), key=nodes.__getitem__):
+        if not left[root]:
+            continue
+        left[root] = False
+        open_ = [root]
+        while open_:
+            i = open_.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            open_ += new.tolist()
+            ends[0].extend([i] * len(new))
+            ends[1].extend(new.tolist())
+    return ends
+
+
+def _offers(nodes: list[bytes], rows: np.ndarray, most: int, threshold: float) -> pa.RecordBatch:
+    """The best others of each node among these, as pairs, and a forest of all pairs at the threshold."""
     near = rows @ rows.T
     np.fill_diagonal(near, -2)
     most = min(most, len(nodes) - 1)
     best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(nodes) - 1 else np.argsort(-near, axis=1)[:, :most]
-    mine = np.repeat(np.arange(len(nodes)), most)
-    other = best.ravel()
+    a, b = _forest(nodes, near >= threshold)
+    mine = np.concatenate([np.repeat(np.arange(len(nodes)), most), np.array(a, np.int64)])
+    other = np.concatenate([best.ravel(), np.array(b, np.int64)])
     names = pa.array(nodes, pa.binary())
-    arrays = [names.take(pa.array(mine)), names.take(pa.array(other)), pa.array(near[mine, other])]
-    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "cosine"])
+    forest = pa.array(np.arange(len(mine)) >= len(nodes) * most)
+    arrays = [names.take(pa.array(mine)), names.take(pa.array(other)), pa.array(near[mine, other]), forest]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "cosine", "forest"])
 
 
 def _distinct(nodes: list[bytes], vecs: list[bytes]) -> tuple[list[bytes], list[bytes]]:
@@ -114,7 +140,7 @@ def _distinct(nodes: list[bytes], vecs: list[bytes]) -> tuple[list[bytes], list[
     return list(found), list(found.values())
 
 
-def tree_pairs(pathed: DataFrame, tree: int) -> DataFrame:
+def tree_pairs(pathed: DataFrame, tree: int, threshold: float) -> DataFrame:
     """Comparisons of runs of nodes in the path order of a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,30 +151,33 @@ def tree_pairs(pathed: DataFrame, tree: int) -> DataFrame:
             for node, own, vec in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if own != space or len(nodes) == RUN:
                     if len(nodes) > 1:
-                        yield _offers(nodes, unit_rows(vecs), NEIGHBOURS)
+                        yield _offers(nodes, unit_rows(vecs), NEIGHBOURS, threshold)
                     nodes, vecs, space = [], [], own
                 nodes.append(node)
                 vecs.append(vec)
         if len(nodes) > 1:
-            yield _offers(nodes, unit_rows(vecs), NEIGHBOURS)
+            yield _offers(nodes, unit_rows(vecs), NEIGHBOURS, threshold)
 
     order = ["space", "path", "node"]
     dealt = pathed.select("node", "space", "vec", F.col("paths")[tree].alias("path"))
     parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, PAIRS)
+    return dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, MET)
 
 
 def best_lists(pairs: DataFrame) -> DataFrame:
-    """The best neighbours of each node; pairs met twice count once."""
-    once = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("old").alias("old"))
+    """The best neighbours of each node, by ``rank``, and the forests; pairs met twice count once."""
+    once = pairs.groupBy("a", "b").agg(
+        F.max("cosine").alias("cosine"), F.min("old").alias("old"), F.max("forest").alias("forest")
+    )
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))
-    return once.withColumn("_rank", rank).where(F.col("_rank") <= NEIGHBOURS).drop("_rank")
+    return once.withColumn("rank", rank).where(F.col("forest") | (F.col("rank") <= NEIGHBOURS))
 
 
-def descend(lists: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
+def descend(lists: DataFrame, nodes: DataFrame, round_: int, threshold: float) -> DataFrame:
     """One round: the neighbours around each node compare with each other."""
-    around = lists.select(F.col("a").alias("center"), F.col("b").alias("node"))
-    around = around.union(lists.select(F.col("b").alias("center"), F.col("a").alias("node"))).distinct()
+    best = lists.where(F.col("rank") <= NEIGHBOURS)
+    around = best.select(F.col("a").alias("center"), F.col("b").alias("node"))
+    around = around.union(best.select(F.col("b").alias("center"), F.col("a").alias("node"))).distinct()
     degrees = around.groupBy("center").agg(F.count(F.lit(1)).alias("degree"))
     # Around a much-listed node they meet in parts that change from round to round.
     part = F.pmod(F.xxhash64("center", "node", F.lit(round_)), F.ceil(F.col("degree") / CROWD).cast("long"))
@@ -158,10 +187,85 @@ def descend(lists: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
         own, vecs = _distinct(block.column("node").to_pylist(), block.column("vec").to_pylist())
         if len(own) > 1 and len({len(v) for v in vecs}) == 1:
-            yield _offers(own, unit_rows(vecs), OFFERED)
+            yield _offers(own, unit_rows(vecs), OFFERED, threshold)
+
+    met = map_blocks(full, "block", compare, MET).withColumn("old", F.lit(False))
+    return best_lists(lists.drop("rank").withColumn("old", F.lit(True)).unionByName(met))
+
+
+def full_lists(lists: DataFrame) -> DataFrame:
+    """The nodes whose last place is taken by a link."""
+    return lists.where((F.col("rank") == NEIGHBOURS) & F.col("link")).select(F.col("a").alias("node"))
+
+
+def crossing_links(members: DataFrame, tables: Scratch, threshold: float, name: str) -> DataFrame:
+    """Links that join the members' components, exactly; one for every two balls that have any.
+
+    A component is dealt to balls of about ``BLOCK`` members, each with its middle and the largest angle to it. Balls
+    whose middles are further apart than both angles and that of the threshold hold no link.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    own = members.join(sizes, "component")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long"))
+    own = own.select("node", "space", "vec", "component", F.xxhash64("component", part).alias("ball"))
+    own = tables.write(own, f"{name}-members")
+
+    def middle(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = unit_rows(block.column("vec").to_pylist())
+        center = rows.sum(axis=0)
+        size = np.linalg.norm(center)
+        center = center / size if size > 1e-9 else rows[0]
+        angle = float(np.arccos(np.clip(rows @ center, -1, 1)).max())
+        one = block.slice(0, 1)
+        arrays = [one.column(n).combine_chunks() for n in ("ball", "space", "component")]
+        arrays += [pa.array([center.tobytes()], pa.binary()), pa.array([angle])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["ball", "space", "component", "center", "angle"])
+
+    schema = "ball long, space long, component binary, center binary, angle double"
+    balls = tables.write(map_blocks(own, "ball", middle, schema), f"{name}-balls")
+    counts = balls.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = balls.join(counts, "space").withColumn("own", F.pmod(F.xxhash64("ball"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "ball", "component", "center", "angle", "own",
+        F.xxhash64("space", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+        (F.col("own") == F.col("other")).alias("same"),
+    )
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def close(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = block.column("ball").to_numpy()
+        centers = np.frombuffer(b"".join(block.column("center").to_pylist()), np.float64).reshape(len(names), -1)
+        angles, side = block.column("angle").to_numpy(), block.column("own").to_numpy()
+        inside = block.column("same")[0].as_py()
+        group = np.unique(np.array([c.hex() for c in block.column("component").to_pylist()]), return_inverse=True)[1]
+        for start in range(0, len(names), BLOCK):
+            part = slice(start, start + BLOCK)
+            apart = np.arccos(np.clip(centers[part] @ centers.T, -1, 1))
+            near = (apart <= angles[part, None] + angles[None, :] + reach) & (group[part, None] != group[None, :])
+            near &= names[part, None] < names[None, :]
+            if not inside:
+                near &= side[part, None] != side[None, :]
+            i, j = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(names[start + i]), pa.array(names[j])], names=["x", "y"])
+
+    pairs = map_blocks(dealt, "block", close, "x long, y long").withColumn("pair", F.xxhash64("x", "y"))
+    pairs = tables.write(pairs, f"{name}-pairs")
+    ends = pairs.select("pair", F.col("x").alias("ball")).union(pairs.select("pair", F.col("y").alias("ball")))
+    met = ends.join(own.select("ball", "node", "vec"), "ball")
+
+    def link(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes = block.column("node").to_pylist()
+        rows = unit_rows(block.column("vec").to_pylist())
+        first = block.column("ball").to_numpy() == block.column("ball")[0].as_py()
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        near = rows[a] @ rows[b].T
+        i, j = np.unravel_index(near.argmax(), near.shape)
+        if near[i, j] >= threshold:
+            arrays = [pa.array([nodes[a[i]]], pa.binary()), pa.array([nodes[b[j]]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
-    met = map_blocks(full, "block", compare, PAIRS).withColumn("old", F.lit(False))
-    return best_lists(lists.withColumn("old", F.lit(True)).unionByName(met))
+    return tables.write(map_blocks(met, "pair", link, "a binary, b binary"), f"{name}-links")
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -262,22 +366,28 @@ def near_duplicates(
     links = lists = None
     for attempt in range(TRIES):
         pathed = tables.write(with_paths(nodes, TREES, attempt * TREES), f"paths-{attempt}")
-        pairs = tree_pairs(pathed, 0)
+        pairs = tree_pairs(pathed, 0, threshold)
         for tree in range(1, TREES):
-            pairs = pairs.unionByName(tree_pairs(pathed, tree))
+            pairs = pairs.unionByName(tree_pairs(pathed, tree, threshold))
         pairs = pairs.withColumn("old", F.lit(False))
         if lists is not None:
-            pairs = pairs.unionByName(lists.withColumn("old", F.lit(True)))
+            pairs = pairs.unionByName(lists.drop("rank").withColumn("old", F.lit(True)))
         lists = tables.write(best_lists(pairs), f"lists-{attempt}-0")
         for round_ in range(1, ROUNDS + 1):
-            lists = tables.write(descend(lists.drop("old"), nodes, round_), f"lists-{attempt}-{round_}")
-            places = lists.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("old")).alias("new")).first()
+            lists = tables.write(descend(lists.drop("old"), nodes, round_, threshold), f"lists-{attempt}-{round_}")
+            places = lists.where(F.col("rank") <= NEIGHBOURS).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("old")).alias("new")).first()
             if places["new"] <= FEW * places["n"]:
                 break
         lists = lists.drop("old")
         found = lists.where(F.col("cosine") >= threshold).select("a", "b")
         links = found if links is None else links.unionByName(found)
         component = components(links, tables, f"components-{attempt}")
+        full = full_lists(lists.withColumn("link", F.col("cosine") >= threshold))
+        full = nodes.select("node", "space", "vec").join(full, "node").join(component, "node")
+        crossing = crossing_links(full, tables, threshold, f"crossing-{attempt}")
+        if crossing.take(1):
+            links = links.unionByName(crossing)
+            component = components(links, tables, f"crossed-{attempt}")
         seen = tables.write(audit(nodes, threshold, attempt), f"audit-{attempt}")
         side = component.select("node", "component")
         checked = seen.join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
@@ -285,6 +395,8 @@ def near_duplicates(
         links = tables.write(links.unionByName(seen.select("a", "b")), f"links-{attempt}")
         if share["hit"] >= RECALL * share["n"]:
             break
+    else:
+        raise RuntimeError(f"recall stays below {RECALL}: {share['hit']} of {share['n']} audited links")
     component = components(links, tables, "components")
     members = nodes.join(component, "node").select("node", "vec", "copies", "component")
     counts = tables.write(count_links(members, threshold), "counts")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from maillake.llm import vector_dup as vd
 from maillake.llm.queries import QUERIES
@@ -48,6 +49,46 @@ def test_dense_groups_and_copies(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def dense(rng, center, n, size=32):
+    """Vectors with a cosine of about 0.99 to each other."""
+    center = center / np.linalg.norm(center)
+    return [(center + 0.1 * x / np.linalg.norm(x)).tolist() for x in rng.standard_normal((n, size))]
+
+
+def test_links_between_dense_groups(spark, monkeypatch):
+    monkeypatch.setattr(vd, "AUDITED", 4)
+    rng = np.random.default_rng(3)
+    vectors = []
+    for n in [20] * 12 + [150]:
+        one, other = rng.standard_normal((2, 32))
+        one /= np.linalg.norm(one)
+        other -= one * (one @ other)
+        other /= np.linalg.norm(other)
+        vectors += dense(rng, one, n) + dense(rng, 0.944 * one + np.sqrt(1 - 0.944**2) * other, n)
+    vectors = [vectors[i] for i in rng.permutation(len(vectors))]
+    rows = [(i, v, 1) for i, v in enumerate(vectors)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_balls_miss_no_link_between_components(spark, monkeypatch):
+    monkeypatch.setattr(vd, "BLOCK", 5)
+    rng = np.random.default_rng(4)
+    groups = [dense(rng, rng.standard_normal(3), 12, 3) for _ in range(60)]
+    rows = [(f"{g:03}-{i:03}".encode(), 1, np.array(v).tobytes(), b"%03d" % g) for g, own in enumerate(groups) for i, v in enumerate(own)]
+    members = spark.createDataFrame(rows, "node binary, space long, vec binary, component binary")
+    links = vd.crossing_links(members, scratch(spark, "test"), 0.93, "x").collect()
+    unit = [np.array(g) / np.linalg.norm(g, axis=1, keepdims=True) for g in groups]
+    wanted = {(a, b) for a in range(60) for b in range(a) if (unit[a] @ unit[b].T).max() >= 0.93}
+    assert {tuple(sorted((int(r["a"][:3]), int(r["b"][:3])), reverse=True)) for r in links} == wanted
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vd, "RECALL", 1.01)
+    rows = [(i, [1.0, i / 100], 1) for i in range(4)]
+    with pytest.raises(RuntimeError, match="recall"):
+        found(spark, rows)
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1),
