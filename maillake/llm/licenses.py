@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-Blocks of lines that speak of licences are candidates. Each is compressed alone and with every template as raw
-zstandard dictionary; the fewer bytes with a template, the more of the block the template explains. The
-templates with the largest reductions are then compared word by word, and one that differs in few enough
-words wins.
+Blocks of lines that speak of licences are candidates. Every template is laid along each block word by word; the parts
+that differ in few enough words are compressed alone and with the template as raw zstandard dictionary. Of parts
+that overlap, the one with fewest differences wins, then the one with the largest reduction in bytes. So the words
+around a notice play no role, and a block may hold several.
 
 Defined results: null and empty texts, and texts without a licence line, have no findings; repeated rows are scanned
 alike; of templates that fit equally well the one listed first counts; an empty table gives an empty one; columns
@@ -14,6 +14,7 @@ are read whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,8 +51,6 @@ TEMPLATES = {
 # Words that make a line a candidate; fixed values.
 CUES = r"(?i)licen[sc]|copyright|permission|warrant|public domain|redistribut|copyleft|spdx|creative commons"
 MOST_DIFFERENT = 0.25  # of the template's words
-LEAST_REDUCTION = 0.3  # of the bytes of the block compressed alone
-COMPARED = 3  # templates compared by words, besides ties
 FOUND = "licenses array<struct<license:string,start:long,end:long,reduction:double,missing:int,extra:int>>"
 
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
@@ -100,10 +99,11 @@ def _engines(templates: tuple[tuple[str, str], ...]) -> tuple:
     return engine(None), [(name, engine(" ".join(w for w, _, _ in words_of(text)))) for name, text in templates]
 
 
-def _aligned(template: list[str], words: list[str]) -> tuple[int, int, int, int]:
-    """Best local alignment: words of the template missing, words extra, first and last block word of the match.
+def _aligned(template: list[str], words: list[str], most: float) -> list[tuple[int, int, int]]:
+    """The parts of the words that differ in at most ``most`` from the template: cost, first word and end.
 
-    The whole template is laid along any part of the block; a missing or an extra word costs 1.
+    The whole template is laid along any part of the block; a missing or an extra word costs 1. Of parts that overlap
+    the nearest stays.
     """
     # cost, start per end; the part may start anywhere at no cost
     row = [(0, j) for j in range(len(words) + 1)]
@@ -117,10 +117,16 @@ def _aligned(template: list[str], words: list[str]) -> tuple[int, int, int, int]
                 best = (new[-1][0] + 1, new[-1][1])
             new.append(best)
         row = new
-    cost, end = min((c, j) for j, (c, _) in enumerate(row))
-    start = row[end][1]
-    matched = (len(template) + (end - start) - cost) // 2
-    return len(template) - matched, (end - start) - matched, start, end
+    return _apart(sorted((cost, start, end) for end, (cost, start) in enumerate(row) if cost <= most and end > start))
+
+
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    """Of parts that overlap the one listed first; parts end with their first word and their end."""
+    kept: list[tuple] = []
+    for part in ranked:
+        if all(part[-1] <= other[-2] or other[-1] <= part[-2] for other in kept):
+            kept.append(part)
+    return kept
 
 
 def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[Finding]:
@@ -132,55 +138,24 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[Finding]:
     spelled = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
     found: list[Finding] = []
     for offset, block in blocks_of(text):
-        for part_at, part in _parts(block, max(map(len, spelled.values()))):
-            words = words_of(part)
-            if not words:
+        words = words_of(block)
+        own = [w for w, _, _ in words]
+        held = Counter(own)
+        fits = []
+        for k, (name, engine) in enumerate(engines):
+            template, most = spelled[name], MOST_DIFFERENT * len(spelled[name])
+            if (Counter(template) - held).total() > most:  # no part of the block has more of its words
                 continue
-            data = " ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass")
-            alone = len(plain.compress(data))
-            ranked = sorted(((alone - len(e.compress(data))) / alone, -k, name) for k, (name, e) in enumerate(engines))[::-1]
-            floor = ranked[min(COMPARED, len(ranked)) - 1][0]
-            best = None
-            for gain, rank, name in ranked:
-                if gain < floor or gain < LEAST_REDUCTION:
-                    break
-                missing, extra, first, last = _aligned(spelled[name], [w for w, _, _ in words])
-                if missing + extra <= MOST_DIFFERENT * len(spelled[name]) and last > first:
-                    key = (missing + extra, -gain, -rank)
-                    where = (offset + part_at + words[first][1], offset + part_at + words[last - 1][2])
-                    if best is None or key < best[0]:
-                        best = key, Finding(name, *where, round(gain, 6), missing, extra)
-            if best is not None:
-                found.append(best[1])
-    return list(dict.fromkeys(found))
-
-
-def _parts(block: str, longest: int) -> Iterator[tuple[int, str]]:
-    """A short block whole; a long one in parts around its cues, so a notice inside a long line stands out."""
-    words = words_of(block)
-    reach = longest + 8
-    if len(words) <= 2 * reach:
-        lines = block.splitlines(keepends=True)
-        if len(lines) <= 1:
-            yield 0, block
-            return
-        at = 0
-        for line in lines:
-            yield at, line
-            at += len(line)
-        yield 0, block
-        return
-    starts = [s for _, s, _ in words]
-    done = -1
-    import bisect
-
-    for m in _CUE.finditer(block):
-        k = bisect.bisect_left(starts, m.start())
-        if k <= done:
-            continue
-        low, high = max(0, k - reach), min(len(words), k + reach)
-        done = k + reach // 4
-        yield words[low][1], block[words[low][1] : words[high - 1][2]]
+            for cost, first, end in _aligned(template, own, most):
+                data = " ".join(own[first:end]).encode("utf-8", "surrogatepass")
+                alone = len(plain.compress(data))
+                fits.append((cost, -(alone - len(engine.compress(data))) / alone, k, first, end))
+        for cost, gain, k, first, end in _apart(sorted(fits)):
+            name = engines[k][0]
+            matched = (len(spelled[name]) + (end - first) - cost) // 2
+            where = (offset + words[first][1], offset + words[end - 1][2])
+            found.append(Finding(name, *where, round(-gain, 6), len(spelled[name]) - matched, end - first - matched))
+    return sorted(found, key=lambda f: f.start)
 
 
 def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -29,6 +29,25 @@ def test_other_texts_have_none():
         assert li.scan(text) == []
 
 
+PROSE = (
+    "Our crew measured seventeen rivers before winter while Greta drew maps with charcoal and nobody complained about cold "
+    "soup near Lisbon until a quiet engineer brought better kettles from Oslo last Thursday evening"
+).split(" ")
+
+
+def test_notices_between_varied_words_of_a_line():
+    for name, notice in li.TEMPLATES.items():
+        for before, after in ((3, 3), (9, 6), (14, 16)):
+            line = " ".join(PROSE[:before]) + " " + notice + " " + " ".join(PROSE[before : before + after])
+            (found,) = li.scan(line)
+            assert found.license == name and line[found.start : found.end] == notice.rstrip(".") and found.missing + found.extra == 0
+
+
+def test_all_notices_of_a_line_are_found():
+    line = f"{' '.join(PROSE[:5])} {li.TEMPLATES['MIT']} {' '.join(PROSE[5:9])} {li.TEMPLATES['Apache-2.0']} {li.TEMPLATES['MIT']}"
+    assert [f.license for f in li.scan(line)] == ["MIT", "Apache-2.0", "MIT"]
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, li.TEMPLATES["MIT"]), (3, li.TEMPLATES["MIT"]), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as licenses")
