@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-Blocks of lines that speak of licences are candidates. Every template is laid along each block word by word; the parts
+The words around each cue, over line ends, are candidate blocks. Every template is laid along each block word by word; the parts
 that differ in few enough words are compressed alone and with the template as raw zstandard dictionary. Of parts
 that overlap, the one with fewest differences wins, then the one with the largest reduction in bytes. So the words
 around a notice play no role, and a block may hold several.
 
-Defined results: null and empty texts, and texts without a licence line, have no findings; repeated rows are scanned
+Defined results: null and empty texts, and texts without a cue, have no findings; repeated rows are scanned
 alike; of templates that fit equally well the one listed first counts; an empty table gives an empty one; columns
 of the input are kept, and the added ``licenses`` replaces a column of the same name. Lines of any length
 are read whole.
@@ -13,6 +13,7 @@ are read whole.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,11 +50,13 @@ TEMPLATES = {
     ),
 }
 # Words that make a line a candidate; fixed values.
-CUES = r"(?i)licen[sc]|copyright|permission|warrant|public domain|redistribut|copyleft|spdx|creative commons"
+CUES = r"(?i)licen[sc]|copyright|permission|warrant|public\W+domain|redistribut|copyleft|spdx|creative\W+commons"
 MOST_DIFFERENT = 0.25  # of the template's words
 FOUND = "licenses array<struct<license:string,start:long,end:long,reduction:double,missing:int,extra:int>>"
 
-_WORD = re.compile(r"\w+(?:[.'-]\w+)*")
+# A word with hyphens may go on in the next line, after its comment mark.
+_WORD = re.compile(r"\w+(?:[.'-]\w+|-[ \t]*\r?\n[\s#*/]*+\w+)*")
+_BROKEN = re.compile(r"-\W+")
 _CUE = re.compile(CUES.removeprefix("(?i)"), re.I)
 
 
@@ -68,23 +71,24 @@ class Finding(NamedTuple):
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Words in lower case with their places; runs without end are plain words too."""
-    return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
-
-
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """Candidate blocks: runs of neighbouring lines of which each, or the one before, has a cue."""
-    at, start, held = 0, 0, []
-    for line in text.splitlines(keepends=True):
-        if _CUE.search(line):
-            if not held:
-                start = at
-            held.append(line)
-        elif held:
-            yield start, "".join(held)
-            held = []
-        at += len(line)
-    if held:
-        yield start, "".join(held)
+    return [(_BROKEN.sub("-", m.group().lower()), m.start(), m.end()) for m in _WORD.finditer(text)]
+
+
+def blocks_of(text: str, reach: int) -> Iterator[tuple[int, str]]:
+    """Candidate blocks: ``reach`` words before and after each cue, over line ends; blocks that meet are one."""
+    words = words_of(text)
+    ends = [e for _, _, e in words]
+    low = high = 0
+    for m in _CUE.finditer(text):
+        k = bisect.bisect_right(ends, m.start())
+        if high and k - reach > high:
+            yield words[low][1], text[words[low][1] : words[high - 1][2]]
+            high = 0
+        if not high:
+            low = max(0, k - reach)
+        high = min(len(words), k + reach + 1)
+    if high:
+        yield words[low][1], text[words[low][1] : words[high - 1][2]]
 
 
 def _engines(templates: tuple[tuple[str, str], ...]) -> tuple:
@@ -137,7 +141,9 @@ def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[Finding]:
     plain, engines = per_process(f"licence-engines-{hash(given)}", lambda: _engines(given))
     spelled = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
     found: list[Finding] = []
-    for offset, block in blocks_of(text):
+    # A notice with extra words may reach further from its cue than the template.
+    reach = 1 + int((1 + MOST_DIFFERENT) * max(map(len, spelled.values()), default=0))
+    for offset, block in blocks_of(text, reach):
         words = words_of(block)
         own = [w for w, _, _ in words]
         held = Counter(own)

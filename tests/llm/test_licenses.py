@@ -1,3 +1,5 @@
+import textwrap
+
 from maillake.llm import licenses as li
 from maillake.llm.queries import QUERIES
 
@@ -48,6 +50,15 @@ def test_all_notices_of_a_line_are_found():
     assert [f.license for f in li.scan(line)] == ["MIT", "Apache-2.0", "MIT"]
 
 
+def test_notices_wrapped_over_lines():
+    for name, notice in li.TEMPLATES.items():
+        for width in range(40, 81):
+            for mark in ("", "# ", " * "):
+                lines = textwrap.wrap(" ".join(PROSE[:7]) + " " + notice + " " + " ".join(PROSE[7:20]), width)
+                (found,) = li.scan("\n".join(mark + line for line in lines))
+                assert found.license == name and found.missing + found.extra <= 3, (name, width)  # a hyphen may end a line
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, li.TEMPLATES["MIT"]), (3, li.TEMPLATES["MIT"]), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as licenses")
