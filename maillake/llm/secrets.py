@@ -2,7 +2,8 @@
 
 A text is scanned by three patterns. Then its encoded parts are unwrapped: URL escapes, Unicode escapes, base64, and
 compressed bytes inside base64. Each unwrapped layer goes on a worklist, is scanned itself and searched for
-further parts, until none is left. Layers seen before are not unwrapped again, so encodings that lead back to
+further parts, until none is left. Base64 is read line by line and joined over single line ends. Bytes that are not UTF-8 are
+replaced, and a broken compressed stream gives what comes before the error. Layers seen before are not unwrapped again, so encodings that lead back to
 an earlier layer end. Every character of a layer knows the span of the original text it came from, so all
 findings are spans of the original text.
 
@@ -45,6 +46,9 @@ _RUN = re.compile(r"\S+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}" % LEAST_BASE64)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+_ESCAPED = re.compile("[\udc80-\udcff]")
 # What tells a run of base64 letters from a word: a digit, a sign, padding or a capital after the first letter.
 _CODED = re.compile(r"[0-9+/_=-]|.[A-Z]")
 COLUMNS = "base_spans array<string>, layer_spans array<string>, layers int, unscanned int"
@@ -81,23 +85,34 @@ def scan(text: str) -> list[Found]:
     return sorted(found)
 
 
-def _decoded_bytes(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
-    """Bytes as UTF-8 text with the place of each character; None if they are no text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _decoded_bytes(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """Bytes as text with the place of each character; a byte that is not UTF-8 becomes a replacement character."""
+    text = data.decode("utf-8", "surrogateescape")
     if len(text) == len(data):
-        return text, owners
+        return _ESCAPED.sub("\ufffd", text), owners
     spans, at = [], 0
     for c in text:
-        n = len(c.encode("utf-8"))
+        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
         spans.append((owners[at][0], owners[at + n - 1][1]))
         at += n
-    return text, spans
+    return _ESCAPED.sub("\ufffd", text), spans
+
+
+def _wide(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
+    """UTF-16 bytes as text; None if they do not look like it."""
+    order = {b"\xff\xfe": "little", b"\xfe\xff": "big"}.get(data[:2])
+    if order is None:
+        zeros = [data[i::2].count(0) for i in (0, 1)]
+        if max(zeros) * 4 < len(data):  # half of all characters
+            return None
+        order = "big" if zeros[0] > zeros[1] else "little"
+    units = np.frombuffer(data[: len(data) // 2 * 2], "<u2" if order == "little" else ">u2")
+    # One character a unit: halves of a pair are never part of a finding.
+    text = "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in units.tolist())
+    return text, [(owners[2 * i][0], owners[2 * i + 1][1]) for i in range(len(units))]
 
 
-def _percent(run: str) -> tuple[str, list[tuple[int, int]]] | None:
+def _percent(run: str) -> tuple[str, list[tuple[int, int]]]:
     data, owners, at = bytearray(), [], 0
     for m in _PERCENT.finditer(run):
         for i in range(at, m.start()):
@@ -164,8 +179,37 @@ def _unpack(data: bytes) -> tuple[bytes, bool] | None:
             stream = gzip.GzipFile(fileobj=source)
         out = stream.read(UNPACKED_BYTES)
         return out, len(out) == UNPACKED_BYTES and bool(stream.read(1))
-    except Exception:  # broken or foreign bytes: no layer
-        return None
+    except Exception:  # broken or foreign bytes: what comes out before the error
+        return _partial(kind, data)
+
+
+def _partial(kind: str, data: bytes) -> tuple[bytes, bool] | None:
+    """What a broken stream gives, byte by byte up to the error; None if that is nothing."""
+    if kind == "zstd":
+        import zstandard
+
+        engine = zstandard.ZstdDecompressor().decompressobj()
+    elif kind == "bz2":
+        import bz2
+
+        engine = bz2.BZ2Decompressor()
+    elif kind == "xz":
+        import lzma
+
+        engine = lzma.LZMADecompressor()
+    else:
+        engine = zlib.decompressobj(47)
+    out = bytearray()
+    try:
+        for i in range(len(data)):
+            out += engine.decompress(data[i : i + 1])
+            if len(out) > UNPACKED_BYTES:
+                return bytes(out[:UNPACKED_BYTES]), True
+            if kind in ("gzip", "zlib") and engine.eof:  # the next member of a gzip file
+                engine = zlib.decompressobj(47)
+    except Exception:  # the error itself
+        pass
+    return (bytes(out), False) if out else None
 
 
 def _readable(text: str) -> bool:
@@ -173,6 +217,11 @@ def _readable(text: str) -> bool:
     return bool(text) and not re.search(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]", text)
 
 
+def _coded(text: str) -> bool:
+    """Whether there is an encoded part in a text."""
+    return bool(_PERCENT.search(text) or _UNICODE.search(text) or any(_CODED.search(m.group()) for m in _BASE64.finditer(text)))
+
+
 def _base64(run: str) -> tuple[str, list[tuple[int, int]], bool] | None:
     body = run.rstrip("=")
     usable = len(body) - (len(body) % 4 == 1)
@@ -187,10 +236,12 @@ def _base64(run: str) -> tuple[str, list[tuple[int, int]], bool] | None:
         text = out.decode("utf-8", "replace")
         return (text, [(0, len(run))] * len(text), cut) if text else None
     owners = [(b // 3 * 4, min(len(run), b // 3 * 4 + 4)) for b in range(len(data))]
-    decoded = _decoded_bytes(data, owners)
-    if decoded is None or not _readable(decoded[0]):
+    wide = _wide(data, owners)
+    text, spans = wide if wide is not None else _decoded_bytes(data, owners)
+    # Bytes that are no plain text are a layer only if there is something in them.
+    if not _readable(text) and not scan(text) and not _coded(text):
         return None
-    return decoded[0], decoded[1], False
+    return text, spans, False
 
 
 def _unwrap(text: str) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]:
@@ -199,9 +250,7 @@ def _unwrap(text: str) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]
         for m in _RUN.finditer(text):
             run = m.group()
             if "%" in run and _PERCENT.search(run):
-                decoded = _percent(run)
-                if decoded is not None:
-                    yield m.start(), *decoded, False
+                yield m.start(), *_percent(run), False
             if "\\" in run and _UNICODE.search(run):
                 yield m.start(), *_unicode(run), False
     for m in _BASE64.finditer(text):
@@ -210,6 +259,28 @@ def _unwrap(text: str) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]
             decoded64 = _base64(run)
             if decoded64 is not None:
                 yield m.start(), *decoded64
+    for m in _WRAPPED.finditer(text):
+        for lines in _joined([(p.start(), p.end()) for p in _LINE.finditer(text, m.start(), m.end())]):
+            run = "".join(text[a:b] for a, b in lines)
+            decoded64 = _base64(run) if _CODED.search(run) else None
+            if decoded64 is not None:
+                start = lines[0][0]
+                at = [i - start for a, b in lines for i in range(a, b)]
+                spans = [(at[a], at[b - 1] + 1) for a, b in decoded64[1]]
+                yield start, decoded64[0], spans, decoded64[2]
+
+
+def _joined(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The lines that may be one wrapped text: all, and each run of equally long lines with a shorter one after it."""
+    runs, start = [lines], 0
+    size = [b - a for a, b in lines]
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or size[i] != size[start]:
+            end = i + (i < len(lines) and size[i] < size[start])
+            if end - start > 1 and end - start < len(lines):
+                runs.append(lines[start:end])
+            start = i
+    return runs
 
 
 def scan_layers(text: str) -> tuple[list[Found], list[Found], int, int]:

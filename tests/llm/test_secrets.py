@@ -5,6 +5,7 @@ import re
 import urllib.parse
 import zlib
 
+import numpy as np
 import zstandard
 
 from maillake.llm import secrets as sc
@@ -95,3 +96,27 @@ def test_the_query_against_plain_patterns(spark):
         assert set(base) <= set(spans)
         keyed = [(int(s.split(":")[1]), sc.KINDS.index(s.split(":")[0])) for s in spans]
         assert keyed == sorted(keyed)
+
+
+def test_wrapped_base64():
+    rng = np.random.default_rng(2)
+    noise = "".join(rng.choice(list("abcxyz .,\n"), 900))
+    for size in (64, 76):
+        for pack in (lambda b: b, gzip.compress, zlib.compress, zstandard.compress):
+            for end in ("\n", "\r\n", "\n    "):
+                coded = base64.b64encode(pack(f"{noise} {KEY} {noise}".encode())).decode()
+                lines = [coded[i : i + size] for i in range(0, len(coded), size)]
+                for before in ("Cert: ", "ContentOfTheMessage1\n"):
+                    assert any(f.startswith("access:") for f in layers(f"{before}{end.join(lines)}\n\nend"))
+
+
+def test_secrets_beside_bytes_that_are_no_utf8():
+    assert any(f.startswith("assign:") for f in layers("caf%E9&password%3Dhunter2hunter2"))
+    for data in (f"\x01 {KEY} ".encode(), b"\xe9 " + KEY.encode() + b" \xff", KEY.encode("utf-16"), f" {KEY} ".encode("utf-16-be")):
+        assert any(f.startswith("access:") for f in layers(base64.b64encode(data).decode()))
+
+
+def test_broken_streams_keep_what_was_unpacked():
+    for pack in (gzip.compress, zlib.compress):
+        data = pack(f"{KEY} ".encode() + np.random.default_rng(1).bytes(4000).hex().encode())
+        assert any(f.startswith("access:") for f in layers(base64.b64encode(data[: len(data) // 2]).decode()))
