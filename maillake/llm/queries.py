@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_repair,
     decontaminate,
+    fingerprints,
     language,
     licenses,
     mixing,
     near_dup,
+    neighbours,
+    periodic_runs,
     secrets,
     sharding,
     sqltext,
@@ -159,3 +163,92 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), scratch(spark, "decontaminate"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
+
+
+def planted_runs() -> Column:
+    """The text in which every tenth document, by the CRC of its key, repeats a stretch of its words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    place = "if(i < g % size(w), i, g % size(w) + (i - g % size(w)) % (1 + floor((size(w) - g % size(w)) / (3 + g % 8))))"
+    repeated = f"""element_at(transform(array(regexp_extract_all(text, r'[^\\x20\\x09-\\x0D]+', 0)), w ->
+        case when size(w) = 0 then text
+        else array_join(transform(sequence(0, size(w) - 1), i -> w[cast({place} as int)]), ' ') end), 1)"""
+    g = "floor(crc32(cast(cast(doc_id as string) as binary)) / 10)"
+    return F.when(h % 10 == 0, F.expr(repeated.replace("g %", f"{g} %"))).otherwise(F.col("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_runs().alias("text"))
+    found = periodic_runs.find_runs(docs)
+    best = F.expr("aggregate(runs, get(runs, 0), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr(r"transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    paired = neighbours.with_next(docs, "doc_id", "text", scratch(spark, "fingerprints"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.left("next_text", half))
+    rows = paired.select("doc_id", "text", "next_text", edited.alias("edited"), F.length("text").cast("long").alias("n_chars"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    for text, name in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
+        rows = fingerprints.fingerprint(rows, text, name)
+    own, changed, following = F.col("own"), F.col("changed"), F.col("following")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.text_of(own).alias("fingerprint"),
+        fingerprints.text_of(changed).alias("edited_fingerprint"),
+        fingerprints.likeness(own, changed).alias("near_edited"),
+        fingerprints.likeness(own, following).alias("near_next"),
+        fingerprints.containment(own, changed).alias("kept_share"),
+        fingerprints.resemblance(own, changed).alias("edited_jaccard"),
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of conversations with one kind of damage each, by the CRC of conversation and turn."""
+    name, space = (lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))), F.lit(" ")
+    kind = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn")).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    changed = F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(kind == 0, F.lit(0)).when(kind == 3, F.lit(2)).otherwise(F.lit(1))
+    role = F.when(kind == 4, F.lit("user")).otherwise(F.coalesce("role", space))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), changed.alias("text"), times.alias("_times"))
+    copies = F.explode(F.when(F.col("_times") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), "_times")))
+    return rows.select("conv_id", "turn", "role", "text", copies.alias("_copy")).drop("_copy")
+
+
+@query("op11_conversation_repair", sqltext.CONVERSATION_REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(damaged(rows), scratch(spark, "conversation-repair"))
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    counted = conversation_repair.COUNTED
+    whole = found.whole.select("conv", *counted, "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+    digests = conversation_repair.joined_digests(found.pieces).withColumnRenamed("conv", "of")
+    split = found.split.join(digests, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(whole.unionByName(split), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..operators.lineage import Scratch
 
@@ -48,3 +50,34 @@ def per_process(name: str, make: Callable[[], T]) -> T:
     if not hasattr(kept, name):
         setattr(kept, name, make())
     return getattr(kept, name)
+
+
+def map_text(
+    docs: DataFrame, run: Callable[[pa.Array], list[pa.Array]], added: str, text: str = "text"
+) -> DataFrame:
+    """The columns of ``docs`` besides its text, and the columns ``added`` that ``run`` makes from each batch of texts.
+
+    Columns travel under numbers, so no name of the input, in any case, meets a name of the operator; an input column
+    named like an added one is replaced.
+    """
+    fields = T_._parse_datatype_string(added)
+    gone = {text.lower(), *(f.name.lower() for f in fields)}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in gone]
+    inner = docs.select(*[docs[quoted(f.name)].alias(f"c{i}") for i, f in enumerate(kept)], docs[quoted(text)].alias("t"))
+    schema = T_.StructType([T_.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)])
+    for i, f in enumerate(fields):
+        schema = schema.add(f"a{i}", f.dataType)
+    names = schema.names
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = run(batch.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=names)
+
+    found = inner.mapInArrow(over, schema)
+    back = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)]
+    return found.select(*back, *[F.col(f"a{i}").alias(f.name) for i, f in enumerate(fields)])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
