@@ -78,9 +78,13 @@ def sketches(texts: pa.Array, fraction: float = FRACTION) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[new], pa.int64()))
 
 
-def fingerprint(docs: DataFrame, text: str = "text", name: str = "sketch", fraction: float = FRACTION) -> DataFrame:
-    """``docs`` without the text, with its fingerprint as an array of longs."""
-    return map_text(docs, lambda texts: [sketches(texts, fraction)], f"`{name}` array<long>", text)
+def fingerprint(
+    docs: DataFrame, text: str | list[str] = "text", name: str | list[str] = "sketch", fraction: float = FRACTION
+) -> DataFrame:
+    """``docs`` without the text, with its fingerprint as an array of longs. Several texts, in one pass, have a name each."""
+    names = [name] if isinstance(name, str) else name
+    added = ", ".join(f"`{n}` array<long>" for n in names)
+    return map_text(docs, lambda *texts: [sketches(t, fraction) for t in texts], added, text)
 
 
 def _unsigned(x: Column) -> Column:

@@ -205,8 +205,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.left("next_text", half))
     rows = paired.select("doc_id", "text", "next_text", edited.alias("edited"), F.length("text").cast("long").alias("n_chars"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    for text, name in (("text", "own"), ("edited", "changed"), ("next_text", "following")):
-        rows = fingerprints.fingerprint(rows, text, name)
+    rows = fingerprints.fingerprint(rows, ["text", "edited", "next_text"], ["own", "changed", "following"])
     own, changed, following = F.col("own"), F.col("changed"), F.col("following")
     return rows.select(
         "doc_id",

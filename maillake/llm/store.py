@@ -53,26 +53,32 @@ def per_process(name: str, make: Callable[[], T]) -> T:
 
 
 def map_text(
-    docs: DataFrame, run: Callable[[pa.Array], list[pa.Array]], added: str, text: str = "text"
+    docs: DataFrame, run: Callable[..., list[pa.Array]], added: str, text: str | list[str] = "text", keep: bool = False
 ) -> DataFrame:
-    """The columns of ``docs`` besides its text, and the columns ``added`` that ``run`` makes from each batch of texts.
+    """The columns of ``docs``, and the columns ``added`` that ``run`` makes from each batch of one or several texts.
 
     Columns travel under numbers, so no name of the input, in any case, meets a name of the operator; an input column
-    named like an added one is replaced.
+    named like an added one is replaced. The texts themselves go on only if they are to be kept.
     """
+    texts = [text] if isinstance(text, str) else text
     fields = T_._parse_datatype_string(added)
-    gone = {text.lower(), *(f.name.lower() for f in fields)}
+    gone = {f.name.lower() for f in fields} | (set() if keep else {t.lower() for t in texts})
     kept = [f for f in docs.schema.fields if f.name.lower() not in gone]
-    inner = docs.select(*[docs[quoted(f.name)].alias(f"c{i}") for i, f in enumerate(kept)], docs[quoted(text)].alias("t"))
+    sent = [f.name for f in kept]
+    for name in texts:
+        if name.lower() not in [s.lower() for s in sent]:
+            sent.append(name)
+    places = [[s.lower() for s in sent].index(name.lower()) for name in texts]
+    inner = docs.select(*[docs[quoted(name)].alias(f"c{i}") for i, name in enumerate(sent)])
     schema = T_.StructType([T_.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)])
     for i, f in enumerate(fields):
         schema = schema.add(f"a{i}", f.dataType)
-    names = schema.names
+    numbered = schema.names
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = run(batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=names)
+            made = run(*[batch.column(p) for p in places])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=numbered)
 
     found = inner.mapInArrow(over, schema)
     back = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)]
