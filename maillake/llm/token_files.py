@@ -38,8 +38,8 @@ SHARD_BYTES = 32 * 1024 * 1024  # of text
 MAGIC = b"TOKIDX01"
 MANIFEST = "shard int, file string, docs long, ids long, first_key long, last_key long"
 KNOWN_PIECES = 800_000  # remembered by a worker, besides those of one round
-KEPT_LENGTH = 10
-ENCODE_CHARS = 1 << 21
+ENCODE_BYTES = 1 << 23
+JOINED = 4096  # new pieces that are encoded as one text
 GAMMA = 2.0
 LEVELS = 24
 
@@ -47,11 +47,40 @@ LEVELS = 24
 # -- encoding ---------------------------------------------------------------------------------------
 
 
+def _white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether three bytes begin with (or are, for a character of three bytes) white space or a control character."""
+    plain = (a <= 0x20) | (a == 0x7F)
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    spaces = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three = ((a == 0xE2) & (spaces | ((b == 0x81) & (c == 0x9F)))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80))
+    return plain | two | three | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def visible_blanks(data: np.ndarray) -> np.ndarray:
+    """Places of the blanks between two visible characters of UTF-8 bytes."""
+    at = np.flatnonzero(data == 0x20)
+    padded = np.concatenate([np.full(3, 0x20, np.uint8), data, np.full(3, 0x20, np.uint8)])
+    near = [padded[at + 3 + k] for k in range(-3, 4)]
+    before = _white(near[0], near[1], near[2]) & (near[0] >= 0xE0) | _white(near[1], near[2], near[2]) & (near[1] == 0xC2)
+    return at[~(before | (near[2] <= 0x20) | (near[2] == 0x7F) | _white(near[4], near[5], near[6]))]
+
+
+def _joinable(piece: bytes) -> bool:
+    """Whether a piece begins with a blank before a visible character and ends with a visible one."""
+    if piece[:1] != b" " or len(piece) < 2:
+        return False
+    if 0x20 < piece[1] < 0x7F and 0x20 < piece[-1] < 0x7F:
+        return True
+    text = piece.decode()
+    return min(text[1], text[-1]) > " " and "\x7f" not in (text[1], text[-1]) and not text[1].isspace() and not text[-1].isspace()
+
+
 class Encoder:
     """Ids of whole texts; pieces seen before are not encoded again.
 
     With byte-level pre-tokens, a token never spans a single blank between two visible characters, so a text
-    is the sum of the pieces cut there. Other tokenizers get their texts whole.
+    is the sum of the pieces that begin at those blanks. Pieces are slices of the Arrow buffer: the distinct ones of some
+    megabytes are looked up, and the ids of all are gathered by number. Other tokenizers get their texts whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,73 +97,145 @@ class Encoder:
             and not before.get("add_prefix_space")
             and before.get("use_regex", True)
             and not made.get("normalizer")
-            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in made["added_tokens"])
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in made["added_tokens"])
         )
-        self.known: dict[str, bytes] = {}
         # Bytes that each id stands for: byte-level tokens are written with one character per byte.
         names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda item: item[1])
         whole = {t["id"] for t in made["added_tokens"]}
         self.widths = np.zeros(names[-1][1] + 1 if names else 1, np.int64)
         for name, number in names:
             self.widths[number] = len(name.encode()) if number in whole else len(name)
-        self.marks = dict(zip(",.", self._encoded([",", "."])))
+        self.marks = dict(zip((b",", b"."), self._encoded([",", "."])))
+        self._forget([], np.empty(0, self.dtype), np.empty(0, np.int64))
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _inner(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that follow a blank: encoded as one text and cut where the pieces' bytes end."""
-        text = " " + " ".join(pieces)
-        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) == 32)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        reached = np.cumsum(self.widths[ids])
-        at = np.searchsorted(reached, blanks[1:])
-        if len(blanks) != len(pieces) or (reached[at] != blanks[1:]).any():
-            return self._encoded([" " + p for p in pieces])
-        data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        bounds = [0, *((at + 1) * width).tolist(), len(data)]
-        return [data[i:j] for i, j in zip(bounds, bounds[1:])]
-
-    def _learn(self, wanted: set[str]) -> set[str]:
-        """Make all wanted pieces known, except odd ones, which are returned: no text is cut at those.
-
-        A blank beside other white space is no place to cut. A comma or full stop behind a letter is a token
-        border, so such a piece is known once its word is.
+        return [np.array(e.ids, self.dtype) for e in found]
+
+    def _forget(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Know just these pieces."""
+        self.known: dict[bytes, int] = {}
+        self.pool, self.used = np.empty(1 << 16, self.dtype), 0  # ids of all known pieces
+        self.start, self.length, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self._add(pieces, ids, lengths)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Know pieces whose ids lie one after the other."""
+        n, m = len(self.known), len(pieces)
+        while n + m > len(self.start):
+            wider = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.seen))
+            self.start, self.length, self.seen = wider
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + m] = lengths
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, n + m)))
+
+    def _add_each(self, pieces: list[bytes]) -> None:
+        """Know pieces that have to be encoded one by one."""
+        for i in range(0, len(pieces), 4096):
+            found = self._encoded([p.decode() for p in pieces[i : i + 4096]])
+            self._add(pieces[i : i + 4096], np.concatenate(found), np.array([len(f) for f in found], np.int64))
+
+    def _ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces one after the other, and how many each has."""
+        lengths = self.length[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[numbers] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.pool[at], lengths
+
+    def _add_joined(self, pieces: list[bytes]) -> None:
+        """Know joinable pieces: encoded as one text, whose ids are cut where the pieces end."""
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i : i + JOINED]
+            ids = self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.int64)
+            reached = np.cumsum(self.widths[ids])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+            at = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+            if (reached[at] != ends).any():
+                self._add_each(part)
+            else:
+                self._add(part, ids.astype(self.dtype), np.diff(at, prepend=-1))
+
+    def _learn(self, wanted: list[bytes]) -> None:
+        """Make these new pieces known.
+
+        A comma or full stop behind a letter is a token border, so such a piece is known once its word is. Pieces that are
+        cut at visible blanks on both sides are encoded together, others (the ends of texts) alone.
         """
-        known = self.known
-        new = wanted.difference(known)
-        odd = {p for p in new if not p or p.strip() != p}
-        ended = [p for p in new - odd if p[-1:] in (",", ".") and p[-2:-1].isalpha()]
-        fresh = new - odd - set(ended)
-        fresh.update({p[:-1] for p in ended}.difference(known, odd))
-        listed = list(fresh)
-        for i in range(0, len(listed), 4096):
-            part = listed[i : i + 4096]
-            known.update(zip(part, self._inner(part)))
-        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in ended)
-        return odd
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+        ended = {mark: [p for p in wanted if p[-1:] == mark and p[-2:-1].isalpha()] for mark in self.marks}
+        skipped = {p for own in ended.values() for p in own}
+        fresh = dict.fromkeys(p for p in wanted if p not in skipped)
+        fresh.update(dict.fromkeys(w for p in skipped if (w := p[:-1]) not in self.known))
+        plain = list(filter(_joinable, fresh))
+        self._add_joined(plain)
+        easy = set(plain)
+        self._add_each([p for p in fresh if p not in easy])
+        for mark, own in ended.items():
+            if own:
+                numbers = np.fromiter((self.known[p[:-1]] for p in own), np.int64, len(own))
+                ids, lengths = self._ids_of(numbers)
+                last, size = self.marks[mark], len(self.marks[mark])
+                together = np.insert(ids, np.repeat(np.cumsum(lengths), size), np.tile(last, len(own)))
+                self._add(own, together, lengths + size)
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of distinct pieces, learnt if they are new."""
+        if len(self.known) + len(pieces) > KNOWN_PIECES:
+            self._forget_rare()
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.seen[numbers] += 1
+        return numbers
+
+    def _forget_rare(self) -> None:
+        """Keep what was there in several slices, at most half of what may be known."""
+        seen = self.seen[: len(self.known)]
+        least = 2
+        while (seen >= least).sum() > KNOWN_PIECES // 2:
+            least += 1
+        kept = np.flatnonzero(seen >= least)
+        pieces = np.array(list(self.known), object)[kept].tolist()
+        ids, lengths = self._ids_of(kept)
+        self._forget(pieces, ids, lengths)
+
+    def _gathered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        coded = pieces.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        return self._ids_of(numbers[coded.indices.to_numpy(zero_copy_only=False)])
+
+    def texts(self, column: pa.Array) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
+        column = column.fill_null("")
         if not self.by_piece:
-            return self._encoded(texts)
-        cuts = [t.split(" ") for t in texts]
-        # First pieces have no blank before them, so they are not the same pieces as inside.
-        wanted: set[str] = set()
-        for pieces in cuts:
-            wanted.update(pieces[1:])
-        if len(self.known) > KNOWN_PIECES:  # short pieces are the frequent ones
-            self.known = {p: ids for p, ids in self.known.items() if len(p) <= KEPT_LENGTH}
-            if len(self.known) > KNOWN_PIECES // 2:
-                self.known = {}
-        odd = self._learn(wanted)
-        heads = [pieces[0] for pieces in cuts]
-        for i, pieces in enumerate(cuts):
-            if len(pieces) > 1 and (heads[i].strip() != heads[i] or not heads[i] or odd and not odd.isdisjoint(pieces)):
-                heads[i], cuts[i] = texts[i], [""]  # encoded whole
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, pieces[1:])) for first, pieces in zip(self._encoded(heads), cuts)]
+            return [ids.tobytes() for ids in self._encoded(column.to_pylist())]
+        column = column.cast(pa.large_binary())
+        n, buffers = len(column), column.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
+        size = int(offsets[-1])
+        data = np.frombuffer(buffers[2], np.uint8)[:size] if buffers[2] else np.zeros(0, np.uint8)
+        inside = data[offsets[0] :]
+        cuts = np.sort(np.concatenate([offsets, visible_blanks(inside) + offsets[0]]), kind="stable")  # merges two runs
+        cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
+        found, counts, low = [], [], 0
+        while low < len(cuts) - 1:  # some megabytes, or one piece that is longer
+            high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + ENCODE_BYTES, side="right")) - 1)
+            slices = [None, pa.py_buffer(np.ascontiguousarray(cuts[low : high + 1])), buffers[2]]
+            ids, many = self._gathered(pa.Array.from_buffers(pa.large_binary(), high - low, slices))
+            found.append(ids)
+            counts.append(many)
+            low = high
+        ids = np.concatenate([np.empty(0, self.dtype), *found])
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
+        bounds = ends[np.searchsorted(cuts, offsets)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 # -- minimal perfect hash ---------------------------------------------------------------------------
@@ -204,9 +305,24 @@ def key_bytes(key: int | None) -> bytes:
     return b"" if key is None else int(key).to_bytes(8, "little", signed=True)
 
 
+# Names that Hadoop gives to stores which Arrow knows under another one; fixed values.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def arrow_uri(folder: str) -> str | None:
+    """The folder as a URI that Arrow opens; None for a plain local path."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or not rest.startswith("/"):
+        return None
+    if scheme.lower() not in {*ARROW_SCHEMES, "s3", "gcs"}:
+        raise ValueError(f"token files cannot be written to {scheme}: folders")
+    return f"{ARROW_SCHEMES.get(scheme.lower(), scheme.lower())}:{rest}"
+
+
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder, given as a URI or a path."""
-    return fs.FileSystem.from_uri(folder) if "://" in folder or ":/" in folder else (fs.LocalFileSystem(), folder)
+    uri = arrow_uri(folder)
+    return (fs.LocalFileSystem(), folder) if uri is None else fs.FileSystem.from_uri(uri)
 
 
 class ShardWriter:
@@ -308,20 +424,6 @@ class ShardReader:
 # -- jobs -------------------------------------------------------------------------------------------
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts of a batch, a bounded number of characters at a time."""
-    keys, texts, held = [], [], 0
-    for key, text in zip(batch.column(0), batch.column(1)):
-        keys.append(key.as_py())
-        texts.append(text.as_py() or "")
-        held += len(texts[-1])
-        if held >= ENCODE_CHARS:
-            yield keys, texts
-            keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def write_shards(
     docs: DataFrame,
     folder: str,
@@ -352,13 +454,14 @@ def write_shards(
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         encoder = per_process(f"encoder:{tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
-            for keys, texts in _pieces(batch):
-                if writer is None:
-                    files.create_dir(base, recursive=True)
-                    stream = files.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
-                    writer = ShardWriter(stream, encoder.dtype)
-                for k, ids in zip(keys, encoder.texts(texts)):
-                    writer.add(k, ids)
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                files.create_dir(base, recursive=True)
+                stream = files.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
+                writer = ShardWriter(stream, encoder.dtype)
+            for k, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1))):
+                writer.add(k, ids)
         if writer is None:
             return
         ids = writer.finish()
@@ -392,7 +495,8 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
                 with files.open_input_file(f"{base}/{row['file']}") as source:
                     yield _digests(ShardReader(source), row)
 
-    tasks = manifest.repartition(F.col("shard"))
+    # With a number: the manifest is tiny, and adaptive execution would read all files in one task.
+    tasks = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return tasks.mapInArrow(read, DIGESTS)
 
 

@@ -1,7 +1,9 @@
+import functools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +14,15 @@ SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a  b ", "x <|endoftext|> y", "don't  stop\n\n now ", " a   b", "a\tb c\x1c d", "é ñ  ß", "1 2  33 4.5 - !? '", "　x y"]
 
 
-def reference_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def reference_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_pieces_give_the_ids_of_whole_texts():
@@ -24,11 +31,29 @@ def test_pieces_give_the_ids_of_whole_texts():
     random.seed(3)
     alphabet = "ab e'sé1.,\n\t  -!ÑT<|>"
     texts = ODD + ["".join(random.choice(alphabet) for _ in range(random.randrange(60))) for _ in range(500)]
-    got = encoder.texts(texts)
+    got = encoder.texts(pa.array(texts))
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, encoder.dtype).tolist() == reference_ids(text)[:-1], repr(text)
 
 
+def test_pieces_of_slices_and_forgotten_ones(monkeypatch):
+    monkeypatch.setattr(tf, "ENCODE_BYTES", 40)
+    monkeypatch.setattr(tf, "KNOWN_PIECES", 50)
+    encoder = tf.Encoder(tokenizer_path())
+    texts = ["word" + str(i % 90) + ", of a long text. " + "x" * (i % 60) for i in range(300)] + ODD + [None]
+    column = pa.concat_arrays([pa.array(["left out"]), pa.array(texts)]).slice(1)
+    for text, ids in zip(texts, encoder.texts(column)):
+        assert np.frombuffer(ids, encoder.dtype).tolist() == reference_ids(text)[:-1], repr(text)
+
+
+def test_folders_as_arrow_names_them():
+    assert [tf.arrow_uri(f) for f in ("/a/b", "s3a://b/x", "s3n://b/x", "s3://b/x", "file:/a", "file:///a", "hdfs://h/a", "abfss://c@a/x")] == [
+        None, "s3://b/x", "s3://b/x", "s3://b/x", "file:/a", "file:///a", "hdfs://h/a", "abfss://c@a/x",
+    ]
+    with pytest.raises(ValueError):
+        tf.arrow_uri("wasb://c/x")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 20000])
 def test_the_hash_is_minimal_and_perfect(n):
     hashes = tf.key_hash([str(i).encode() for i in range(n)])
