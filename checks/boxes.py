@@ -70,6 +70,53 @@ def limit_per_mailbox_large(spark, sf_dir):
     return mailboxes.limit_per_mailbox(_src(spark, sf_dir), 3000, width=1000).select("mailbox", "uid_n")
 
 
+# Every uid is there three times, every tenth without number, some rows are there twice.
+_REPEATED = ("case when uid_n % 10 = 0 then null else DIV end as uid_n", "case when uid_n % 20 = 0 then null else cast(DIV as STR) end as uid", "mailbox", "mailbox_ord", "subject_raw")
+
+
+def _repeated(spark, sf_dir):
+    columns = [c.replace("DIV", "uid_n div 3").replace("STR", "string") for c in _REPEATED]
+    times = F.explode(F.expr("sequence(1, if(uid_n % 7 = 0, 2, 1))")).alias("_times")
+    src = views.mail_src(spark, sf_dir).select("uid_n", "mailbox", "mailbox_ord", "subject_raw", times)
+    return src.selectExpr(*columns)
+
+
+_REPEATED_SQL = f"""src as ({views.mail_sql('uid_n', 'mailbox', 'mailbox_ord', 'subject_raw')}), repeated as (
+    select {', '.join(c.replace('DIV', 'uid_n // 3').replace('STR', 'varchar') for c in _REPEATED)}
+    from src, range(2) as t(again) where again = 0 or src.uid_n % 7 = 0)"""
+
+
+@query(
+    "limit_per_mailbox_repeated_uids",
+    f"""with {_REPEATED_SQL}, limited(n) as (values (200), (6000)), counts as (
+        select mailbox, n, least(n, count(*))::bigint as messages, least(n, count(uid_n))::bigint as numbered
+        from repeated, limited group by mailbox, n),
+    ranked as (select mailbox, uid_n, row_number() over (partition by mailbox order by uid_n) as rn from repeated where uid_n is not null)
+    select c.mailbox, c.n::integer as n, c.messages, c.numbered, sum(r.uid_n)::bigint as total
+    from counts c join ranked r on r.mailbox = c.mailbox and r.rn <= c.n group by all""",
+)
+def limit_per_mailbox_repeated_uids(spark, sf_dir):
+    """Limits that fall among equal uids, and among messages without one: exactly as many as asked for."""
+    rows = _repeated(spark, sf_dir)
+    both = [mailboxes.limit_per_mailbox(rows, n, width=500).withColumn("n", F.lit(n)) for n in (200, 6000)]
+    counted = both[0].unionByName(both[1]).groupBy("mailbox", "n")
+    return counted.agg(F.count(F.lit(1)).alias("messages"), F.count("uid_n").alias("numbered"), F.sum("uid_n").alias("total"))
+
+
+@query(
+    "dedup_messages_repeated_rows",
+    f"""with {_REPEATED_SQL}, named as (select *, case when uid_n % 5 <> 0 then 'd' || (uid_n // 2) end as message_id from repeated),
+    ranked as (select *, row_number() over (partition by message_id order by mailbox_ord, mailbox, uid_n, uid) as rn from named)
+    select message_id, coalesce(uid_n, -1) as uid_n, uid, mailbox, count(*)::bigint as n from ranked where message_id is null or rn = 1 group by all""",
+)
+def dedup_messages_repeated_rows(spark, sf_dir):
+    """A mailbox landed twice: one row of each message stays, and all rows without an id."""
+    named = _repeated(spark, sf_dir).selectExpr("*", "case when uid_n % 5 <> 0 then 'd' || (uid_n div 2) end as message_id")
+    kept = mailboxes.drop_repeated(named)
+    kept = kept.withColumn("uid_n", F.coalesce("uid_n", F.lit(-1)))
+    return kept.groupBy("message_id", "uid_n", "uid", "mailbox").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "select_mailboxes",
     f"""with src as ({SRC}), asked(mailbox_ord, mailbox) as (values (0, 'Archive'), (1, 'Nowhere'), (2, 'INBOX'), (3, 'Archive'))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maillake import schemas
 from maillake.functions.clean import collapse
 from maillake.operators import attachments, enrich, lineage, mime, people, quality
+from maillake.operators.content_store import ContentStore
 from maillake.operators.lineage import Scratch
 from maillake.plans import export
 from maillake.sources import sinks
@@ -195,7 +196,14 @@ def attachment_content_names(spark, sf_dir):
 def attachment_store(spark, sf_dir):
     """All attachments stored with their bytes, then each content once, read back."""
     scratch = Scratch(spark, "attachment-store")
-    # One content in most messages: a small file that every message has besides its own attachments.
+    attachments.write_table(_with_logo(spark, sf_dir), scratch.path("table"))
+    attachments.write_store(spark.read.parquet(scratch.path("table")), scratch.path("store"))
+    stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.col("prefix").cast("string"))
+    return stored.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"))
+
+
+def _with_logo(spark, sf_dir):
+    """The attachments, and one content in most messages: a small file that every message has besides its own."""
     files = _files(spark, sf_dir, keep_payload=True)
     logo = views.raw_mail(spark, sf_dir).select(
         "uid_n", "mailbox", "uid", F.lit(99).alias("part_index"), F.lit("logo.png").alias("filename"),
@@ -203,10 +211,25 @@ def attachment_store(spark, sf_dir):
         F.sha2(F.lit("logo"), 256).alias("sha256"), F.lit(None).cast("string").alias("content_id"),
         F.lit("logo").cast("binary").alias("payload"), F.lit("logo.png").alias("stored_name"),
     )
-    attachments.write_table(files.unionByName(logo), scratch.path("table"))
-    attachments.write_store(spark.read.parquet(scratch.path("table")), scratch.path("store"))
-    stored = spark.read.parquet(scratch.path("store")).withColumn("prefix", F.col("prefix").cast("string"))
-    return stored.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"))
+    return files.unionByName(logo)
+
+
+@query(
+    "attachment_store_append",
+    f"""{FILES}, every as (select page_id, body from files union all select page_id, 'logo' from raw), firsts as (
+        select body, min(case when page_id % 3 = 0 then 0 when page_id % 3 = 1 then 1 else 2 end) as batch from every group by body)
+    select sha256(body) as sha256, substr(sha256(body), 1, 3) as prefix, octet_length(encode(body))::bigint as size,
+        sha256(body) as stored_hash, (select count(*) from firsts f where f.batch = firsts.batch)::bigint as new_in_batch from firsts""",
+)
+def attachment_store_append(spark, sf_dir):
+    """Three batches that share contents: each content is stored once, by the batch that brings it first."""
+    scratch = Scratch(spark, "content-store")
+    whole = scratch.write(_with_logo(spark, sf_dir), "table")
+    store = ContentStore(spark, scratch.path("store"), least_contents=64)
+    for batch in (whole.where("uid_n % 3 = 0"), whole.where("uid_n % 3 <> 2"), whole):
+        store.append(batch)
+    named = store.contents().join(store.history(), "batch")
+    return named.select("sha256", "prefix", "size", F.sha2("payload", 256).alias("stored_hash"), F.col("contents").alias("new_in_batch"))
 
 
 @query("quarantine_counts", f"""{RAW} select case v when 7 then 'scan' when 8 then 'headers' when 9 then 'body' else 'ok' end as stage,
@@ -221,17 +244,16 @@ def quarantine_rows(spark, sf_dir):
     return bad.select("mailbox", "uid", "stage")
 
 
-@query(
-    "header_full_join",
-    f"""with src as ({views.mail_sql('uid_n', 'mailbox', 'uid', 'message_id_raw', 'subject_raw')}),
+HEADER_JOIN = f"""with src as ({views.mail_sql('uid_n', 'mailbox', 'uid', 'message_id_raw', 'subject_raw')}),
     headers as (select mailbox, case when uid_n % 3 = 1 then 'x' || uid else uid end as uid, uid_n,
         case when uid_n % 6 = 0 then null else 'H ' || subject_raw end as header_subject from src)
     select s.uid_n, case when h.uid_n is not null then h.header_subject else s.subject_raw end as subject,
         case when s.uid_n % 4 = 1 then 'known' else trim(lower(s.message_id_raw), '<>') end as conversation_id
-    from src s left join headers h using (mailbox, uid)""",
-)
-def header_full_join(spark, sf_dir):
-    """Full messages with separately parsed headers and known conversation ids.
+    from src s left join headers h using (mailbox, uid)"""
+
+
+def header_parts(spark, sf_dir):
+    """Full messages, separately parsed headers and known conversation ids.
 
     A third of the header records belong to other uids: they are dropped, and those messages keep their own.
     """
@@ -246,6 +268,12 @@ def header_full_join(spark, sf_dir):
     known = mail.select(
         "mailbox", "uid", F.when(F.col("uid_n") % 4 == 1, F.lit("known")).otherwise(F.lit("")).alias("conversation_id")
     )
+    return full, headers, known
+
+
+@query("header_full_join", HEADER_JOIN)
+def header_full_join(spark, sf_dir):
+    full, headers, known = header_parts(spark, sf_dir)
     joined = enrich.with_known_conversation(enrich.with_headers(full, headers), known)
     return joined.select("uid_n", "subject", "conversation_id")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maillake.operators import reply_chains
+from maillake.operators import threads as reference
+from maillake.operators.lineage import Scratch
+from maillake.operators.root_forest import RootForest
 
 from . import sqltext, views
 from .registry import query
@@ -89,3 +92,50 @@ def conversation_thread_roots_exact(spark, sf_dir):
 def thread_roots_deep(spark, sf_dir):
     found = reply_chains.thread_roots(views.deep_mail(spark, sf_dir), "ancestor", ("n",))
     return found.select("n", "root_message_id", F.col("reply_depth").cast("long").alias("depth"))
+
+
+# Labels spread along references in both directions until each component has its least id.
+REFERENCE_THREADS = f"""with recursive src as ({views.mail_sql('uid_n', 'mailbox_ord', 'sent_ts', 'subject_raw', 'message_id_raw', 'in_reply_to_raw', 'references_raw')}),
+links as (
+    select uid_n, mailbox_ord, {sqltext.ids('message_id_raw')}[1] as message_id, {sqltext.ids('in_reply_to_raw')}[1] as parent,
+        {sqltext.ids('references_raw')} as refs, lower({sqltext.subject('subject_raw')}) as topic, sent_ts from src),
+edges as (
+    select message_id as a, unnest(list_append(refs, parent)) as b from links),
+ways as (
+    select a, b from edges where b is not null union select b, a from edges where b is not null),
+labels(node, label) using key (node) as (
+    select distinct a, a from ways
+    union
+    select w.b, min(l.label) from labels l join ways w on w.a = l.node join recurring.labels r on r.node = w.b
+    where l.label < r.label group by w.b),
+members as (
+    select l.*, coalesce(c.label, l.message_id) as name, parent is null and len(refs) = 0 as begins
+    from links l left join labels c on c.node = l.message_id),
+grouped as (
+    select name, bool_or(begins) as begun, arg_min(topic, (sent_ts, mailbox_ord, uid_n)) as topic, min(sent_ts)::date as day
+    from members group by name),
+shared as (
+    select topic, day, min(name) as thread_id from grouped where not begun and topic <> '' group by topic, day having count(*) > 1)
+select m.uid_n, m.message_id, coalesce(s.thread_id, m.name) as thread_id, s.thread_id is not null as merged
+from members m join grouped g using (name) left join shared s on not g.begun and s.topic = g.topic and s.day = g.day"""
+
+
+@query("reference_threads", REFERENCE_THREADS)
+def reference_threads(spark, sf_dir):
+    found = reference.reference_threads(views.headers(spark, sf_dir))
+    return found.select("uid_n", "message_id", "thread_id", "merged")
+
+
+@query(
+    "thread_roots_after_append",
+    f"{ANCESTOR} select uid_n, root_message_id, case when root_message_id is not null then hops else -1 end::bigint as depth from rooted",
+)
+def thread_roots_after_append(spark, sf_dir):
+    """Mails that come in three batches, answers often before what they answer; the same as one full run."""
+    links = _links(spark, sf_dir)
+    forest = RootForest(spark, Scratch(spark, "forest").root, "ancestor")
+    batch = F.col("uid_n") % 7
+    for part in (links.where(batch >= 4), links.where(batch == 2), links.where(batch.isin(0, 1, 3))):
+        forest.append(part)
+    found = forest.message_roots()
+    return found.select("uid_n", "root_message_id", F.coalesce("reply_depth", F.lit(-1)).cast("long").alias("depth"))

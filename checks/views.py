@@ -47,8 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by key, since each input may be one small file; the plan is the same at every size."""
-    return df.repartition(key)
+    """Rows dealt by key, since each input may be one small file; the plan is the same at every size.
+
+    With a number, as adaptive execution puts small exchanges without one into a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def mail_src(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", owne
     """Each distinct content once, partitioned by the first digits of its hash.
 
     ``attachments`` is the stored table of ``write_table``; its keys are those of ``inventory``. Only the first copy
-    of each content is moved, to as many tasks as leave each about ``owner_bytes``; the prefixes are as long as
-    it takes for that.
+    of each content is moved, to as many tasks as leave each about ``owner_bytes``. Prefixes have at most
+    ``PREFIX_DIGITS`` digits; beyond that many folders, the contents of one are dealt over several tasks by their hash.
     """
     contents = attachments.groupBy("sha256").agg(F.first("size").alias("size"))
     total = contents.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
@@ -108,7 +108,9 @@ def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", owne
     owners = max(1, -(-total // owner_bytes))
     prefix = F.left("sha256", F.lit(min(digits, PREFIX_DIGITS)))
     once = first_copies(attachments).select("sha256", "size", "payload").dropDuplicates(["sha256"])
-    stored = once.withColumn("prefix", prefix).repartition(int(owners), "prefix")
+    parts = max(1, -(-owners // 16 ** min(digits, PREFIX_DIGITS)))
+    deal = F.pmod(F.xxhash64("sha256"), F.lit(int(parts)))
+    stored = once.withColumn("prefix", prefix).repartition(int(owners), "prefix", deal)
     stored.write.mode(mode).partitionBy("prefix").parquet(path)
 
 

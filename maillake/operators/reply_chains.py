@@ -6,7 +6,7 @@ its target had got to, so a chain of length n closes in about log2(n) rounds of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import skew
@@ -36,6 +36,48 @@ def _jump(opened: DataFrame, state: DataFrame, heavy: list) -> DataFrame:
     )
 
 
+def first_steps(ids: DataFrame, index: DataFrame, mode: str) -> DataFrame:
+    """Where the walk of each ``id`` stands after its first step: at its parent, or at its root if that is known.
+
+    ``index`` has one row per ``message_id`` with ``parent`` and ``first_ref``.
+    """
+    known = index.select("message_id", F.col("parent").alias("ptr"), "first_ref")
+    nodes = ids.join(known, F.col("id") == F.col("message_id"), "left")
+    outside = F.col("message_id").isNull()
+    closed = outside | F.col("first_ref").isNotNull() | F.col("ptr").isNull()
+    top = F.col("message_id") if mode == "ancestor" else F.lit(None).cast("string")
+    return nodes.select(
+        "id",
+        F.when(~closed, F.col("ptr")).alias("ptr"),
+        F.when(closed, F.lit(0)).otherwise(F.lit(1)).alias("hops"),
+        closed.alias("done"),
+        F.when(outside, F.col("id")).when(closed, F.coalesce("first_ref", top)).alias("root"),
+    )
+
+
+def settle(start: DataFrame, scratch: Scratch, heavy_rows: int = skew.HEAVY_ROWS) -> Rounds:
+    """Jump until every walk is at its end; ids left open are in a cycle. Every open ``ptr`` is an ``id`` of ``start``."""
+    rounds = Rounds(scratch, "rounds")
+    rounds.add(start)
+    remaining, before = rounds.open().count(), None
+    # Distances to a settled id have no gaps, so a round that settles nothing leaves only cycles.
+    while remaining and remaining != before:
+        opened = rounds.open()
+        often = skew.heavy_keys(opened, "ptr", heavy_rows, total=remaining)
+        rounds.add(_jump(opened, rounds.state(), often))
+        remaining, before = rounds.open().count(), remaining
+    return rounds
+
+
+def with_roots(rows: DataFrame, walk: Column, first_ref: Column, mode: str) -> DataFrame:
+    """``root_message_id`` and ``reply_depth`` of rows that have been joined with ``_root`` and ``_hops`` of their ``walk``."""
+    own = F.col("message_id") if mode == "ancestor" else F.lit(None).cast("string")
+    root = F.when(first_ref.isNotNull(), first_ref).when(walk.isNull(), own).otherwise(F.col("_root"))
+    depth = F.when(walk.isNull(), F.lit(0)).otherwise(F.col("_hops") + 1)
+    rooted = rows.withColumn("root_message_id", root)
+    return rooted.withColumn("reply_depth", F.when(F.col("root_message_id").isNotNull(), depth))
+
+
 def thread_roots(
     headers: DataFrame,
     mode: str = "ancestor",
@@ -60,47 +102,21 @@ def thread_roots(
         "links",
     )
     # Only ids that somebody replies to can lie on a walk. Everyone else is resolved by the last join.
-    replied = links.where(F.col("first_ref").isNull() & F.col("parent").isNotNull()).select("parent").distinct()
-    index = message_index(links, order).select("message_id", F.col("parent").alias("ptr"), "first_ref")
-    nodes = replied.join(index, F.col("parent") == F.col("message_id"), "left")
-    outside = F.col("message_id").isNull()
-    closed = outside | F.col("first_ref").isNotNull() | F.col("ptr").isNull()
-    top = F.col("message_id") if mode == "ancestor" else F.lit(None).cast("string")
-    start = nodes.select(
-        F.col("parent").alias("id"),
-        F.when(~closed, F.col("ptr")).alias("ptr"),
-        F.when(closed, F.lit(0)).otherwise(F.lit(1)).alias("hops"),
-        closed.alias("done"),
-        F.when(outside, F.col("parent")).when(closed, F.coalesce("first_ref", top)).alias("root"),
-    )
-    rounds = Rounds(scratch, "rounds")
-    rounds.add(start)
-    remaining, before = rounds.open().count(), None
-    # Distances to a settled id have no gaps, so a round that settles nothing leaves only cycles.
-    while remaining and remaining != before:
-        opened = rounds.open()
-        often = skew.heavy_keys(opened, "ptr", heavy_rows, total=remaining)
-        rounds.add(_jump(opened, rounds.state(), often))
-        remaining, before = rounds.open().count(), remaining
+    replied = links.where(F.col("first_ref").isNull() & F.col("parent").isNotNull()).select(F.col("parent").alias("id"))
+    start = first_steps(replied.distinct(), message_index(links, order), mode)
+    rounds = settle(start, scratch, heavy_rows)
     # Ids left open have a null root.
     roots = rounds.state()
     known = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("hops").alias("_hops"))
-    walk = F.when(F.get("references", F.lit(0)).isNull(), F.col("in_reply_to"))
-    walkers = headers.withColumn("_walk", walk)
-    often = skew.heavy_keys(links.where("first_ref is null"), "parent", heavy_rows)
-    joined = skew.lookup(walkers, known, "_walk", "_id", list(order), often)
-    own = F.col("message_id") if mode == "ancestor" else F.lit(None).cast("string")
-    root = (
-        F.when(F.get("references", F.lit(0)).isNotNull(), F.get("references", F.lit(0)))
-        .when(F.col("_walk").isNull(), own)
-        .otherwise(F.col("_root"))
-    )
-    depth = F.when(F.col("_walk").isNull(), F.lit(0)).otherwise(F.col("_hops") + 1)
-    return (
-        joined.withColumn("root_message_id", root)
-        .withColumn("reply_depth", F.when(F.col("root_message_id").isNotNull(), depth))
-        .drop("_walk", "_root", "_hops")
-    )
+    first_ref = F.get("references", F.lit(0))
+    walkers = headers.withColumn("_walk", F.when(first_ref.isNull(), F.col("in_reply_to")))
+    # The rows are whole headers: they stay where they are unless there are too many roots to send to every task.
+    if skew.measured_bytes(known) <= skew.BROADCAST_BYTES:
+        joined = walkers.join(F.broadcast(known), F.col("_walk") == F.col("_id"), "left").drop("_id")
+    else:
+        often = skew.heavy_keys(links.where("first_ref is null"), "parent", heavy_rows)
+        joined = skew.lookup(walkers, known, "_walk", "_id", list(order), often)
+    return with_roots(joined, F.col("_walk"), first_ref, mode).drop("_walk", "_root", "_hops")
 
 
 def thread_sizes(rooted: DataFrame, sent: str = "date_ts") -> DataFrame:

@@ -91,3 +91,63 @@ def test_missing_mailboxes_scan_only_the_requested_ones(spark, tmp_path, plan):
     df.write.partitionBy("mailbox").parquet(str(tmp_path / "raw"))
     text = plan(mailboxes.missing_mailboxes(spark.read.parquet(str(tmp_path / "raw")), ["one", "nowhere"]))
     assert "IN (nowhere,one)" in text.split("PartitionFilters:")[1].split("\n")[0]
+
+
+def counted(rows):
+    from collections import Counter
+
+    return Counter(tuple(r) for r in rows)
+
+
+@pytest.mark.parametrize("limit,want", [(2, 2), (3, 3), (4, 4), (5, 4)])
+def test_equal_uids_at_the_limit(spark, limit, want):
+    df = spark.createDataFrame([("b", 7, "x"), ("b", 7, "x"), ("b", 7, "y"), ("b", 8, "z")], "mailbox string, uid_n long, v string")
+    kept = mailboxes.limit_per_mailbox(df, limit).collect()
+    assert len(kept) == want and not counted(kept) - counted(df.collect())
+
+
+def test_messages_without_uid_at_the_limit(spark):
+    df = spark.createDataFrame([("b", None, None)] * 10, "mailbox string, uid_n long, uid string")
+    assert mailboxes.limit_per_mailbox(df, 3).count() == 3
+
+
+@pytest.mark.parametrize("bound", [64 << 20, -1])
+def test_limits_over_many_ties(spark, monkeypatch, bound):
+    """Exactly as many rows as asked for, the smallest uids, and no row more often than it is there."""
+    monkeypatch.setattr(mailboxes.skew, "BROADCAST_BYTES", bound)
+    rng = random.Random(4)
+    rows = []
+    for box, size in (("a", 300), (None, 120), ("c", 5)):
+        for _ in range(size):
+            uid = rng.choice([None, rng.randrange(6), rng.randrange(1000)])
+            rows.append((box, uid, rng.choice([None, "t1", "t2"]), rng.choice(["x", "y"]), [rng.randrange(2)]))
+    df = spark.createDataFrame(rows, "mailbox string, uid_n long, uid string, v string, w array<int>").repartition(3)
+    for limit in (1, 17, 119, 120, 150, 299, 300):
+        kept = [(r["mailbox"], r["uid_n"], r["uid"], r["v"], tuple(r["w"])) for r in mailboxes.limit_per_mailbox(df, limit, width=4).collect()]
+        have = counted([(*r[:4], tuple(r[4])) for r in rows])
+        assert not counted(kept) - have
+        for box in ("a", None, "c"):
+            own = sorted((u is None, u or 0) for b, u, *_ in rows if b == box)[:limit]
+            assert sorted((u is None, u or 0) for b, u, *_ in kept if b == box) == own
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [("m", 0, "b", 1, "1")] * 3 + [("n", 0, "b", 2, "2"), (None, 0, "b", 3, "3"), (None, 0, "b", 3, "3")]
+    df = spark.createDataFrame(rows, "message_id string, mailbox_ord int, mailbox string, uid_n long, uid string")
+    assert sorted(r["uid"] for r in mailboxes.drop_repeated(df).collect()) == ["1", "2", "3", "3"]
+    assert mailboxes.drop_repeated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [64 << 20, -1])
+def test_random_repetitions(spark, monkeypatch, bound):
+    monkeypatch.setattr(mailboxes.skew, "BROADCAST_BYTES", bound)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", f"m{rng.randrange(40)}", None]), rng.choice([None, 0, 1]), rng.choice([None, 1, 2]), rng.choice("xy")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "message_id string, mailbox_ord int, uid_n long, v string").repartition(4)
+    kept = [tuple(r) for r in mailboxes.drop_repeated(df).collect()]
+    assert not counted(kept) - counted(rows)
+    assert sum(r[0] is None for r in kept) == sum(r[0] is None for r in rows)
+    place = lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or 0)
+    named = {r[0]: r for r in kept if r[0]}
+    assert len(named) == sum(r[0] is not None for r in kept) == len({r[0] for r in rows if r[0]})
+    assert all(place(named[k]) == min(place(r) for r in rows if r[0] == k) for k in named)
