@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .store import map_text
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
@@ -159,33 +160,25 @@ def train(
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``."""
-    added = T._parse_datatype_string(ADDED)
-    kept = [f for f in docs.schema.fields if f.name not in added.names]
     # Plain values, as classes of a broadcast would have to be installed on the executors. Bounded by DIMENSIONS
     # and MOST_LANGUAGES.
     values = (model.languages, model.code, model.weights, model.bias, model.trust)
     shared = docs.sparkSession.sparkContext.broadcast(values)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(column: pa.Array) -> list[pa.Array]:
         known = Model(*shared.value)
-        for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            rest = batch.select([n for n in batch.schema.names if n != "_text"])
-            for start in range(0, batch.num_rows, ROWS):
-                texts = batch.column(at).slice(start, ROWS).to_pylist()
-                clear = [i for i, t in enumerate(texts) if t is not None and known.languages and has_letter(t)]
-                names: list = [UNKNOWN] * len(texts)
-                scores, flags = [0.0] * len(texts), [True] * len(texts)
-                if clear:
-                    best, score, gap = known.predict(np.stack([features(texts[i]) for i in clear]))
-                    for i, b, s, g in zip(clear, best, score, gap):
-                        names[i], scores[i], flags[i] = known.languages[b], min(1.0, float(s)), bool(g < CLOSE)
-                new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())]
-                part = rest.slice(start, ROWS)
-                yield pa.RecordBatch.from_arrays(part.columns + new, names=part.schema.names + added.names)
-
-    source = docs.select(*[f.name for f in kept], F.col(text).alias("_text"))
-    return source.mapInArrow(run, T.StructType(kept + added.fields))
+        names: list[str] = [UNKNOWN] * len(column)
+        scores, flags = np.zeros(len(column)), np.ones(len(column), bool)
+        for start in range(0, len(column), ROWS):
+            texts = column.slice(start, ROWS).to_pylist()
+            clear = [i for i, t in enumerate(texts) if t is not None and known.languages and has_letter(t)]
+            if clear:
+                best, score, gap = known.predict(np.stack([features(texts[i]) for i in clear]))
+                for i, b, s, g in zip(clear, best, score, gap):
+                    names[start + i], scores[start + i], flags[start + i] = known.languages[b], min(1.0, float(s)), g < CLOSE
+        return [pa.array(names, pa.string()), pa.array(scores), pa.array(flags)]
+
+    return map_text(docs, run, ADDED, text, keep=True)
 
 
 def held_out(key: str = "doc_id") -> Column:

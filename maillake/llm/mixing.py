@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import Scratch
 from ..operators.skew import lookup_measured
-from .store import uniform
+from .store import quoted, uniform
 
 WEIGHTS = (5, 2, 1)
 SEEDS = 16
 MOST = 3  # a target stops at so many times its source's size
 WORD = r"[^\x20\x09-\x0D]+"
+PLANNED = ("source_size", "target", "rate", "copies")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,10 +112,13 @@ def apply_plan(docs: DataFrame, sources: DataFrame, key: str = "doc_id", source:
     The sources are broadcast if they are measured to be small, else joined by salted source, so a source with a
     third of the rows is no hot key.
     """
-    keyed = docs.drop("source_size", "target", "rate", "copies").withColumn("_key", _key(F.col(source)))
-    joined = lookup_measured(keyed, sources, "_key", "_source_key", [key]).drop("_key")
-    draw = uniform(F.col("_seed").cast("string"), F.col(key).cast("string"))
-    return joined.withColumn("copies", _copies(draw)).drop("_seed")
+    # The row travels in one struct, so no column of the input meets one of the plan.
+    kept = [c for c in docs.columns if c.lower() not in PLANNED]
+    row = F.struct(*[docs[quoted(c)] for c in kept]).alias("_row")
+    keyed = docs.select(docs[quoted(key)].cast("string").alias("_id"), _key(docs[quoted(source)]).alias("_key"), row)
+    joined = lookup_measured(keyed, sources, "_key", "_source_key", ["_id"])
+    copies = _copies(uniform(F.col("_seed").cast("string"), "_id"))
+    return joined.withColumn("copies", copies).select("_row.*", *PLANNED)
 
 
 def plan(measured: DataFrame, tables: Scratch, key: str = "doc_id", source: str = "source", **options) -> DataFrame:

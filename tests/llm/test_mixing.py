@@ -2,6 +2,8 @@ from fractions import Fraction
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from maillake.llm import mixing
 from maillake.llm.queries import QUERIES
 from maillake.llm.store import scratch
@@ -79,3 +81,13 @@ def test_emitted_copies(spark):
 def test_native_only(spark, plan):
     text = plan(mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), scratch(spark, "test")))
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
+
+
+def test_columns_named_like_inner_ones_are_kept(spark):
+    names = ["_seed", "_KEY", "_id", "_row", "_source_key", "Rate", "weight", "_words", "copy_", "_salt"]
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "d e", None)], "doc_id long, text string, source string")
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    planned = mixing.plan(mixing.measure(odd), scratch(spark, "test"))
+    assert [c for c in planned.columns if c in names] == [n for n in names if n.lower() not in mixing.PLANNED]
+    assert sorted(r["_seed"] for r in planned.collect()) == [0, 0]
+    assert mixing.mix(odd, scratch(spark, "test")).columns == odd.columns
