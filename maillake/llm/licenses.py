@@ -1,12 +1,18 @@
 """License scans by conditional compression.
 
-The words around each cue, over line ends, are candidate blocks. Every template is laid along each block word by word; the parts
-that differ in few enough words are compressed alone and with the template as raw zstandard dictionary. Of parts
-that overlap, the one with fewest differences wins, then the one with the largest reduction in bytes. So the words
-around a notice play no role, and a block may hold several.
+The words around each cue, over line ends, are candidate blocks. Windows of about each template's length are compressed alone and
+with the template as raw zstandard dictionary. A window is a candidate if the dictionary saves at least ``LEAST_SAVED`` of
+what it saves on the template itself, so the words around a notice play no role. Candidates are ranked by the bytes
+saved. In this order the template is laid along the window word by word, and the wording confirms or refuses:
+
+* at most ``MOST_DIFFERENT`` of the template's words may be missing or added;
+* the words that name a licence (names and version numbers in the template) must all be there;
+* no word may be added that names another licence with a like wording (Affero, Lesser).
+
+A confirmed part refuses later ones that overlap it; a block may hold several licences.
 
 Defined results: null and empty texts, and texts without a cue, have no findings; repeated rows are scanned
-alike; of templates that fit equally well the one listed first counts; an empty table gives an empty one; columns
+alike; of templates that save equally much the one listed first counts; an empty table gives an empty one; columns
 of the input are kept, and the added ``licenses`` replaces a column of the same name. Lines of any length
 are read whole.
 """
@@ -17,47 +23,129 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .store import per_process
+from .store import map_text, per_process
 
-# Wordings of licence notices; fixed values.
+# Wordings of licence notices and headers; fixed values.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Released to the public domain under CC0 1.0 Universal.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at",
+        "Apache License Version 2.0, January 2004",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "This project is licensed under the MIT License.",
+        "The MIT License (MIT)",
+        "MIT License",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC0-1.0": ("Released to the public domain under CC0 1.0 Universal.",),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software.",
+    ),
+    "BSD": (
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files, to deal in the Software without restriction."
+        "associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
 }
-# Words that make a line a candidate; fixed values.
+# Identifiers that stand in SPDX lines, and the licence each one names; fixed values.
+SPDX_LINE = "SPDX-License-Identifier: {}"
+SPDX = {
+    "Apache-2.0": ("Apache-2.0",),
+    "MIT": ("MIT",),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "MPL-2.0": ("MPL-2.0",),
+    "EPL-2.0": ("EPL-2.0",),
+    "BSL-1.0": ("BSL-1.0",),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "ISC": ("ISC",),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("Zlib",),
+    "CC0-1.0": ("CC0-1.0",),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+}
+# Words that make a line a candidate, and capitalised words that name no licence; fixed values.
 CUES = r"(?i)licen[sc]|copyright|permission|warrant|public\W+domain|redistribut|copyleft|spdx|creative\W+commons"
+GENERIC = {"license", "version", "software", "source", "code", "form", "january", "you", "in", "no", "the", "this"}
 MOST_DIFFERENT = 0.25  # of the template's words
+LEAST_SAVED = 0.15  # of the bytes that the template saves on itself; by measurement, see the README
 FOUND = "licenses array<struct<license:string,start:long,end:long,reduction:double,missing:int,extra:int>>"
 
 # A word with hyphens may go on in the next line, after its comment mark.
 _WORD = re.compile(r"\w+(?:[.'-]\w+|-[ \t]*\r?\n[\s#*/]*+\w+)*")
 _BROKEN = re.compile(r"-\W+")
 _CUE = re.compile(CUES.removeprefix("(?i)"), re.I)
+_NUMBER = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
 
 class Finding(NamedTuple):
@@ -69,9 +157,49 @@ class Finding(NamedTuple):
     extra: int  # words of the matched part that the template lacks
 
 
+@dataclass
+class Template:
+    license: str
+    words: list[str]
+    needed: Counter  # words that name the licence
+    refused: set[str]  # words that name another one
+
+
+def _plain(word: str) -> str:
+    """A word in lower case; ``v2.0`` and ``2.0`` are ``2``."""
+    word = _BROKEN.sub("-", word.lower())
+    number = _NUMBER.fullmatch(word)
+    return number.group(1) if number else word
+
+
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Words in lower case with their places; runs without end are plain words too."""
-    return [(_BROKEN.sub("-", m.group().lower()), m.start(), m.end()) for m in _WORD.finditer(text)]
+    return [(_plain(m.group()), m.start(), m.end()) for m in _WORD.finditer(text)]
+
+
+def _names(text: str) -> Counter:
+    """Words of a template that name something: numbers, and capitalised words inside a sentence or before another one."""
+    found: Counter = Counter()
+    for m in _WORD.finditer(text):
+        word, before, after = m.group(), text[: m.start()].rstrip(" ('"), text[m.end() :].lstrip()
+        inside = bool(before) and before[-1] not in ".;" or after[:1].isupper() or word[1:] != word[1:].lower()
+        if _plain(word) not in GENERIC and (any(c.isdigit() for c in word) or word[0].isupper() and inside):
+            found[_plain(word)] += 1
+    return found
+
+
+def prepared(templates: dict[str, tuple[str, ...]]) -> list[Template]:
+    """Templates with the words that tell them from each other."""
+    made = []
+    for licence, wordings in templates.items():
+        lines = [SPDX_LINE.format(i) for i in SPDX.get(licence, ())]
+        for text in (*wordings, *lines):
+            made.append(Template(licence, [w for w, _, _ in words_of(text)], _names(text), set()))
+    for one in made:
+        for other in made:
+            if other.license != one.license and _parts(one.words, other.words, 2 * MOST_DIFFERENT * len(one.words)):
+                one.refused |= {w for w in set(other.needed) - set(one.words) if not w[0].isdigit()}
+    return made
 
 
 def blocks_of(text: str, reach: int) -> Iterator[tuple[int, str]]:
@@ -91,23 +219,52 @@ def blocks_of(text: str, reach: int) -> Iterator[tuple[int, str]]:
         yield words[low][1], text[words[low][1] : words[high - 1][2]]
 
 
-def _engines(templates: tuple[tuple[str, str], ...]) -> tuple:
-    import zstandard as zs
+class Compressors:
+    """Compressed sizes alone and with each template as dictionary."""
+
+    def __init__(self, templates: list[Template]) -> None:
+        import zstandard as zs
 
-    def engine(words: str | None):
-        if words is None:
-            return zs.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        given = zs.ZstdCompressionDict(words.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
-        return zs.ZstdCompressor(level=3, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False)
+        plain = dict(level=3, write_content_size=False, write_checksum=False)
+        self.alone = zs.ZstdCompressor(**plain)
+        self.given = []
+        for t in templates:
+            words = zs.ZstdCompressionDict(" ".join(t.words).encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
+            self.given.append(zs.ZstdCompressor(dict_data=words, write_dict_id=False, **plain))
+        self.whole = [max(1, sum(self.sizes(t.words, k)) - 2 * self.sizes(t.words, k)[1]) for k, t in enumerate(templates)]
 
-    return engine(None), [(name, engine(" ".join(w for w, _, _ in words_of(text)))) for name, text in templates]
+    def sizes(self, words: list[str], k: int) -> tuple[int, int]:
+        data = " ".join(words).encode("utf-8", "surrogatepass")
+        return len(self.alone.compress(data)), len(self.given[k].compress(data))
 
 
-def _aligned(template: list[str], words: list[str], most: float) -> list[tuple[int, int, int]]:
-    """The parts of the words that differ in at most ``most`` from the template: cost, first word and end.
+def candidates(own: list[str], templates: list[Template], engines: Compressors) -> list[tuple[float, int, int, int]]:
+    """Windows of a block in the order of the bytes saved: (-bytes, number of the template, first word, end)."""
+    held, found = Counter(own), []
+    for k, t in enumerate(templates):
+        if not t.needed <= held:  # cannot be confirmed anywhere in the block
+            continue
+        size = len(t.words)
+        span, step = size + size // 2 + 1, max(1, size // 4)
+        for low in range(0, max(1, len(own) - span + step), step):
+            alone, given = engines.sizes(own[low : low + span], k)
+            if alone - given >= LEAST_SAVED * engines.whole[k]:
+                found.append((given - alone, k, low, min(low + span, len(own))))
+    return sorted(found)
 
-    The whole template is laid along any part of the block; a missing or an extra word costs 1. Of parts that overlap
-    the nearest stays.
+
+def confirmed(part: list[str], template: Template, most: float) -> Iterator[tuple[int, int, int]]:
+    """Cost, first word and end of the places in the words whose wording confirms the template, the nearest first."""
+    for cost, first, end in _parts(template.words, part, most):
+        words = Counter(part[first:end])
+        if template.needed <= words and not template.refused & set(words):
+            yield cost, first, end
+
+
+def _parts(template: list[str], words: list[str], most: float) -> list[tuple[int, int, int]]:
+    """For each end the part of the words nearest to the template, by cost: cost, first word and end.
+
+    The whole template is laid along any part of the words; a missing or an extra word costs 1, and at most ``most``.
     """
     # cost, start per end; the part may start anywhere at no cost
     row = [(0, j) for j in range(len(words) + 1)]
@@ -121,73 +278,69 @@ def _aligned(template: list[str], words: list[str], most: float) -> list[tuple[i
                 best = (new[-1][0] + 1, new[-1][1])
             new.append(best)
         row = new
-    return _apart(sorted((cost, start, end) for end, (cost, start) in enumerate(row) if cost <= most and end > start))
+    return sorted((cost, start, end) for end, (cost, start) in enumerate(row) if cost <= most and end > start)
 
 
-def _apart(ranked: list[tuple]) -> list[tuple]:
-    """Of parts that overlap the one listed first; parts end with their first word and their end."""
-    kept: list[tuple] = []
-    for part in ranked:
-        if all(part[-1] <= other[-2] or other[-1] <= part[-2] for other in kept):
-            kept.append(part)
-    return kept
+def _engines(templates: dict[str, tuple[str, ...]]) -> tuple[list[Template], Compressors]:
+    made = prepared(templates)
+    return made, Compressors(made)
 
 
-def scan(text: str, templates: dict[str, str] = TEMPLATES) -> list[Finding]:
+def scan(text: str | None, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[Finding]:
     """The licences of a text in order; a block may hold several."""
     if not text or not _CUE.search(text):
         return []
-    given = tuple(templates.items())
-    plain, engines = per_process(f"licence-engines-{hash(given)}", lambda: _engines(given))
-    spelled = {name: [w for w, _, _ in words_of(t)] for name, t in templates.items()}
+    made, engines = per_process(f"licence-engines-{hash(tuple(templates.items()))}", lambda: _engines(templates))
     found: list[Finding] = []
     # A notice with extra words may reach further from its cue than the template.
-    reach = 1 + int((1 + MOST_DIFFERENT) * max(map(len, spelled.values()), default=0))
+    reach = 1 + int((1 + MOST_DIFFERENT) * max((len(t.words) for t in made), default=0))
     for offset, block in blocks_of(text, reach):
         words = words_of(block)
         own = [w for w, _, _ in words]
-        held = Counter(own)
-        fits = []
-        for k, (name, engine) in enumerate(engines):
-            template, most = spelled[name], MOST_DIFFERENT * len(spelled[name])
-            if (Counter(template) - held).total() > most:  # no part of the block has more of its words
+        kept: list[tuple[int, int]] = []
+        for _, k, low, high in candidates(own, made, engines):
+            template = made[k]
+            # A window may begin or end inside the notice: it is laid along some more words, but has to meet the window.
+            around = max(0, low - len(template.words))
+            wider = own[around : high + len(template.words)]
+            for cost, first, end in confirmed(wider, template, MOST_DIFFERENT * len(template.words)):
+                first, end = around + first, around + end
+                if first < high and low < end and not any(first < b and a < end for a, b in kept):
+                    break
+            else:
                 continue
-            for cost, first, end in _aligned(template, own, most):
-                data = " ".join(own[first:end]).encode("utf-8", "surrogatepass")
-                alone = len(plain.compress(data))
-                fits.append((cost, -(alone - len(engine.compress(data))) / alone, k, first, end))
-        for cost, gain, k, first, end in _apart(sorted(fits)):
-            name = engines[k][0]
-            matched = (len(spelled[name]) + (end - first) - cost) // 2
+            kept.append((first, end))
+            alone, given = engines.sizes(own[first:end], k)
+            matched = (len(template.words) + (end - first) - cost) // 2
             where = (offset + words[first][1], offset + words[end - 1][2])
-            found.append(Finding(name, *where, round(-gain, 6), len(spelled[name]) - matched, end - first - matched))
+            found.append(Finding(template.license, *where, round(1 - given / alone, 6), len(template.words) - matched, end - first - matched))
     return sorted(found, key=lambda f: f.start)
 
 
-def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """The documents with the licences found in them. Only texts with a cue reach Python."""
-    added = T._parse_datatype_string(FOUND)
-    kept = [f for f in docs.schema.fields if f.name not in added.names]
-    kind = pa.list_(
-        pa.struct(
-            [
-                ("license", pa.string()),
-                ("start", pa.int64()),
-                ("end", pa.int64()),
-                ("reduction", pa.float64()),
-                ("missing", pa.int32()),
-                ("extra", pa.int32()),
-            ]
-        )
+KIND = pa.list_(
+    pa.struct(
+        [
+            ("license", pa.string()),
+            ("start", pa.int64()),
+            ("end", pa.int64()),
+            ("reduction", pa.float64()),
+            ("missing", pa.int32()),
+            ("extra", pa.int32()),
+        ]
     )
+)
+
+
+def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """The documents with the licences found in them. Only texts with a cue reach Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.select([n for n in batch.schema.names if n != "_text"])
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            found = [[f._asdict() for f in scan(t.as_py(), templates)] if t.is_valid else [] for t in texts]
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, kind)], names=[*rest.schema.names, "licenses"])
+    def run(*columns: pa.Array) -> list[pa.Array]:
+        found = [[f._asdict() for f in scan(t.as_py(), templates)] if t.is_valid else [] for t in columns[0]]
+        return [pa.array(found, KIND)]
 
-    candidate = F.when(F.col(text).rlike(CUES), F.col(text))
-    source = docs.select(*[f.name for f in kept], candidate.alias("_text"))
-    return source.mapInArrow(run, T.StructType(kept + added.fields))
+    asked = "_candidate_text"
+    while asked in [c.lower() for c in docs.columns]:
+        asked += "_"
+    source = docs.withColumn(asked, F.when(F.col(text).rlike(CUES), F.col(text)))
+    kept = [c for c in source.columns if c.lower() != text.lower()]
+    return map_text(source.select(*kept), run, FOUND, asked)
