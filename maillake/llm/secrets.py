@@ -7,19 +7,21 @@ replaced, and a broken compressed stream gives what comes before the error. Laye
 an earlier layer end. Every character of a layer knows the span of the original text it came from, so all
 findings are spans of the original text.
 
+A compressed part has one span, that of the part. It is read as a stream, in windows that overlap and end at white space, so
+its size needs no limit and little memory; what is found in it, or in parts inside it, has the part's span.
+
 Defined results: a null text is empty; repeated rows are scanned alike; findings of the same kind and span count
 once; an empty table gives an empty one; columns of the input are kept, and the added ones replace columns of
-the same name. Compressed layers are unpacked up to ``UNPACKED_BYTES`` as a guard against bombs; a text with a
-larger one has ``unscanned`` above 0, and what was unpacked is scanned.
+the same name. ``unscanned`` counts places inside compressed parts where a run without white space is longer than
+``LONGEST``: it is scanned, but what is encoded in it is unwrapped in pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import gzip
+import codecs
 import hashlib
-import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .store import map_text
 
 # Kinds in the order in which findings are listed; fixed values.
 KINDS = ("assign", "access", "hex")
@@ -40,7 +42,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-UNPACKED_BYTES = 64 * 1024 * 1024
+WINDOW = 1 << 20  # characters of a compressed part that are scanned at once
+OVERLAP = 1 << 12
+LONGEST = 1 << 24
+STEP = 256  # bytes that are unpacked at once
 LEAST_BASE64 = 16
 _RUN = re.compile(r"\S+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -63,14 +68,36 @@ class Found(NamedTuple):
         return f"{KINDS[self.kind]}:{self.start}:{self.end}"
 
 
-class Layer(NamedTuple):
-    """An unwrapped text; character i came from ``low[i]`` to ``high[i]`` of the original text."""
+class Decoded(NamedTuple):
+    """An unwrapped part of a text; its character i came from ``low[i]`` to ``high[i]`` of the part."""
 
     text: str
     low: np.ndarray
     high: np.ndarray
 
 
+class Layer(NamedTuple):
+    """An unwrapped text. Character i came from ``low[i]`` to ``high[i]`` of the original text, or, if these are numbers,
+    all of it came from one span."""
+
+    text: str
+    low: np.ndarray | int
+    high: np.ndarray | int
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        if isinstance(self.low, int):
+            return self.low, self.high
+        return int(self.low[start:end].min()), int(self.high[start:end].max())
+
+
+class Packed(NamedTuple):
+    """Compressed bytes and the span of the part they came from."""
+
+    data: bytes
+    low: int
+    high: int
+
+
 def scan(text: str) -> list[Found]:
     """Findings in one text as it stands, by start and kind."""
     found = []
@@ -85,20 +112,20 @@ def scan(text: str) -> list[Found]:
     return sorted(found)
 
 
-def _decoded_bytes(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+def _decoded_bytes(data: bytes, low: np.ndarray, high: np.ndarray) -> Decoded:
     """Bytes as text with the place of each character; a byte that is not UTF-8 becomes a replacement character."""
     text = data.decode("utf-8", "surrogateescape")
-    if len(text) == len(data):
-        return _ESCAPED.sub("\ufffd", text), owners
-    spans, at = [], 0
-    for c in text:
-        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
-        spans.append((owners[at][0], owners[at + n - 1][1]))
-        at += n
-    return _ESCAPED.sub("\ufffd", text), spans
+    if len(text) != len(data):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        escaped = (codes >= 0xDC80) & (codes <= 0xDCFF)
+        sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        sizes[escaped] = 1
+        ends = np.cumsum(sizes)
+        low, high = low[ends - sizes], high[ends - 1]
+    return Decoded(_ESCAPED.sub("\ufffd", text), low, high)
 
 
-def _wide(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
+def _wide(data: bytes, low: np.ndarray, high: np.ndarray) -> Decoded | None:
     """UTF-16 bytes as text; None if they do not look like it."""
     order = {b"\xff\xfe": "little", b"\xfe\xff": "big"}.get(data[:2])
     if order is None:
@@ -106,110 +133,146 @@ def _wide(data: bytes, owners: list[tuple[int, int]]) -> tuple[str, list[tuple[i
         if max(zeros) * 4 < len(data):  # half of all characters
             return None
         order = "big" if zeros[0] > zeros[1] else "little"
-    units = np.frombuffer(data[: len(data) // 2 * 2], "<u2" if order == "little" else ">u2")
+    n = len(data) // 2
+    units = np.frombuffer(data[: 2 * n], "<u2" if order == "little" else ">u2")
     # One character a unit: halves of a pair are never part of a finding.
-    text = "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in units.tolist())
-    return text, [(owners[2 * i][0], owners[2 * i + 1][1]) for i in range(len(units))]
+    plain = np.where((units >= 0xD800) & (units < 0xE000), 0xFFFD, units).astype("<u2")
+    return Decoded(plain.tobytes().decode("utf-16-le"), low[: 2 * n : 2], high[1 : 2 * n : 2])
+
 
+def _percent(run: str) -> Decoded:
+    data, lows, highs, at = bytearray(), [], [], 0
+
+    def plain(upto: int) -> None:
+        part = run[at:upto]
+        coded = part.encode("utf-8", "surrogatepass")
+        own = np.arange(at, upto)
+        if len(coded) != len(part):
+            own = np.repeat(own, [len(c.encode("utf-8", "surrogatepass")) for c in part])
+        data.extend(coded)
+        lows.append(own)
+        highs.append(own + 1)
 
-def _percent(run: str) -> tuple[str, list[tuple[int, int]]]:
-    data, owners, at = bytearray(), [], 0
     for m in _PERCENT.finditer(run):
-        for i in range(at, m.start()):
-            coded = run[i].encode("utf-8", "surrogatepass")
-            data += coded
-            owners += [(i, i + 1)] * len(coded)
+        plain(m.start())
         data.append(int(run[m.start() + 1 : m.end()], 16))
-        owners.append((m.start(), m.end()))
+        lows.append(np.array([m.start()]))
+        highs.append(np.array([m.end()]))
         at = m.end()
-    for i in range(at, len(run)):
-        coded = run[i].encode("utf-8", "surrogatepass")
-        data += coded
-        owners += [(i, i + 1)] * len(coded)
-    return _decoded_bytes(bytes(data), owners)
+    plain(len(run))
+    return _decoded_bytes(bytes(data), np.concatenate(lows), np.concatenate(highs))
 
 
-def _unicode(run: str) -> tuple[str, list[tuple[int, int]]]:
-    out, spans, at = [], [], 0
+def _unicode(run: str) -> Decoded:
+    out, lows, highs, at = [], [], [], 0
     for m in _UNICODE.finditer(run):
         out.append(run[at : m.start()])
-        spans += [(i, i + 1) for i in range(at, m.start())]
+        lows.append(np.append(np.arange(at, m.start()), m.start()))
+        highs.append(np.append(np.arange(at, m.start()) + 1, m.end()))
         value = int(m.group().lstrip("\\uUx").strip("{}") or "0", 16)
         out.append(chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd")
-        spans.append((m.start(), m.end()))
         at = m.end()
     out.append(run[at:])
-    spans += [(i, i + 1) for i in range(at, len(run))]
-    return "".join(out), spans
+    lows.append(np.arange(at, len(run)))
+    highs.append(np.arange(at, len(run)) + 1)
+    return Decoded("".join(out), np.concatenate(lows), np.concatenate(highs))
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool] | None:
-    """Contents of compressed bytes, and whether they were cut at the guard; None if not compressed."""
+def _kind_of(data: bytes) -> str | None:
+    """The compression of bytes, by their first ones."""
     if data[:2] == b"\x1f\x8b":
-        kind = "gzip"
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        kind = "zlib"
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        kind = "zstd"
-    elif data[:3] == b"BZh":
-        kind = "bz2"
-    elif data[:6] == b"\xfd7zXZ\x00":
-        kind = "xz"
-    else:
-        return None
-    source = io.BytesIO(data)
-    try:
-        if kind == "zlib":
-            engine = zlib.decompressobj()
-            out = engine.decompress(data, UNPACKED_BYTES)
-            return out, bool(engine.unconsumed_tail)
-        if kind == "zstd":
-            import zstandard
-
-            stream = zstandard.ZstdDecompressor().stream_reader(source)
-        elif kind == "bz2":
-            import bz2
-
-            stream = bz2.BZ2File(source)
-        elif kind == "xz":
-            import lzma
-
-            stream = lzma.LZMAFile(source)
-        else:
-            stream = gzip.GzipFile(fileobj=source)
-        out = stream.read(UNPACKED_BYTES)
-        return out, len(out) == UNPACKED_BYTES and bool(stream.read(1))
-    except Exception:  # broken or foreign bytes: what comes out before the error
-        return _partial(kind, data)
-
-
-def _partial(kind: str, data: bytes) -> tuple[bytes, bool] | None:
-    """What a broken stream gives, byte by byte up to the error; None if that is nothing."""
+        return "gzip"
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return "zlib"
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    if data[:3] == b"BZh":
+        return "bz2"
+    return "xz" if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _engine(kind: str):
     if kind == "zstd":
         import zstandard
 
-        engine = zstandard.ZstdDecompressor().decompressobj()
-    elif kind == "bz2":
+        return zstandard.ZstdDecompressor().decompressobj()
+    if kind == "bz2":
         import bz2
 
-        engine = bz2.BZ2Decompressor()
-    elif kind == "xz":
+        return bz2.BZ2Decompressor()
+    if kind == "xz":
         import lzma
 
-        engine = lzma.LZMADecompressor()
-    else:
-        engine = zlib.decompressobj(47)
-    out = bytearray()
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj(47)
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of compressed bytes, some at a time, up to the end or to the first error."""
+    kind, at = _kind_of(data), 0
+    while kind and at < len(data):
+        engine, rest = _engine(kind), b""
+        try:
+            while not engine.eof:
+                if not rest:
+                    if at >= len(data):
+                        return
+                    rest, at = data[at : at + STEP], at + STEP
+                if kind in ("gzip", "zlib"):
+                    before = engine.copy()
+                    try:
+                        yield engine.decompress(rest, WINDOW)
+                    except zlib.error:  # what comes out before the error
+                        yield from _bytewise(before, rest)
+                        return
+                    rest = engine.unconsumed_tail
+                elif kind == "zstd":
+                    yield engine.decompress(rest)
+                    rest = b""
+                else:
+                    yield engine.decompress(rest, WINDOW)
+                    rest = b""
+                    while not engine.needs_input and not engine.eof:
+                        yield engine.decompress(b"", WINDOW)
+        except Exception:  # broken or foreign bytes
+            return
+        left = engine.unused_data + data[at:]  # the next member of a file
+        data, at = left, 0
+        kind = _kind_of(data) if kind != "zlib" else None
+
+
+def _bytewise(engine, data: bytes) -> Iterator[bytes]:
     try:
         for i in range(len(data)):
-            out += engine.decompress(data[i : i + 1])
-            if len(out) > UNPACKED_BYTES:
-                return bytes(out[:UNPACKED_BYTES]), True
-            if kind in ("gzip", "zlib") and engine.eof:  # the next member of a gzip file
-                engine = zlib.decompressobj(47)
-    except Exception:  # the error itself
-        pass
-    return (bytes(out), False) if out else None
+            yield engine.decompress(data[i : i + 1])
+    except zlib.error:
+        return
+
+
+_SPACE = re.compile(r"\s")
+
+
+def windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """Unpacked bytes as overlapping texts that begin and end at white space, and whether there was none for too long."""
+    decoder, held, size, before, enough = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, "", WINDOW
+    for chunk in chunks:
+        text = decoder.decode(chunk)
+        held.append(text)
+        size += len(text)
+        if size < enough:
+            continue
+        whole, low = before + "".join(held), len(before)
+        spaces = [m.end() for m in _SPACE.finditer(whole, max(low, len(whole) - OVERLAP))] or [m.end() for m in _SPACE.finditer(whole, low)]
+        long = not spaces and size >= LONGEST
+        if not spaces and not long:
+            held, enough = [whole[low:]], min(2 * enough, LONGEST)
+            continue
+        cut = spaces[-1] if spaces else len(whole) // 4 * 4
+        yield whole[:cut], long
+        start = max(0, cut - OVERLAP)
+        space = _SPACE.search(whole, start, cut)
+        before, held, size, enough = whole[space.end() if space else start : cut], [whole[cut:]], len(whole) - cut, WINDOW
+    yield before + "".join(held) + decoder.decode(b"", True), False
 
 
 def _readable(text: str) -> bool:
@@ -222,7 +285,8 @@ def _coded(text: str) -> bool:
     return bool(_PERCENT.search(text) or _UNICODE.search(text) or any(_CODED.search(m.group()) for m in _BASE64.finditer(text)))
 
 
-def _base64(run: str) -> tuple[str, list[tuple[int, int]], bool] | None:
+def _base64(run: str) -> Decoded | bytes | None:
+    """What a run of base64 letters holds: text, compressed bytes or nothing."""
     body = run.rstrip("=")
     usable = len(body) - (len(body) % 4 == 1)
     coded = body[:usable].replace("-", "+").replace("_", "/")
@@ -230,44 +294,43 @@ def _base64(run: str) -> tuple[str, list[tuple[int, int]], bool] | None:
         data = base64.b64decode(coded + "=" * (-len(coded) % 4))
     except (binascii.Error, ValueError):
         return None
-    packed = _unpack(data)
-    if packed is not None:
-        out, cut = packed
-        text = out.decode("utf-8", "replace")
-        return (text, [(0, len(run))] * len(text), cut) if text else None
-    owners = [(b // 3 * 4, min(len(run), b // 3 * 4 + 4)) for b in range(len(data))]
-    wide = _wide(data, owners)
-    text, spans = wide if wide is not None else _decoded_bytes(data, owners)
+    if _kind_of(data) is not None and any(unpacked(data)):
+        return data
+    low = np.arange(len(data)) // 3 * 4
+    high = np.minimum(low + 4, len(run))
+    found = _wide(data, low, high) or _decoded_bytes(data, low, high)
     # Bytes that are no plain text are a layer only if there is something in them.
-    if not _readable(text) and not scan(text) and not _coded(text):
+    if not _readable(found.text) and not scan(found.text) and not _coded(found.text):
         return None
-    return text, spans, False
+    return found
 
 
-def _unwrap(text: str) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]:
-    """Encoded parts of a text: where the part starts, its decoded text, places within the part, whether cut."""
+def _unwrap(text: str) -> Iterator[tuple[int, int, Decoded | bytes]]:
+    """Encoded parts of a text: where the part starts and ends, and what it holds."""
     if "%" in text or "\\" in text:
         for m in _RUN.finditer(text):
             run = m.group()
             if "%" in run and _PERCENT.search(run):
-                yield m.start(), *_percent(run), False
+                yield m.start(), m.end(), _percent(run)
             if "\\" in run and _UNICODE.search(run):
-                yield m.start(), *_unicode(run), False
+                yield m.start(), m.end(), _unicode(run)
     for m in _BASE64.finditer(text):
         run = m.group()
         if _CODED.search(run):
-            decoded64 = _base64(run)
-            if decoded64 is not None:
-                yield m.start(), *decoded64
+            held = _base64(run)
+            if held is not None:
+                yield m.start(), m.end(), held
     for m in _WRAPPED.finditer(text):
         for lines in _joined([(p.start(), p.end()) for p in _LINE.finditer(text, m.start(), m.end())]):
             run = "".join(text[a:b] for a, b in lines)
-            decoded64 = _base64(run) if _CODED.search(run) else None
-            if decoded64 is not None:
-                start = lines[0][0]
-                at = [i - start for a, b in lines for i in range(a, b)]
-                spans = [(at[a], at[b - 1] + 1) for a, b in decoded64[1]]
-                yield start, decoded64[0], spans, decoded64[2]
+            held = _base64(run) if _CODED.search(run) else None
+            if held is None:
+                continue
+            start, end = lines[0][0], lines[-1][1]
+            if isinstance(held, Decoded):
+                at = np.concatenate([np.arange(a, b) for a, b in lines]) - start
+                held = Decoded(held.text, at[held.low], at[held.high - 1] + 1)
+            yield start, end, held
 
 
 def _joined(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -284,61 +347,78 @@ def _joined(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def scan_layers(text: str) -> tuple[list[Found], list[Found], int, int]:
-    """Findings of the text itself, further ones of its layers, number of layers, number of cut layers."""
+    """Findings of the text itself, further ones of its layers, number of layers, number of places read in pieces."""
     base = scan(text)
     known, more = set(base), set()
     seen: set[tuple[bytes, int]] = set()
-    work: list[Layer] = []
-    layers = cut_layers = 0
+    work: list[Layer | Packed] = []
+    layers = unscanned = 0
+
+    def is_new(data: bytes, low: int) -> bool:
+        mark = (hashlib.blake2b(data, digest_size=16).digest(), low)
+        if mark in seen:
+            return False
+        seen.add(mark)
+        return True
 
-    def add(parent: Layer | None, start: int, decoded: str, spans: list[tuple[int, int]]) -> None:
+    def add(parent: Layer, start: int, end: int, held: Decoded | bytes) -> None:
         nonlocal layers
-        at = np.array(spans, np.int64).reshape(-1, 2) + start
-        if parent is None:
-            low, high = at[:, 0], at[:, 1]
-        else:
-            low, high = parent.low[at[:, 0]], parent.high[at[:, 1] - 1]
-        mark = (hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(low[0]))
-        if mark not in seen:
-            seen.add(mark)
+        low, high = parent.span(start, end)
+        if isinstance(held, bytes):
+            if is_new(held, low):
+                layers += 1
+                work.append(Packed(held, low, high))
+        elif held.text:
+            if isinstance(parent.low, int):
+                layer = Layer(held.text, low, high)
+            else:
+                layer = Layer(held.text, parent.low[held.low + start], parent.high[held.high + start - 1])
+                low = int(layer.low[0])
+            if is_new(held.text.encode("utf-8", "surrogatepass"), low):
+                layers += 1
+                work.append(layer)
+
+    def look(layer: Layer) -> None:
+        for f in scan(layer.text):
+            low, high = layer.span(f.start, f.end)
+            if Found(low, f.kind, high) not in known:
+                more.add(Found(low, f.kind, high))
+        for part in _unwrap(layer.text):
+            add(layer, *part)
+
+    for start, end, held in _unwrap(text):  # places of the text itself are known without arrays
+        if isinstance(held, bytes):
+            add(Layer("", start, end), start, end, held)
+        elif held.text and is_new(held.text.encode("utf-8", "surrogatepass"), int(held.low[0]) + start):
             layers += 1
-            work.append(Layer(decoded, low, high))
-
-    for start, decoded, spans, cut in _unwrap(text):
-        cut_layers += cut
-        if decoded:
-            add(None, start, decoded, spans)
+            work.append(Layer(held.text, held.low + start, held.high + start))
     while work:
         layer = work.pop()
-        for f in scan(layer.text):
-            found = Found(int(layer.low[f.start : f.end].min()), f.kind, int(layer.high[f.start : f.end].max()))
-            if found not in known:
-                more.add(found)
-        for start, decoded, spans, cut in _unwrap(layer.text):
-            cut_layers += cut
-            if decoded:
-                add(layer, start, decoded, spans)
-    return base, sorted(more), layers, cut_layers
+        if isinstance(layer, Layer):
+            look(layer)
+            continue
+        for window, long in windows(unpacked(layer.data)):
+            unscanned += long
+            # Equal windows, as in a bomb, hold the same.
+            if window and is_new(window.encode("utf-8", "surrogatepass") + b"\0window", layer.low):
+                look(Layer(window, layer.low, layer.high))
+    return base, sorted(more), layers, unscanned
+
+
+TYPES = (pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32())
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their findings: ``base_spans`` and ``layer_spans`` as ``kind:start:end`` in order."""
-    added = T._parse_datatype_string(COLUMNS)
-    kept = [f for f in docs.schema.fields if f.name not in added.names]
-    types = [pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.select([n for n in batch.schema.names if n != "_text"])
-            rows = []
-            for value in batch.column(batch.schema.get_field_index("_text")):
-                base, more, layers, cut = scan_layers(value.as_py() or "")
-                rows.append(([str(f) for f in base], [str(f) for f in more], layers, cut))
-            new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(rest.columns + new, names=rest.schema.names + added.names)
-
-    source = docs.select(*[f.name for f in kept], F.col(text).alias("_text"))
-    return source.mapInArrow(run, T.StructType(kept + added.fields))
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for value in texts:
+            base, more, layers, unscanned = scan_layers(value.as_py() or "")
+            rows.append(([str(f) for f in base], [str(f) for f in more], layers, unscanned))
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(TYPES)]
+
+    return map_text(docs, run, COLUMNS, text, keep=True)
 
 
 def in_order(spans: str) -> str:

@@ -1,17 +1,25 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import os
+import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 
 from maillake.llm import secrets as sc
 from maillake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 KEY = "AKIA" + "Q7" * 9
 SECRET = 'password = "hunter2hunter2"'
 
@@ -59,14 +67,93 @@ def test_url_and_unicode_escapes_keep_exact_places():
     assert layers(f"ß {escaped} z") == [f"access:2:{2 + len(escaped)}"]
 
 
-def test_cycles_bombs_and_junk_end(monkeypatch):
+def test_cycles_and_junk_end():
     assert layers("%25" * 1000 + " " + "%2525" * 200) == []
     assert layers("A" * 200000) == [] and layers("%%%% \\u \\uZZZZ ==== =") == []
     assert layers("x" * 300000 + " " + "aB3" * 100000) == []
-    monkeypatch.setattr(sc, "UNPACKED_BYTES", 1000)
-    bomb = base64.b64encode(gzip.compress(KEY.encode() + b" " * 100000)).decode()
-    base, more, n, cut = sc.scan_layers(bomb)
-    assert cut == 1 and [f.kind for f in more] == [1]
+
+
+def test_compressed_parts_have_no_limit():
+    """What lies behind many megabytes of blanks, or of letters without any, is found; the part has one span."""
+    for filler in (b" " * 5_000_000, b"x" * 3_000_000 + b" ", b"ab cd\n" * 700_000):
+        for pack in (gzip.compress, zlib.compress, zstandard.compress, bz2.compress, lzma.compress):
+            bomb = base64.b64encode(pack(filler + KEY.encode() + b" " + filler)).decode()
+            base, more, n, unscanned = sc.scan_layers("see " + bomb)
+            assert [str(f) for f in more] == [f"access:4:{4 + len(bomb)}"] and unscanned == 0
+
+
+def test_runs_longer_than_a_window_are_counted_and_scanned(monkeypatch):
+    monkeypatch.setattr(sc, "WINDOW", 1000)
+    monkeypatch.setattr(sc, "LONGEST", 4000)
+    data = b"x," * 4000 + KEY.encode() + b"-" + b"y," * 4000
+    base, more, n, unscanned = sc.scan_layers(base64.b64encode(gzip.compress(data)).decode())
+    assert [f.kind for f in more] == [1] and unscanned > 0
+
+
+def test_a_large_layer_takes_little_memory():
+    code = """
+import base64, resource, sys, zlib
+from maillake.llm import secrets as sc
+engine, parts = zlib.compressobj(1, wbits=31), []
+words = [b"w%d " % i for i in range(200_000)]
+for k in range(160):
+    parts.append(engine.compress(b"".join(words[k:]) + b"line\\n"))
+parts.append(engine.compress(b" AKIA" + b"Q7" * 9 + b" ") + engine.flush())
+text = base64.b64encode(b"".join(parts)).decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base, more, n, cut = sc.scan_layers(text)
+assert 1 in [f.kind for f in more] and cut == 0
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 400_000  # KB, for more than 200 MB
+
+
+def opened(text, found, depth=0):
+    """All texts that a text holds, by decoding whole runs plainly and without places."""
+    for run in re.findall(r"\S+", text):
+        inner = []
+        if "%" in run:
+            inner.append(urllib.parse.unquote(run, errors="replace"))
+        if "\\u" in run:
+            inner.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m.group(1), 16)), run))
+        if re.fullmatch(r"[A-Za-z0-9+/]{16,}={0,2}", run) and len(run) % 4 == 0:
+            data = base64.b64decode(run)
+            for unpack in (gzip.decompress, zlib.decompress, bz2.decompress, lambda b: b):
+                try:
+                    inner.append(unpack(data).decode())
+                    break
+                except Exception:  # another kind
+                    pass
+        for one in inner:
+            if one != run and one not in found and depth < 9:
+                found.add(one)
+                opened(one, found, depth + 1)
+    return found
+
+
+def test_random_nestings_against_plain_decoding():
+    """The kinds of secrets in all layers, and spans that enclose just the coded part."""
+    rng = random.Random(12)
+    codings = [
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+        lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+        lambda t: urllib.parse.quote(t, safe=""),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    ]
+    for _ in range(150):
+        inner = " ".join(rng.choice([KEY, SECRET, "0123456789abcdef" * 2, "plain words", "\u00e9 \u00df"]) for _ in range(rng.randint(1, 3)))
+        for _ in range(rng.randint(1, 4)):
+            inner = rng.choice(codings)(f"{rng.choice(['', 'note '])}{inner}")
+        text = f"head {inner} tail"
+        kinds = {s.split(":")[0] for t in opened(text, set()) for s in plain_scan(t)}
+        spans = [s.split(":") for s in layers(text)]
+        here = {s.split(":")[0] for s in plain_scan(text)}
+        assert {k for k, _, _ in spans} | here == kinds | here, text[:200]
+        assert all(5 <= int(a) < int(b) <= 5 + len(inner) for _, a, b in spans)
 
 
 def test_rules_of_the_base():
@@ -77,7 +164,7 @@ def test_rules_of_the_base():
 
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, KEY), (3, KEY), (None, KEY), (4, "w " * 300000 + KEY)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as layers", "'q' as _text2")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(n) for n in ("Layers", "_text", "c0", "t", "Base_Spans")])
     got = sorted((str(r["doc_id"]), r["base_spans"]) for r in sc.find_secrets(docs).collect())
     assert got[0] == ("1", []) and got[1] == ("2", []) and len(got) == 6
     assert got[4] == ("4", [f"access:600000:{600000 + len(KEY)}"])
