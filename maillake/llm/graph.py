@@ -7,49 +7,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import threads
 from ..operators.lineage import Scratch
 
-MOST_ROUNDS = 200  # far more than doubling needs; passing it is an error, never a cut result
+HUB_ROWS = 10_000  # a node with so many edges is looked up by many tasks
 
 
 def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
-    """``node`` and ``component`` (the smallest node reachable) for all nodes of edges ``a``, ``b``.
-
-    In a round every node takes the smallest label beside it, labels are followed twice, and the graph is contracted
-    to the labels: edges inside one label go, so later rounds are ever smaller. Groups are only reduced to a minimum,
-    which is combined before the shuffle; no component is gathered anywhere. Every round is a written table, so lost
-    executors cost no earlier round.
-    """
-    pair = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = tables.write(pair.distinct(), f"{name}-edges-0")
-    moves: list[DataFrame] = []
-    for round_ in range(MOST_ROUNDS):
-        if round_ and not open_.take(1):
-            break
-        ends = open_.select("a", "b").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        step = tables.write(step.select("node", F.least("node", "near").alias("label")), f"{name}-near-{round_}")
-        for _ in range(2):
-            target = step.select(F.col("node").alias("at"), F.col("label").alias("next"))
-            step = step.join(target, F.col("label") == F.col("at")).select("node", F.col("next").alias("label"))
-        step = tables.write(step, f"{name}-step-{round_}")
-        moves.append(step)
-        left = open_.join(step.toDF("x", "la"), F.col("a") == F.col("x"))
-        both = left.join(step.toDF("y", "lb"), F.col("b") == F.col("y")).where("la <> lb")
-        contracted = both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        open_ = tables.write(contracted, f"{name}-edges-{round_ + 1}")
-    else:
-        raise RuntimeError("components did not settle")
-    # The last labels are final; earlier ones move on by the later rounds.
-    final = moves[-1]
-    for round_ in reversed(range(len(moves) - 1)):
-        later = final.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        moved = moves[round_].join(later, F.col("label") == F.col("at"), "left")
-        final = tables.write(moved.select("node", F.coalesce("next", "label").alias("label")), f"{name}-final-{round_}")
-    return final.withColumnRenamed("label", "component")
+    """``node`` and ``component`` (the smallest node reachable) for all nodes of edges ``a``, ``b``."""
+    return threads.components(edges, tables, name, HUB_ROWS)
 
 
 def map_blocks(
@@ -59,7 +27,9 @@ def map_blocks(
 
     Like a grouped map, without its cost per group: rows come sorted by key and are cut where the key changes.
     """
-    dealt = df.repartition(key).sortWithinPartitions(key)
+    # With a number: adaptive execution would put a small table with much work into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(tasks, key).sortWithinPartitions(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
