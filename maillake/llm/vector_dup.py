@@ -8,11 +8,11 @@
 3. Pairs at the threshold are links; their components are found. A list whose last entry is at the threshold is full
    and may hide links to other components, so the nodes of full lists are compared exactly with those of other
    components: in balls of up to ``BLOCK`` members, leaving out balls that are too far apart for any link.
-4. The list of a node in a component is enlarged to its whole component, compared exactly block by block: a dense
-   group saturates any fixed list. Only counts leave a block, never pairs.
+4. The list of a node in a component is enlarged to its whole component: a dense group saturates any fixed list. Balls that
+   lie near enough as a whole are counted as a whole, others are compared exactly. Only counts leave a block, never pairs.
 5. An audit compares ``AUDITED`` nodes with all nodes by brute force. While too few of their links are inside
-   components, further trees and rounds are added; links that the audit finds are kept. A recall that stays below
-   ``RECALL`` is an error, never a poorer result.
+   components, further trees and rounds are added; links that the audit finds are kept. If the recall stays below
+   ``RECALL``, every component, of one node too, is compared with all others as in 3: slower, but exact.
 
 Cosines are in double precision. Defined results: vectors that are null, empty, zero, of a null label, or with
 null or non-finite components link with nothing; vectors of different length are not compared; repeated rows are
@@ -26,10 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import skew
 from ..operators.lineage import Scratch
 from .graph import components, map_blocks
 
@@ -46,6 +49,7 @@ BLOCK = 512
 AUDITED = 1024
 RECALL = 0.99
 TRIES = 3
+HOT_ROWS = 1_000  # a vector or component with so many rows is looked up by many tasks
 PAIRS = "a binary, b binary, cosine double"
 MET = PAIRS + ", forest boolean"
 
@@ -76,26 +80,27 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "label", "vec"])
 
 
+def paths_of(vecs: list[bytes], trees: int, first: int) -> np.ndarray:
+    """One path per vector and tree: the sides of random hyperplanes, the first ones foremost."""
+    paths = np.zeros((len(vecs), trees), np.int64)
+    sizes = np.array([len(v) for v in vecs])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = unit_rows([vecs[i] for i in at])
+        for t in range(trees):
+            planes = np.random.default_rng((first + t, size)).standard_normal((size // 8, PATH_BITS))
+            # In this order neighbours in the list differ in late sides only, mostly in one.
+            gray = np.logical_xor.accumulate(rows @ planes > 0, axis=1)
+            paths[at, t] = gray @ (1 << np.arange(PATH_BITS - 1, -1, -1, dtype=np.int64))
+    return paths
+
+
 def with_paths(nodes: DataFrame, trees: int, first: int) -> DataFrame:
-    """The nodes with one path per tree: the sides of random hyperplanes, the first ones foremost."""
+    """The nodes with one path per tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            vecs = batch.column(2).to_pylist()
-            paths = np.zeros((len(vecs), trees), np.int64)
-            sizes = np.array([len(v) for v in vecs])
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                rows = unit_rows([vecs[i] for i in at])
-                for t in range(trees):
-                    if (size, t) not in planes:
-                        planes[size, t] = np.random.default_rng((first + t, size)).standard_normal((size // 8, PATH_BITS))
-                    sides = rows @ planes[size, t] > 0
-                    # In this order neighbours in the list differ in late sides only, mostly in one.
-                    gray = np.logical_xor.accumulate(sides, axis=1)
-                    paths[at, t] = gray @ (1 << np.arange(PATH_BITS - 1, -1, -1, dtype=np.int64))
-            lists = pa.array(list(paths), pa.list_(pa.int64()))
+            lists = pa.array(list(paths_of(batch.column(2).to_pylist(), trees, first)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node", "space", "vec", "paths"])
 
     return nodes.select("node", "space", "vec").mapInArrow(run, "node binary, space long, vec binary, paths array<long>")
@@ -198,17 +203,37 @@ def full_lists(lists: DataFrame) -> DataFrame:
     return lists.where((F.col("rank") == NEIGHBOURS) & F.col("link")).select(F.col("a").alias("node"))
 
 
-def crossing_links(members: DataFrame, tables: Scratch, threshold: float, name: str) -> DataFrame:
-    """Links that join the members' components, exactly; one for every two balls that have any.
+def _with_path(members: DataFrame) -> DataFrame:
+    """Members with their path in the first tree."""
+    names = [*members.columns, "path"]
+    at = members.columns.index("vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = batch.column(at).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths_of(vecs, 1, 0)[:, 0])], names=names)
 
-    A component is dealt to balls of about ``BLOCK`` members, each with its middle and the largest angle to it. Balls
-    whose middles are further apart than both angles and that of the threshold hold no link.
+    return members.mapInArrow(run, T.StructType(members.schema.fields + [T.StructField("path", T.LongType())]))
+
+
+def balls_of(members: DataFrame, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The members with their ``ball``, and the balls: ``ball``, ``space``, ``component``, ``center``, ``angle``, ``copies``.
+
+    A component is dealt to balls of up to about ``BLOCK`` members by the first sides of their paths, so the members of
+    a ball are near each other; what is still too many of one path is split by a hash.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    own = members.join(sizes, "component")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long"))
-    own = own.select("node", "space", "vec", "component", F.xxhash64("component", part).alias("ball"))
-    own = tables.write(own, f"{name}-members")
+    stored = tables.write(_with_path(members), f"{name}-pathed")
+    sizes = stored.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("size"))
+    crowds = skew.heavy_keys(stored, "component", HOT_ROWS)
+    own = skew.lookup(stored, sizes, "component", "_component", ["node"], crowds, "inner")
+    sides = F.when(F.col("size") > BLOCK, F.least(F.ceil(F.log2(F.col("size") / BLOCK)) + 2, F.lit(PATH_BITS))).otherwise(0)
+    own = own.withColumn("_sides", sides.cast("int"))
+    cell = F.xxhash64("component", F.expr(f"shiftright(path, {PATH_BITS} - _sides)")).alias("cell")
+    own = tables.write(own.select(*members.columns, cell), f"{name}-cells")
+    counts = own.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
+    own = skew.lookup(own, counts, "cell", "_cell", ["node"], skew.heavy_keys(own, "cell", HOT_ROWS), "inner")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    own = tables.write(own.select(*members.columns, F.xxhash64("cell", part).alias("ball")), f"{name}-members")
 
     def middle(block: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = unit_rows(block.column("vec").to_pylist())
@@ -218,41 +243,67 @@ def crossing_links(members: DataFrame, tables: Scratch, threshold: float, name:
         angle = float(np.arccos(np.clip(rows @ center, -1, 1)).max())
         one = block.slice(0, 1)
         arrays = [one.column(n).combine_chunks() for n in ("ball", "space", "component")]
-        arrays += [pa.array([center.tobytes()], pa.binary()), pa.array([angle])]
-        yield pa.RecordBatch.from_arrays(arrays, names=["ball", "space", "component", "center", "angle"])
+        copies = int(pc.sum(block.column("copies")).as_py())
+        arrays += [pa.array([center.tobytes()], pa.binary()), pa.array([angle]), pa.array([copies])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["ball", "space", "component", "center", "angle", "copies"])
+
+    schema = "ball long, space long, component binary, center binary, angle double, copies long"
+    return own, tables.write(map_blocks(own, "ball", middle, schema), f"{name}-balls")
+
 
-    schema = "ball long, space long, component binary, center binary, angle double"
-    balls = tables.write(map_blocks(own, "ball", middle, schema), f"{name}-balls")
-    counts = balls.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = balls.join(counts, "space").withColumn("own", F.pmod(F.xxhash64("ball"), F.col("blocks")).cast("int"))
+def ball_pairs(balls: DataFrame, threshold: float, within: bool) -> DataFrame:
+    """Pairs of balls ``x`` < ``y`` that may hold a link: of one component (``within``, each ball with itself too), or of
+    different components of one space. ``every`` tells that all their members are linked.
+
+    Balls whose middles are further apart than both angles and that of the threshold hold no link; if even the far ends of
+    both are nearer than the threshold, all their members are linked. Only middles meet here, dealt to blocks.
+    """
+    group = F.xxhash64("component") if within else F.col("space")
+    keyed = balls.select("ball", "component", "center", "angle", group.alias("group"))
+    counts = keyed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = keyed.join(counts, "group").withColumn("own", F.pmod(F.xxhash64("ball"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "ball", "component", "center", "angle", "own",
-        F.xxhash64("space", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+        F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
         (F.col("own") == F.col("other")).alias("same"),
     )
-    reach = float(np.arccos(threshold)) + 1e-6
+    reach = float(np.arccos(threshold))
 
     def close(block: pa.Table) -> Iterator[pa.RecordBatch]:
         names = block.column("ball").to_numpy()
         centers = np.frombuffer(b"".join(block.column("center").to_pylist()), np.float64).reshape(len(names), -1)
         angles, side = block.column("angle").to_numpy(), block.column("own").to_numpy()
         inside = block.column("same")[0].as_py()
-        group = np.unique(np.array([c.hex() for c in block.column("component").to_pylist()]), return_inverse=True)[1]
+        kind = np.unique(np.array([c.hex() for c in block.column("component").to_pylist()]), return_inverse=True)[1]
         for start in range(0, len(names), BLOCK):
             part = slice(start, start + BLOCK)
             apart = np.arccos(np.clip(centers[part] @ centers.T, -1, 1))
-            near = (apart <= angles[part, None] + angles[None, :] + reach) & (group[part, None] != group[None, :])
-            near &= names[part, None] < names[None, :]
+            apart[names[part, None] == names[None, :]] = 0
+            wide = angles[part, None] + angles[None, :]
+            near = apart <= wide + reach + 1e-6
+            near &= (names[part, None] <= names[None, :]) if within else (names[part, None] < names[None, :])
+            near &= (kind[part, None] == kind[None, :]) == within
             if not inside:
                 near &= side[part, None] != side[None, :]
             i, j = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(names[start + i]), pa.array(names[j])], names=["x", "y"])
+            every = (apart + wide <= reach - 1e-6)[i, j]
+            arrays = [pa.array(names[start + i]), pa.array(names[j]), pa.array(every)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "every"])
+
+    return map_blocks(dealt, "block", close, "x long, y long, every boolean").withColumn("pair", F.xxhash64("x", "y"))
 
-    pairs = map_blocks(dealt, "block", close, "x long, y long").withColumn("pair", F.xxhash64("x", "y"))
-    pairs = tables.write(pairs, f"{name}-pairs")
-    ends = pairs.select("pair", F.col("x").alias("ball")).union(pairs.select("pair", F.col("y").alias("ball")))
-    met = ends.join(own.select("ball", "node", "vec"), "ball")
+
+def _meeting(pairs: DataFrame, own: DataFrame, *columns: str) -> DataFrame:
+    """The members of both balls of each pair, by ``pair``."""
+    ends = pairs.select("pair", F.col("x").alias("_ball")).union(pairs.where("x <> y").select("pair", F.col("y").alias("_ball")))
+    return ends.join(own.select("ball", "node", "vec", *columns), F.col("_ball") == F.col("ball")).drop("_ball")
+
+
+def crossing_links(members: DataFrame, tables: Scratch, threshold: float, name: str) -> DataFrame:
+    """Links that join the members' components, exactly; one for every two balls that have any."""
+    own, balls = balls_of(members.withColumn("copies", F.lit(1).cast("long")), tables, name)
+    pairs = tables.write(ball_pairs(balls, threshold, within=False), f"{name}-pairs")
 
     def link(block: pa.Table) -> Iterator[pa.RecordBatch]:
         nodes = block.column("node").to_pylist()
@@ -265,46 +316,42 @@ def crossing_links(members: DataFrame, tables: Scratch, threshold: float, name:
             arrays = [pa.array([nodes[a[i]]], pa.binary()), pa.array([nodes[b[j]]], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
-    return tables.write(map_blocks(met, "pair", link, "a binary, b binary"), f"{name}-links")
+    return tables.write(map_blocks(_meeting(pairs, own), "pair", link, "a binary, b binary"), f"{name}-links")
 
 
-def count_links(members: DataFrame, threshold: float) -> DataFrame:
+def count_links(members: DataFrame, tables: Scratch, threshold: float) -> DataFrame:
     """``node`` and ``n``: how many vectors of the node's component, copies counted, are at the threshold.
 
-    Components are dealt to blocks, and every two blocks of a component meet once.
+    Balls that are linked as a whole are counted without comparing their members, so a dense group costs a number for each two
+    balls; only balls at the threshold's border meet.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.join(sizes, "component").withColumn("blocks", blocks)
-    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = own.withColumn("other", every).select(
-        "node",
-        "vec",
-        "copies",
-        "own",
-        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
-        (F.col("own") == F.col("other")).alias("same"),
-    )
+    own, balls = balls_of(members, tables, "counts")
+    pairs = tables.write(ball_pairs(balls, threshold, within=True), "count-pairs")
+    sizes = balls.select(F.col("ball").alias("_other"), "copies")
+    linked = pairs.where("every")
+    sides = linked.select(F.col("x").alias("_at"), F.col("y").alias("_with")).union(linked.where("x <> y").select("y", "x"))
+    whole = sides.join(sizes, F.col("_with") == F.col("_other")).groupBy("_at").agg(F.sum("copies").alias("_sum"), F.max(F.col("_at") == F.col("_with")).alias("_self"))
+    # A ball that is linked as a whole holds the node itself too.
+    summed = own.join(whole, F.col("ball") == F.col("_at")).select("node", (F.col("_sum") - F.when(F.col("_self"), F.col("copies")).otherwise(0)).alias("n"))
 
     def count(block: pa.Table) -> Iterator[pa.RecordBatch]:
         nodes = block.column("node").to_pylist()
         rows = unit_rows(block.column("vec").to_pylist())
         copies = block.column("copies").to_numpy().astype(np.int64)
-        side = block.column("own").to_numpy()
-        inside = block.column("same")[0].as_py()
+        side = block.column("ball").to_numpy()
+        alone = (side == side[0]).all()
         counts = np.zeros(len(nodes), np.int64)
         for start in range(0, len(nodes), BLOCK):
             part = slice(start, start + BLOCK)
             near = rows[part] @ rows.T >= threshold
             near[np.arange(near.shape[0]), np.arange(start, start + near.shape[0])] = False
-            if not inside:
+            if not alone:
                 near &= side[part, None] != side[None, :]
             counts[part] = near @ copies
-        arrays = [pa.array(nodes, pa.binary()), pa.array(counts)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(counts)], names=["node", "n"])
 
-    counted = map_blocks(met, "block", count, "node binary, n long")
+    met = _meeting(pairs.where(~F.col("every")), own, "copies")
+    counted = map_blocks(met, "pair", count, "node binary, n long").unionByName(summed)
     return counted.groupBy("node").agg(F.sum("n").alias("n"))
 
 
@@ -395,18 +442,24 @@ def near_duplicates(
         links = tables.write(links.unionByName(seen.select("a", "b")), f"links-{attempt}")
         if share["hit"] >= RECALL * share["n"]:
             break
-    else:
-        raise RuntimeError(f"recall stays below {RECALL}: {share['hit']} of {share['n']} audited links")
     component = components(links, tables, "components")
-    members = nodes.join(component, "node").select("node", "vec", "copies", "component")
-    counts = tables.write(count_links(members, threshold), "counts")
+    if share["hit"] < RECALL * share["n"]:  # every component, of one node too, is compared with all others
+        whole = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        missed = crossing_links(whole.select("node", "space", "vec", "component"), tables, threshold, "exact")
+        component = components(links.unionByName(missed), tables, "exact-components")
+    members = nodes.join(component, "node").select("node", "space", "vec", "copies", "component")
+    counts = tables.write(count_links(members, tables, threshold), "counts")
     named = nodes.select("node", "smallest", "copies").join(component, "node", "left").join(counts, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    by_node = named.join(names, "component").select(
-        "node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = tables.write(named.withColumn("component", F.coalesce("component", "node")), "named")
+    names = named.groupBy(F.col("component").alias("_component")).agg(F.min("smallest").alias("component_id"))
+    crowds = skew.heavy_keys(named, "component", HOT_ROWS)
+    by_node = skew.lookup(named, names, "component", "_component", ["node"], crowds, "inner").select(
+        F.col("node").alias("_node"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    linked = rows.select("vec_id", "node").join(by_node, "node").select("vec_id", "n_links", "component_id")
+    # Copies of one vector may be a large share of all rows.
+    crowds = skew.heavy_keys(rows, "node", HOT_ROWS)
+    linked = skew.lookup(rows.select("vec_id", "node"), by_node, "node", "_node", ["vec_id"], crowds, "inner")
+    linked = linked.select("vec_id", "n_links", "component_id")
     return linked.unionByName(_unusable(source))
 
 

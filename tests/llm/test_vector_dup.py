@@ -82,11 +82,32 @@ def test_balls_miss_no_link_between_components(spark, monkeypatch):
     assert {tuple(sorted((int(r["a"][:3]), int(r["b"][:3])), reverse=True)) for r in links} == wanted
 
 
-def test_low_recall_is_an_error(spark, monkeypatch):
+def test_low_recall_ends_in_exact_comparisons(spark, monkeypatch):
     monkeypatch.setattr(vd, "RECALL", 1.01)
-    rows = [(i, [1.0, i / 100], 1) for i in range(4)]
-    with pytest.raises(RuntimeError, match="recall"):
-        found(spark, rows)
+    monkeypatch.setattr(vd, "TRIES", 1)
+    monkeypatch.setattr(vd, "BLOCK", 16)
+    monkeypatch.setattr(vd, "TREES", 1)
+    monkeypatch.setattr(vd, "RUN", 2)
+    monkeypatch.setattr(vd, "ROUNDS", 0)  # next to no link is found by the descent
+    rng = np.random.default_rng(8)
+    rows = [(i, v, 1 + i % 2) for i, v in enumerate(rng.standard_normal((90, 3)).tolist())]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_balls_linked_as_a_whole_are_not_compared(spark, monkeypatch):
+    """Counts of a dense group equal brute force, and no vector of it meets another one."""
+    monkeypatch.setattr(vd, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    vectors = [(np.eye(8)[0] + 0.01 * rng.standard_normal(8)) for _ in range(300)]
+    rows = [(b"%04d" % i, 1, v.tobytes(), 1 + i % 3, b"c") for i, v in enumerate(vectors)]
+    members = spark.createDataFrame(rows, "node binary, space long, vec binary, copies long, component binary")
+    tables = scratch(spark, "test")
+    met = []
+    real = vd._meeting
+    monkeypatch.setattr(vd, "_meeting", lambda pairs, own, *c: (met.append(pairs.count()), real(pairs, own, *c))[1])
+    counts = {bytes(r["node"]): r["n"] for r in vd.count_links(members, tables, 0.93).collect()}
+    total = sum(r[3] for r in rows)
+    assert met == [0] and counts == {r[0]: total - r[3] for r in rows}
 
 
 def test_edge_rows(spark):
