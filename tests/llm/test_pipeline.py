@@ -1,7 +1,7 @@
 import json
 
 import corpus_pipeline as cp
-from maillake.llm import mixing, near_dup
+from maillake.llm import language, mixing, near_dup
 from maillake.llm.queries import QUERIES
 from maillake.llm.store import scratch
 
@@ -48,6 +48,15 @@ def test_stages_against_brute_force(spark):
     assert {r["shard"] for r in placed.collect()} <= set(range(cp.SHARDS))
 
 
+def test_chosen_languages_are_kept_by_their_prediction(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(cp, "LANGUAGES", ("en", "xx"))
+    told = language.identify(docs, language.train(docs))
+    want = {r["doc_id"] for r in told.where("lang_pred = 'en'").collect()}
+    got = {r["doc_id"] for r in cp.language(spark, docs, SF).collect()}
+    assert got == want and 0 < len(want) < docs.count()
+
+
 def test_the_query_applies_all_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in cp.STAGES:
