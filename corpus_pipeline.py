@@ -2,7 +2,8 @@
 
 ``run(spark, sf_dir)`` applies them to the table ``documents``. Every stage takes all rows that its predecessor kept:
 
-1. ``language``: documents in which no language is found (no text, no letter) go;
+1. ``language``: documents go whose predicted language is none of ``LANGUAGES`` (by default all that the labels name), or that
+   have no language (no text, no letter);
 2. ``near_duplicates``: one document of each group of near-duplicates stays, the one with the smallest key;
 3. ``decontaminate``: documents that hold a benchmark item go;
 4. ``mix``: documents are left out or repeated so that sources come near their weights;
@@ -24,6 +25,7 @@ from maillake.llm.registry import query
 from maillake.llm.store import bound_batches, scratch, table
 
 SHARDS = 24
+LANGUAGES: tuple[str, ...] | None = None  # languages of the corpus; None: all that are learnt
 
 
 def _nested(docs: DataFrame, *needed: str) -> DataFrame:
@@ -36,8 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.train(docs)
     if not model.languages:  # nothing to learn from: only texts without a letter are surely in no language
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    wanted = model.languages if LANGUAGES is None else [name for name in model.languages if name in LANGUAGES]
     told = languages.identify(_nested(docs, "text"), model)
-    return told.where(F.col("lang_pred") != languages.UNKNOWN).select("_row.*")
+    return told.where(F.col("lang_pred").isin(wanted)).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
