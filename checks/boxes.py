@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maillake.operators import analytics, mailboxes
 from maillake.operators.lineage import Scratch
 from maillake.plans import profile
-from maillake.sources import messages
+from maillake.sources import mbox, messages
 
 from . import views
 from .registry import query
@@ -237,3 +237,26 @@ def decode_fetch_prefix(spark, sf_dir):
     dump = views.table(spark, sf_dir, "orders").selectExpr(f"{_PREFIX} as prefix")
     found = messages.decode_fetch_prefix(dump)
     return found.select("uid", F.array_join("flags", "|").alias("flags"), "provider_thread_id")
+
+
+@query(
+    "mbox_scan",
+    f"""with raw as ({views.RAW_SQL})
+    select mailbox, 'P' || page_id || '@Mail.example' as message_id, count(*)::bigint as messages, true as whole from raw where v <> 7 group by all""",
+)
+def mbox_scan(spark, sf_dir):
+    """Archives written per mailbox and read in ranges far smaller than they are; contents equal the landed ones."""
+    scratch = Scratch(spark, "mbox")
+    raw = scratch.write(views.raw_mail(spark, sf_dir).where("content is not null"), "raw")
+    scratch.write(mbox.write_archives(raw, scratch.path("archives")), "written")
+    scanned = mbox.read_mbox(spark, scratch.path("archives"), partition_bytes=1 << 18)
+    ended = F.when(F.expr("right(cast(content as string), 1)") == "\n", F.col("content")).otherwise(F.concat("content", F.lit("\n").cast("binary")))
+    landed = raw.select(F.col("mailbox").alias("_box"), F.sha2(ended, 256).alias("_hash")).distinct()
+    found = scanned.select(
+        "mailbox",
+        F.regexp_extract(F.col("content").cast("string"), "Message-ID: <([^>]+)>", 1).alias("message_id"),
+        F.sha2("content", 256).alias("hash"),
+    )
+    joined = found.join(landed, (F.col("mailbox") == F.col("_box")) & (F.col("hash") == F.col("_hash")), "left")
+    counted = joined.groupBy("mailbox", "message_id")
+    return counted.agg(F.count(F.lit(1)).alias("messages"), F.bool_and(F.col("_hash").isNotNull()).alias("whole"))

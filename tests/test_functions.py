@@ -223,6 +223,30 @@ def test_encoded_words(column):
     assert column([Header("Ärger", "iso-8859-1").encode()], words.decode_words) == ["Ärger"]
 
 
+def test_encoded_words_in_the_usual_form_stay_in_catalyst(spark, plan):
+    import random
+
+    rng = random.Random(7)
+    values = []
+    for _ in range(400):
+        text = "".join(rng.choice("abc ?=_é漢Ü.,:\t<>") for _ in range(rng.randint(1, 60)))
+        charset = rng.choice(["utf-8", "UTF-8", "iso-8859-1", "us-ascii", "windows-1252"])
+        try:
+            coded = Header(text, charset, maxlinelen=rng.choice([40, 75, 400])).encode(linesep="\n").replace("\n", "")
+        except UnicodeError:
+            continue
+        values.append(rng.choice(["", "", "Re: ", "Re:", "a  b ", " x "]) + coded + rng.choice(["", "", " tail", " "]))
+    values += ["=?utf-8?q?=ff?=", "=?utf-8?b?abc?=", "=?utf-8?b?YQ==?= =?utf-8?q?b?=", "=?UTF-8?Q?a_b=3D?=", "=?utf-8?q??=", "=?utf-8?b?w6k=?==?utf-8?q?x?=",
+               "=?utf-8?q?=C3?= =?utf-8?q?=A9?=", "=?utf-8*en?q?a?=", "=?iso-8859-1?q?=E9?= =?utf-8?q?=C3=A9?="]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string").coalesce(1)
+    rows = df.select("i", words.decode_words("x").alias("all"), words.decode_common("x").alias("common")).orderBy("i").collect()
+    for value, row in zip(values, rows):
+        assert row["all"] == words.decode(value), repr(value)
+        assert row["common"] is None or row["common"] == words.decode(value), repr(value)
+    assert sum(r["common"] is not None for r in rows) > 80
+    assert "Python" not in plan(df.select(words.decode_common("x"))) and "Arrow" not in plan(df.select(words.decode_common("x")))
+
+
 def test_file_names(column):
     check(
         column,
