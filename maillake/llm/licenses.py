@@ -342,5 +342,4 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: dict[str, tupl
     while asked in [c.lower() for c in docs.columns]:
         asked += "_"
     source = docs.withColumn(asked, F.when(F.col(text).rlike(CUES), F.col(text)))
-    kept = [c for c in source.columns if c.lower() != text.lower()]
-    return map_text(source.select(*kept), run, FOUND, asked)
+    return map_text(source, run, FOUND, asked)

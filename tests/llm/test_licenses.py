@@ -161,6 +161,7 @@ def test_notices_wrapped_over_lines():
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, li.TEMPLATES["MIT"][0]), (3, li.TEMPLATES["MIT"][0]), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(n) for n in ("Licenses", "_text", "c0", "t", "a0", "_candidate_text")])
+    assert set(li.find_licenses(docs).columns) == {*docs.columns, "licenses"} - {"Licenses"}
     got = sorted((str(r["doc_id"]), [x["license"] for x in r["licenses"]]) for r in li.find_licenses(docs).collect())
     assert got == [("1", []), ("2", []), ("3", ["MIT"]), ("3", ["MIT"]), ("None", [])]
     assert li.find_licenses(docs.limit(0)).count() == 0

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from maillake.llm import vector_dup as vd
 from maillake.llm.queries import QUERIES
