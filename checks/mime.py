@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maillake import schemas
 from maillake.functions.clean import collapse
-from maillake.operators import attachments, enrich, lineage, mime, people, quality
+from maillake.operators import attachments, enrich, lineage, mime, quality
 from maillake.operators.content_store import ContentStore
 from maillake.operators.lineage import Scratch
 from maillake.plans import export
