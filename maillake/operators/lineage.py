@@ -40,6 +40,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
 
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
 class Rounds:
     """The table of an iterative job: each round adds its rows, apart by whether they are ``done``.
 

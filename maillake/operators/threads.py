@@ -11,6 +11,8 @@ mails refer to is a key whose rows are combined before the shuffle, and spread o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,47 +34,55 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", hea
 
     In a round every node takes the smallest of itself and its neighbours as label. Labels follow their own labels, twice as
     far each time, to the end, so a long chain in any order is one label; then the edges are redrawn between labels. Edges inside
-    one label go, so later rounds are ever smaller. Rounds are written tables, so a lost executor costs no earlier one.
+    one label go, so later rounds are ever smaller. Rounds are written tables, so a lost executor costs no earlier one; all but
+    the result are removed in the end.
     """
+    written: list[str] = []
+
+    def put(df: DataFrame, table: str) -> DataFrame:
+        written.append(f"{name}-{table}")
+        return scratch.write(df, written[-1])
+
     pairs = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = scratch.write(pairs.distinct(), f"{name}-edges-0")
-    moves: list[DataFrame] = []
+    left = put(pairs.distinct(), "edges-0")
+    moves: list[tuple[DataFrame, str]] = []
     for round_ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
         ends = left.union(left.select(F.col("b"), F.col("a"))).toDF("node", "other")
         near = ends.groupBy("node").agg(F.min("other").alias("label"))
-        labels = scratch.write(near.select("node", F.least("node", "label").alias("label")), f"{name}-labels-{round_}-0")
-        labels = _followed(labels, scratch, f"{name}-labels-{round_}", heavy_rows)
-        moves.append(labels)
+        labels = put(near.select("node", F.least("node", "label").alias("label")), f"labels-{round_}-0")
+        labels = _followed(labels, put, f"labels-{round_}", heavy_rows)
+        moves.append((labels, written[-1]))
         for end in ("a", "b"):
             target = labels.toDF("_at", "_next")
             left = _spread_lookup(left, target, end, "_at", ["a", "b"], heavy_rows, "inner")
             left = left.withColumn(end, F.col("_next")).drop("_next")
             if end == "a":
-                left = scratch.write(left, f"{name}-half-{round_}")
+                left = put(left, f"half-{round_}")
         left = left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = scratch.write(left, f"{name}-edges-{round_ + 1}")
+        left = put(left, f"edges-{round_ + 1}")
     else:
         raise RuntimeError("components did not settle")
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))  # empty
     # Labels of the last round are final; earlier ones move on by the later rounds.
-    final = moves[-1]
+    final, kept = moves[-1]
     for round_ in reversed(range(len(moves) - 1)):
         target = final.toDF("_at", "_next")
-        moved = _spread_lookup(moves[round_], target, "label", "_at", ["node"], heavy_rows, "left")
-        moved = moved.select("node", F.coalesce("_next", "label").alias("label"))
-        final = scratch.write(moved, f"{name}-final-{round_}")
+        moved = _spread_lookup(moves[round_][0], target, "label", "_at", ["node"], heavy_rows, "left")
+        final = put(moved.select("node", F.coalesce("_next", "label").alias("label")), f"final-{round_}")
+        kept = written[-1]
+    scratch.drop(*[table for table in written if table != kept])
     return final.withColumnRenamed("label", "component")
 
 
-def _followed(labels: DataFrame, scratch: Scratch, name: str, heavy_rows: int) -> DataFrame:
+def _followed(labels: DataFrame, put: Callable[[DataFrame, str], DataFrame], name: str, heavy_rows: int) -> DataFrame:
     """Labels followed to their ends: no label is above its node, so there are no cycles."""
     for jump in range(1, MOST_ROUNDS):
         moved = _spread_lookup(labels, labels.toDF("_at", "_next"), "label", "_at", ["node"], heavy_rows, "inner")
         moved = moved.select("node", F.col("_next").alias("label"), (F.col("_next") != F.col("label")).alias("moved"))
-        stored = scratch.write(moved, f"{name}-{jump}")
+        stored = put(moved, f"{name}-{jump}")
         labels = stored.select("node", "label")
         if stored.where("moved").isEmpty():
             return labels
