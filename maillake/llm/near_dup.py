@@ -12,6 +12,9 @@
    equal, since the weights of a large group of copies must not hide it. Families and buckets above ``BLOCK``
    members are dealt to blocks: by the members' bands, so that alike members meet in most of the bands. The
    members with most edges of such a family's forest, where its origin is, join all of its blocks.
+5. Members of one bucket that no block brought together are compared after that: the members of a crowded bucket are all
+   in one family, and each of them outside the bucket's largest class so far meets all others, block by block. So no
+   bucket loses a pair, whatever its size; what this takes grows with the members outside the largest class.
 
 Equal texts are one node throughout, so thousands of copies cost one comparison. A document's class is the
 smallest key of its component.
@@ -23,7 +26,7 @@ the class are null; an empty table gives an empty one; columns of the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ LEAST_IDF = 0.5
 LIKELY = 0.45  # share of equal samples from which a pair is looked at
 BLOCK = 384
 CENTERS = 8
-IDLE = 2
+CROSSED = 1 << 24  # with more pairs left to compare, crowds are dealt again first, as long as that adds links
 CHUNK_SHINGLES = 1 << 20
 SLOTS_LOG = 20  # slots of shingles that are counted first
 GROUP_SHINGLES = 1 << 16
@@ -322,6 +325,41 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / both, len(at_a) / (len(a[0]) + len(b[0]) - len(at_a))
 
 
+def _samples(block: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(block.column("samples").to_pylist()), np.uint32).reshape(block.num_rows, -1)
+
+
+def _linked(
+    block: pa.Table, candidates: Callable[[], Iterable[tuple[int, int]]], known: tuple[np.ndarray, np.ndarray], threshold: float
+) -> Iterator[pa.RecordBatch]:
+    """Links among the candidate pairs of a block, without those that connect what is connected already."""
+    nodes = block.column("node").to_pylist()
+    forest, pairs = Forest(len(nodes)), []
+    leader: dict[bytes, int] = {}
+    for i, label in enumerate(block.column("label").to_pylist()):  # what earlier rounds have linked
+        forest.join(i, leader.setdefault(label, i))
+    if forest.trees == 1:
+        return
+    sets = []
+    for chunk in block.column("text").chunks:
+        sets += [(v, weights_of(v, t, known)) for v, t in distinct_shingles(chunk)]
+    sizes = np.array([len(v) for v, _ in sets], np.float64)
+    totals = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    for i, j in candidates():
+        if forest.trees == 1:
+            break
+        if forest.root(i) == forest.root(j):
+            continue
+        # No similarity is above the ratio of the sizes.
+        if max(min(sizes[i], sizes[j]) / max(sizes[i], sizes[j]), min(totals[i], totals[j]) / max(totals[i], totals[j])) < threshold:
+            continue
+        if max(similarity(sets[i], sets[j])) >= threshold:
+            forest.join(i, j)
+            pairs.append((nodes[i], nodes[j]))
+    if pairs:
+        yield _edges(pairs)
+
+
 def verified_blocks(members: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
     """Links that connect the members of each block as far as exact comparisons allow."""
     shared = members.sparkSession.sparkContext.broadcast(frequent)
@@ -329,34 +367,9 @@ def verified_blocks(members: DataFrame, frequent: tuple[np.ndarray, np.ndarray],
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
         if block.num_rows < 2:
             return
-        known = shared.value
         own = {node: i for i, node in enumerate(block.column("node").to_pylist())}  # a center may be there twice
-        nodes = list(own)
         block = block.take(pa.array(list(own.values())))
-        marks = block.column("samples").to_pylist()
-        samples = np.frombuffer(b"".join(marks), np.uint32).reshape(len(nodes), -1)
-        sets = []
-        for chunk in block.column("text").chunks:
-            sets += [(v, weights_of(v, t, known)) for v, t in distinct_shingles(chunk)]
-        sizes = np.array([len(v) for v, _ in sets], np.float64)
-        totals = np.array([w.sum(dtype=np.float64) for _, w in sets])
-        forest, pairs = Forest(len(nodes)), []
-        leader: dict[bytes, int] = {}
-        for i, label in enumerate(block.column("label").to_pylist()):  # what earlier rounds have linked
-            forest.join(i, leader.setdefault(label, i))
-        for i, j in likely_pairs(samples) if forest.trees > 1 else ():
-            if forest.trees == 1:
-                break
-            if forest.root(i) == forest.root(j):
-                continue
-            # No similarity is above the ratio of the sizes.
-            if max(min(sizes[i], sizes[j]) / max(sizes[i], sizes[j]), min(totals[i], totals[j]) / max(totals[i], totals[j])) < threshold:
-                continue
-            if max(similarity(sets[i], sets[j])) >= threshold:
-                forest.join(i, j)
-                pairs.append((nodes[i], nodes[j]))
-        if pairs:
-            yield _edges(pairs)
+        yield from _linked(block, lambda: likely_pairs(_samples(block)), shared.value, threshold)
 
     return map_blocks(members, "block", compare, EDGES)
 
@@ -366,17 +379,25 @@ def _band_keys(rows: DataFrame, *kept: str) -> DataFrame:
     return rows.select(*kept, F.posexplode("bands").alias("band", "band_key"))
 
 
-def bucket_edges(nodes: DataFrame, tables: Scratch) -> DataFrame:
-    """Forests of the nodes that share a bucket and agree in enough samples."""
+def bucket_edges(nodes: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Forests of the nodes that share a bucket and agree in enough samples; and edges that keep each crowded bucket together.
+
+    Members of a crowded bucket are dealt to blocks here, and those of different blocks do not meet. So all of them are
+    in the family of its smallest member, where ``crossing_blocks`` brings together who has not met.
+    """
     keyed = _band_keys(nodes, "node").withColumn("bucket", F.xxhash64("band", "band_key"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = keyed.join(sizes, "bucket")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+    sizes = tables.write(sizes.where("size > 1"), "bucket-sizes")
+    crowded = keyed.join(sizes.drop("least"), "bucket")
     # A large bucket is dealt to blocks by a hash that differs from band to band.
     part = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / BLOCK).cast("long"))
     crowded = crowded.select("node", F.xxhash64("bucket", part).alias("block"))
     # A forest of one band says little more than that of another: a node brings its samples to each of its blocks.
     marked = crowded.join(nodes.select("node", "samples"), "node")
-    return tables.write(map_blocks(marked, "block", _forest_of_bucket, EDGES), "bucket-edges")
+    forests = tables.write(map_blocks(marked, "block", _forest_of_bucket, EDGES), "bucket-edges")
+    large = sizes.where(F.col("size") > BLOCK).select("bucket", F.col("least").alias("a"))
+    whole = keyed.select("bucket", F.col("node").alias("b")).join(_small(large), "bucket").where("a <> b").select("a", "b")
+    return forests, tables.write(whole.distinct(), "bucket-crowds")
 
 
 def centers(large: DataFrame, edges: DataFrame) -> DataFrame:
@@ -389,18 +410,22 @@ def centers(large: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.where(F.col("_rank") <= CENTERS).drop("_rank")
 
 
-def large_blocks(members: DataFrame, tables: Scratch, round_: int) -> DataFrame:
+def band_groups(members: DataFrame, tables: Scratch, round_: int) -> DataFrame:
+    """Members of large families once per band, narrow: who shares it (``g1``), and who shares a second band as well (``g2``)."""
+    pairs = f"transform(sequence(0, {BANDS - 1}), i -> struct(i as band, bands[i] as k1, bands[(i + {1 + round_}) % {BANDS}] as k2))"
+    keyed = members.select("node", "component", F.xxhash64("label").alias("label"), F.explode(F.expr(pairs)).alias("b"))
+    one = F.xxhash64("component", "b.band", "b.k1").alias("g1")
+    keyed = keyed.select("node", "component", "label", "b.band", one, F.xxhash64("component", "b.band", "b.k1", "b.k2").alias("g2"))
+    return tables.write(keyed, f"keyed-{round_}")
+
+
+def large_blocks(keyed: DataFrame, tables: Scratch, round_: int) -> DataFrame:
     """Blocks in which the members of large families meet: ``component``, ``node``, ``block``.
 
     Members meet band by band. A band shared by too many is split by a second band, in each round another one, and what is
     still too large by a hash. After the first round only such crowds are dealt again, as far as their members have
     different labels: the others have been compared completely. All rows here are narrow.
     """
-    pairs = f"transform(sequence(0, {BANDS - 1}), i -> struct(i as band, bands[i] as k1, bands[(i + {1 + round_}) % {BANDS}] as k2))"
-    keyed = members.select("node", "component", F.xxhash64("label").alias("label"), F.explode(F.expr(pairs)).alias("b"))
-    one = F.xxhash64("component", "b.band", "b.k1").alias("g1")
-    keyed = keyed.select("node", "component", "label", "b.band", one, F.xxhash64("component", "b.band", "b.k1", "b.k2").alias("g2"))
-    keyed = tables.write(keyed, f"keyed-{round_}")
     mixed = F.min("label") != F.max("label")
     first = keyed.groupBy(F.col("g1").alias("_g1")).agg(F.count(F.lit(1)).alias("n1"), mixed.alias("_mixed"))
     second = keyed.groupBy(F.col("g2").alias("_g2")).agg(F.count(F.lit(1)).alias("n2"), mixed.alias("_mixed"))
@@ -416,16 +441,89 @@ def large_blocks(members: DataFrame, tables: Scratch, round_: int) -> DataFrame:
     return tables.write(counted.where(crowd > 1).select("component", "node", block), f"dealt-{round_}")
 
 
+def mixed_crowds(keyed: DataFrame) -> DataFrame:
+    """Bands shared by more members than a block has, with several labels: members, largest label, members without it."""
+    labels = keyed.groupBy("g1", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    crowds = labels.groupBy(F.col("g1").alias("_g1")).agg(F.sum("n").alias("size"), main, (F.sum("n") - F.max("n")).alias("others"))
+    return crowds.where((F.col("size") > BLOCK) & (F.col("others") > 0))
+
+
+CROSSING = "node binary, block long, band int, other boolean, asks boolean"
+
+
+def crossing_blocks(keyed: DataFrame, crowds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every member of a mixed crowd without its largest label (``asks``) beside every member of the crowd.
+
+    Both sides are dealt to parts of half a block, and each part of the one meets each part of the other. Rows of members
+    that have no likely partner with another label in a block are left out of it.
+    """
+    often = skew.heavy_keys(keyed, "g1", HOT_ROWS)
+    rows = skew.lookup(keyed.drop("g2", "component"), crowds, "g1", "_g1", ["node"], often, "inner")
+    rows = rows.join(nodes.select("node", "samples"), "node").withColumn("other", F.col("label") != F.col("main"))
+    asking, asked = (F.greatest(F.lit(1), F.ceil(F.col(n) / (BLOCK // 2))).cast("long") for n in ("others", "size"))
+
+    def side(members: DataFrame, asks: bool) -> DataFrame:
+        parts, opposite = (asking, asked) if asks else (asked, asking)
+        dealt = members.select("*", F.pmod(F.xxhash64("node", F.lit(asks)), parts).alias("_own"), F.explode(F.sequence(F.lit(0), opposite - 1)).alias("_met"))
+        block = F.xxhash64("g1", *(("_own", "_met") if asks else ("_met", "_own"))).alias("block")
+        return dealt.select("node", "label", "samples", "band", "other", F.lit(asks).alias("asks"), block)
+
+    def likely(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = crossed_pairs(block)
+        if len(i):
+            some = block.take(pa.array(np.unique(np.concatenate([i, j]))))
+            yield from some.select(["node", "block", "band", "other", "asks"]).combine_chunks().to_batches()
+
+    return map_blocks(side(rows.where("other"), True).unionByName(side(rows, False)), "block", likely, CROSSING)
+
+
+def crossed_pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs, the most alike first, of an asking and an asked row with different labels.
+
+    A pair counts in the first of the bands it shares, and two members that both ask count once.
+    """
+    asks = np.array(block.column("asks").to_pylist(), bool)
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    samples, band = _samples(block), block.column("band")[0].as_py()
+    agree = np.zeros((len(left), len(right)), np.int16)
+    before = np.zeros(agree.shape, bool)
+    for k in range(BANDS):
+        same = np.ones(agree.shape, bool)
+        for column in range(k * ROWS, (k + 1) * ROWS):
+            equal = samples[left, column][:, None] == samples[right, column][None, :]
+            agree += equal
+            same &= equal
+        if k < band:
+            before |= same
+    label = np.unique(np.array(block.column("label").to_pylist()), return_inverse=True)[1]
+    place = np.unique(np.array(block.column("node").to_pylist(), "S16"), return_inverse=True)[1]
+    twice = np.array(block.column("other").to_pylist(), bool)[right][None, :] & (place[left][:, None] > place[right][None, :])
+    wanted = (agree >= LIKELY * samples.shape[1]) & ~before & ~twice & (label[left][:, None] != label[right][None, :])
+    i, j = np.nonzero(wanted)
+    order = np.argsort(-agree[i, j], kind="stable")
+    return left[i[order]], right[j[order]]
+
+
+def verified_crossings(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """Links between members that only ``crossing_blocks`` brings together."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from _linked(block, lambda: zip(*(side.tolist() for side in crossed_pairs(block))), shared.value, threshold)
+
+    return map_blocks(rows, "block", compare, EDGES)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Marked for a broadcast if it is measured to be small."""
     return F.broadcast(df) if skew.measured_bytes(df) <= skew.BROADCAST_BYTES else df
 
 
-def member_texts(blocks: DataFrame, members: DataFrame, docs: DataFrame, tables: Scratch, key: str, text: str) -> DataFrame:
-    """``_node``, ``samples`` and ``text`` of the members of all blocks, stored. Texts move only if there are many members."""
+def member_texts(members: DataFrame, docs: DataFrame, tables: Scratch, key: str, text: str) -> DataFrame:
+    """``_node``, ``samples`` and ``text`` of all members, stored. Texts move only if there are many members."""
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    wanted = members.select("node", "doc_id").join(blocks.select("node").distinct(), "node", "left_semi")
-    wanted = tables.write(wanted, "wanted")
+    wanted = members.select("node", "doc_id")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("node"))
     found = texts.join(_small(wanted), same).groupBy(F.col("node").alias("_node")).agg(F.first("text").alias("text"))
     samples = members.select(F.col("node").alias("_of"), "samples")
@@ -433,17 +531,17 @@ def member_texts(blocks: DataFrame, members: DataFrame, docs: DataFrame, tables:
 
 
 def with_texts(blocks: DataFrame, labels: DataFrame, texts: DataFrame, tables: Scratch, round_: int) -> DataFrame:
-    """The members of each block (``node``, ``block``) with their samples, labels (``node``, ``label``) and texts."""
+    """The rows of all blocks (``node``, ``block`` and more) with samples, labels (``node``, ``label``) and texts."""
     nodes = _small(tables.write(blocks.select("node").distinct(), f"nodes-{round_}"))
     own = texts.join(nodes, F.col("_node") == F.col("node"), "left_semi")
     own = own.join(labels.select("node", "label"), F.col("_node") == F.col("node")).drop("node")
     # A center is in all blocks of its family, so it is looked up by many tasks.
     often = skew.heavy_keys(blocks, "node", HOT_ROWS)
     own = tables.write(own, f"texts-{round_}")
-    return skew.lookup(blocks.select("node", "block"), own, "node", "_node", ["block"], often, "inner")
+    return skew.lookup(blocks, own, "node", "_node", ["block"], often, "inner")
 
 
-def links(
+def linked_nodes(
     docs: DataFrame,
     nodes: DataFrame,
     frequent: tuple[np.ndarray, np.ndarray],
@@ -452,43 +550,57 @@ def links(
     key: str,
     text: str,
 ) -> DataFrame:
-    """Verified links between different texts, as far as their components need them.
+    """Components (``node``, ``component``) of the verified links between different texts.
 
-    Large families are dealt to blocks again, by other pairs of bands, until ``IDLE`` rounds add no link.
+    Large families are compared in blocks, then exactly across them. While there would be more than ``CROSSED`` pairs to
+    compare, they are dealt to blocks again by other pairs of bands, as long as that adds links.
     """
-    edges = bucket_edges(nodes, tables)
-    member = components(edges, tables, "families")
+    edges, crowds = bucket_edges(nodes, tables)
+    member = components(edges.union(crowds), tables, "families")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     member = tables.write(member.join(sizes, "component").join(nodes, "node"), "members").withColumn("label", F.col("node"))
     blocks = member.where(F.col("size") <= BLOCK).select("node", F.xxhash64("component").alias("block"))
     large = member.where(F.col("size") > BLOCK)
     crowded = not large.isEmpty()
     if crowded:
-        dealt = large_blocks(large, tables, 0)
+        dealt = large_blocks(band_groups(large, tables, 0), tables, 0)
         every = dealt.select("component", "block").distinct()
         added = centers(large, edges).join(every, "component")
         blocks = blocks.unionByName(dealt.select("node", "block")).unionByName(added.select("node", "block"))
-        blocks = tables.write(blocks, "blocks-0")
-    blocks = blocks if crowded else tables.write(blocks, "blocks-0")
-    texts = member_texts(blocks, member, docs, tables, key, text)
+    blocks = tables.write(blocks, "blocks-0")
+    texts = member_texts(member, docs, tables, key, text)
     often = skew.heavy_keys(blocks, "node", HOT_ROWS)  # a center is in all blocks of its family
     full = skew.lookup(blocks, texts.withColumn("label", F.col("_node")), "node", "_node", ["block"], often, "inner")
     found = tables.write(verified_blocks(full, frequent, threshold), "links-0")
-    idle = 0
+    tables.drop("bucket-sizes", "bucket-edges", "bucket-crowds", "keyed-0", "dealt-0", "blocks-0")
+    linked = components(found, tables, "linked-0")
     for round_ in range(1, BANDS - 1 if crowded else 1):
-        so_far = components(found, tables, f"linked-{round_}").withColumnRenamed("component", "_label")
-        labelled = large.drop("label").join(so_far, "node", "left").withColumn("label", F.coalesce("_label", "node"))
-        dealt = large_blocks(labelled, tables, round_)
-        if dealt.isEmpty():
+        names = linked.withColumnRenamed("component", "_label")
+        labelled = large.drop("label").join(names, "node", "left").withColumn("label", F.coalesce("_label", "node"))
+        keyed = band_groups(labelled, tables, round_)
+        left = tables.write(mixed_crowds(keyed), f"crowds-{round_}")
+        pairs = left.agg(F.sum(F.col("others") * F.col("size"))).first()[0]
+        if not pairs:
             break
-        full = with_texts(dealt.select("node", "block"), labelled, texts, tables, round_)
-        more = tables.write(verified_blocks(full, frequent, threshold), f"links-{round_}")
-        tables.drop(*[f"{table}-{round_}" for table in ("keyed", "dealt", "nodes", "texts")])
-        idle = idle + 1 if more.isEmpty() else 0
-        if idle == IDLE:
+        last = pairs <= CROSSED or round_ == BANDS - 2
+        if not last:
+            dealt = large_blocks(keyed, tables, round_)
+            full = with_texts(dealt.select("node", "block"), labelled, texts, tables, round_)
+            more = tables.write(verified_blocks(full, frequent, threshold), f"links-{round_}")
+            last = more.isEmpty()
+        if last:
+            met = tables.write(crossing_blocks(keyed, left, large), "crossing")
+            if met.isEmpty():
+                break
+            full = with_texts(met, labelled, texts, tables, BANDS)
+            more = tables.write(verified_crossings(full, frequent, threshold), "links-crossed")
+        tables.drop("crossing", *[f"{table}-{n}" for table in ("keyed", "crowds", "dealt", "nodes", "texts") for n in (round_, BANDS)])
+        if not more.isEmpty():
+            found = found.union(more)
+            linked = components(found, tables, f"linked-{round_}")
+        if last:
             break
-        found = found.union(more)
-    return found
+    return linked
 
 
 def classes(
@@ -501,8 +613,7 @@ def classes(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")
     )
     nodes = tables.write(nodes, "nodes")
-    edges = links(docs, nodes.where(F.size("bands") > 0), frequent, tables, threshold, key, text)
-    linked = components(edges, tables, "classes")
+    linked = linked_nodes(docs, nodes.where(F.size("bands") > 0), frequent, tables, threshold, key, text)
     named = nodes.select("node", "doc_id").join(linked, "node", "left")
     named = tables.write(named.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
     names = named.groupBy(F.col("component").alias("_component")).agg(F.min("doc_id").alias("class_id"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -144,3 +145,19 @@ def test_one_row_of_each_class_stays(spark):
     assert kept.columns == docs.columns
     got = sorted(str(r["doc_id"]) for r in kept.collect())
     assert got == ["1", "1", "3", "9", "None"]
+
+
+def test_a_crowded_bucket_loses_no_pair(spark, monkeypatch):
+    """Texts that share one band only meet in no other bucket, so all members of that one have to be compared."""
+    base, rng = text_of(8), np.random.default_rng(9)
+    rows = [(i, edited(base, i, 1) if i < 24 else text_of(i)) for i in range(30)]
+    samples = np.tile(rng.integers(1, 2**63, (1, nd.BANDS * nd.ROWS), dtype=np.uint64), (30, 1))
+    samples[:, nd.ROWS :: nd.ROWS] = rng.integers(1, 2**63, (30, nd.BANDS - 1), dtype=np.uint64)
+    marks = (nd.mix(samples) >> np.uint64(32)).astype(np.uint32)
+    bands = nd.bands_of(samples).view(np.int64).tolist()
+    signed = [(k, hashlib.md5(t.encode()).digest(), 196, b, m.tobytes()) for (k, t), b, m in zip(rows, bands, marks)]
+    monkeypatch.setattr(nd, "signatures", lambda *_: spark.createDataFrame(signed, nd.SIGNATURES))
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "CENTERS", 1)
+    got = {r["doc_id"]: r["class_id"] for r in found(spark, rows)}
+    assert got == {i: 0 if i < 24 else i for i in range(30)}
