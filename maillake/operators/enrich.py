@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import session_id
 from . import skew
+from .lineage import Scratch
 
 HEADER_COLUMNS = (
     "message_id", "in_reply_to", "references", "subject", "subject_canonical", "from", "to", "cc", "bcc",
@@ -27,12 +28,20 @@ def with_customer_id(
     is kept as customer id and gives no session.
     """
     unique = crm.groupBy("email").agg(F.max("customer_id").alias("_crm_id"))
+    email = "customer_email_normalized"
     if skew.measured_bytes(unique) > broadcast_bytes:
-        # Only the addresses of these messages are wanted: one narrow pass finds them, and no body is shuffled for
-        # the rest of a large map.
-        asked = df.select(F.col("customer_email_normalized").alias("email")).where("email is not null").distinct()
-        unique = unique.join(asked, "email", "left_semi")
-    joined = skew.lookup_measured(df, unique, "customer_email_normalized", "email", list(keys), broadcast_bytes)
+        # Only the addresses of these messages are wanted: one narrow pass counts them, and no body is shuffled for
+        # the rest of a large map. Both are stored, as each further look at the messages would compute them anew.
+        tables = Scratch(df.sparkSession, "customer-id")
+        asked = df.where(F.col(email).isNotNull()).groupBy(F.col(email).alias("email")).agg(F.count(F.lit(1)).alias("n"))
+        asked = tables.write(asked, "asked")
+        unique = tables.write(unique.join(asked.select("email"), "email", "left_semi"), "map")
+        if skew.measured_bytes(unique) > broadcast_bytes:
+            joined = skew.lookup(df, unique, email, "email", list(keys), skew.heavy_counts(asked, "email", "n"))
+        else:
+            joined = skew.lookup_measured(df, unique, email, "email", list(keys), broadcast_bytes)
+    else:
+        joined = skew.lookup_measured(df, unique, email, "email", list(keys), broadcast_bytes)
     found = joined.withColumn("customer_id", F.coalesce("_crm_id", "customer_email_normalized")).drop("_crm_id")
     return found.withColumn("session_id", session_id("customer_id", tenant))
 

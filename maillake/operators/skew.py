@@ -48,6 +48,12 @@ def heavy_keys(
     return [r[key] for r in counts.where(F.col("n") >= bound).select(key).collect()]
 
 
+def heavy_counts(counts: DataFrame, key: str, n: str, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
+    """The same from a stored table of the keys and their numbers of rows."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return [r[key] for r in counts.where(F.col(n) >= max(rows, total * share)).select(key).collect()]
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,

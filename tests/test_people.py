@@ -127,3 +127,27 @@ def test_measured_bytes_is_an_upper_estimate(spark):
     assert skew.measured_bytes(df.limit(0)) == 0
     lists = spark.createDataFrame([(["c" * 70, "d" * 30],)], "x array<string>")
     assert skew.measured_bytes(lists) >= 100
+
+
+def test_a_large_map_looks_at_the_messages_twice(spark):
+    """Once for the addresses that are asked for, once for the result."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(str(i), "INBOX", f"c{i % 7}@x.example" if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "uid string, mailbox string, customer_email_normalized string")
+    crm_map = spark.createDataFrame([(f"c{i}@x.example", f"C{i}") for i in range(0, 40, 2)], "email string, customer_id string")
+    got = enrich.with_customer_id(df.mapInArrow(count, df.schema), crm_map, "acme", broadcast_bytes=0).collect()
+    want = {u: None if e is None else f"C{e[1]}" if int(e[1]) % 2 == 0 else e for u, _, e in rows}
+    assert {r["uid"]: r["customer_id"] for r in got} == want and len(got) == 200
+    assert seen.value <= 400
+
+
+def test_heavy_counts(spark):
+    counts = spark.createDataFrame([("hot", 5000), ("cold", 3)], "key string, n long")
+    assert skew.heavy_counts(counts, "key", "n", rows=1000) == ["hot"] and skew.heavy_counts(counts, "key", "n") == []
+    assert skew.heavy_counts(counts.limit(0), "key", "n") == []
