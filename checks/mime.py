@@ -306,7 +306,7 @@ def header_full_join_repeated(spark, sf_dir):
 )
 def saved_attachment_files(spark, sf_dir):
     """Files of mailboxes whose names look alike, with equal uids, saved and read back."""
-    files = _files(spark, sf_dir, keep_payload=True)
+    files = Scratch(spark, "files").write(_files(spark, sf_dir, keep_payload=True), "parsed")  # read three times
     alike = files.where("mailbox = 'INBOX.Sent'")
     both = files.where("mailbox <> 'INBOX.Sent'").unionByName(alike.withColumn("mailbox", F.lit("INBOX/Sent")))
     both = both.unionByName(alike.withColumn("mailbox", F.lit("INBOX Sent")))
