@@ -392,6 +392,17 @@ select uid, mailbox, 'p' || page_id || '@mail.example' as message_id, 'q' || (pa
 from good where mailbox in ('INBOX', 'Archive')"""
 
 
+def placed(lines):
+    """Lines with their ``place`` of all: files follow each other in name order, their pieces by where they begin (``_from``).
+
+    One task reads a piece, so its lines have the numbers (``_at``) from its first one on: only a row per piece is sorted.
+    """
+    pieces = lines.groupBy("_file", "_from").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1))
+    starts = pieces.select("_file", "_from", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(starts), ["_file", "_from"]).withColumn("place", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+
+
 @query("export_job", FLOW_SQL)
 def export_job(spark, sf_dir):
     """The whole flow over landed Parquet, in order, with all fields; the run's time is only checked for its form."""
@@ -402,10 +413,10 @@ def export_job(spark, sf_dir):
     )
     job.run(spark)
     lines = sinks.read_ndjson(spark, tables.path("out/messages"))
-    # The files follow each other in name order, and so do the lines in a file.
-    place = F.row_number().over(Window.orderBy("_file", "_at"))
-    lines = lines.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    lines = lines.withColumn("place", place.cast("long"))
+    lines = lines.select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")
+    )
+    lines = placed(tables.write(lines, "lines"))
     files = F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["sha256"]))
     box = F.concat(F.col("from.name"), F.lit("<"), F.col("from.email"), F.lit(">"))
     return lines.select(

@@ -228,3 +228,28 @@ def test_scratch_tables(spark):
     rounds.add(rounds.open().selectExpr("id", "id < 3 as done"))
     assert [r["id"] for r in rounds.open().collect()] == [3]
     assert sorted(r["id"] for r in rounds.state().collect()) == [0, 1, 2, 3]
+
+
+def test_places_of_lines_are_found_from_a_row_per_piece(spark, plan):
+    from checks.mime import placed
+
+    rows = [("b", 0, 7), ("b", 0, 8), ("a", 100, 0), ("a", 0, 1 << 33), ("a", 0, (1 << 33) + 1), ("a", 100, 1)]
+    lines = spark.createDataFrame(rows, "_file string, _from long, _at long").repartition(3)
+    got = {(r["_file"], r["_from"], r["_at"]): r["place"] for r in placed(lines).collect()}
+    assert [got[k] for k in sorted(rows)] == [1, 2, 3, 4, 5, 6]
+    text = plan(placed(lines))
+    assert text.index("BroadcastExchange") < text.index("Exchange SinglePartition") and text.count("SinglePartition") == 1
+
+
+def test_messages_of_the_queries_are_computed_once(spark, plan, monkeypatch):
+    from checks import mime as queries
+    from maillake.operators import attachments, enrich
+
+    texts = []
+    for module, name in ((attachments, "save_files"), (enrich, "with_headers"), (queries.export, "to_export")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real: (texts.append(plan(a[0])), real(*a))[1])
+    for name in ("saved_attachment_files", "header_full_join_repeated", "export_records"):
+        getattr(queries, name)(spark, "/root/testdata/sf0.001")
+    assert len(texts) == 3
+    assert not any("MapInArrow" in t or "o_orderkey" in t for t in texts)
