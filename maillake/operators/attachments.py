@@ -97,7 +97,7 @@ def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", owne
     """Each distinct content once, partitioned by the first digits of its hash.
 
     ``attachments`` is the stored table of ``write_table``; its keys are those of ``inventory``. Only the first copy
-    of each content is moved, to as many tasks as leave each about ``owner_bytes``. Prefixes have at most
+    of each content is moved, to as many tasks as leave each ``owner_bytes`` or less. Prefixes have at most
     ``PREFIX_DIGITS`` digits; beyond that many folders, the contents of one are dealt over several tasks by their hash.
     """
     contents = attachments.groupBy("sha256").agg(F.first("size").alias("size"))
@@ -110,7 +110,9 @@ def write_store(attachments: DataFrame, path: str, mode: str = "overwrite", owne
     once = first_copies(attachments).select("sha256", "size", "payload").dropDuplicates(["sha256"])
     parts = max(1, -(-owners // 16 ** min(digits, PREFIX_DIGITS)))
     deal = F.pmod(F.xxhash64("sha256"), F.lit(int(parts)))
-    stored = once.withColumn("prefix", prefix).repartition(int(owners), "prefix", deal)
+    # Each folder is one task's as before, but few bytes are no reason to leave all folders to one task.
+    tasks = max(owners, min(int(once.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 ** min(digits, PREFIX_DIGITS)))
+    stored = once.withColumn("prefix", prefix).repartition(int(tasks), "prefix", deal)
     stored.write.mode(mode).partitionBy("prefix").parquet(path)
 
 

@@ -133,9 +133,10 @@ class ContentStore:
         small = skew.measured_bytes(wanted) <= skew.BROADCAST_BYTES
         fresh = attachments.join(F.broadcast(wanted) if small else wanted, F.col("sha256") == F.col("_new"), "left_semi")
         once = first_copies(fresh).select("sha256", "size", "payload").dropDuplicates(["sha256"])
-        # A folder's contents are dealt over as many tasks as keep each near FILE_BYTES, whatever the number of folders.
-        owners = max(1, -(-size // FILE_BYTES))
-        parts = max(1, -(-owners // 16**PREFIX_DIGITS))
+        # A folder's contents are dealt over as many tasks as keep each near FILE_BYTES, whatever the number of folders; a
+        # small batch has many folders to write as well, so it is not left to few tasks.
+        owners = max(-(-size // FILE_BYTES), min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 16**PREFIX_DIGITS))
+        parts = max(1, -(-size // (FILE_BYTES * 16**PREFIX_DIGITS)))
         deal = F.pmod(F.xxhash64("sha256"), F.lit(parts))
         prefixed = once.withColumn("prefix", F.left("sha256", F.lit(PREFIX_DIGITS)))
         dealt = prefixed.repartition(int(owners), "prefix", deal)

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from maillake.operators import content_store
+from maillake.operators import attachments, content_store
 from maillake.operators.content_store import ContentStore
 
 SCHEMA = "mailbox string, uid string, part_index int, size long, sha256 string, payload binary"
@@ -82,3 +82,12 @@ def test_a_batch_that_failed_is_not_read(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert held(store) == [("a", 0)]
     assert store.append(batch(spark, ["b", "a"])) == 1 and held(store) == [("a", 0), ("b", 1)]
+
+
+def test_folders_are_written_by_many_tasks(spark, tmp_path):
+    rows = batch(spark, [f"c{i}" for i in range(200)])
+    ContentStore(spark, str(tmp_path / "s")).append(rows)
+    attachments.write_store(rows, str(tmp_path / "t"))
+    for files in ((tmp_path / "s" / "contents").rglob("*.parquet"), (tmp_path / "t").rglob("*.parquet")):
+        found = [(f.parent.name, f.name.split("-")[1]) for f in files]
+        assert len({task for _, task in found}) > 1 and len({folder for folder, _ in found}) == len(found)
