@@ -607,6 +607,7 @@ def classes(
     docs: DataFrame, tables: Scratch, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY
 ) -> DataFrame:
     """``doc_id``, ``digest``, ``class_id`` and ``class_size`` of every row; the digest is null for null texts."""
+    others = set(tables.written)
     frequent = frequent_shingles(docs, text)
     signed = tables.write(signatures(docs, frequent, key, text), "signatures")
     nodes = signed.groupBy(F.col("digest").alias("node")).agg(
@@ -626,6 +627,7 @@ def classes(
     rows = tables.write(rows, "rows")
     counted = rows.groupBy("component").agg(F.count(F.lit(1)).alias("class_size"))
     counted = tables.write(counted.withColumnRenamed("component", "_component"), "class-sizes")
+    tables.drop(*(set(tables.written) - others - {"rows", "class-sizes"}))
     often = skew.heavy_keys(rows, "component", HOT_ROWS)
     found = skew.lookup(rows, counted, "component", "_component", ["doc_id"], often, "inner")
     found = found.select("doc_id", "digest", "class_id", "class_size")
@@ -645,12 +647,15 @@ def deduplicate(docs: DataFrame, tables: Scratch, key: str = "doc_id", text: str
     """
     row = F.struct(*docs.columns).alias("row")
     packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row)
+    others = set(tables.written)
     found = tables.write(classes(packed, tables, threshold=threshold), "classes")
+    tables.drop(*(set(tables.written) - others - {"classes"}))
+    # One key for digest and document: the rows, with their texts, are shuffled by it once for both the join and the last step.
+    place = F.concat("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place")
     keep = found.where(F.col("digest").isNotNull()).groupBy("class_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")
     )
-    keep = keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.digest").alias("keep_digest"))
+    keep = keep.select("k.doc_id", "k.digest").select(place)
     marked = packed.where(F.col("text").isNotNull()).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    same = (F.col("digest") == F.col("keep_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    left = marked.join(keep, same, "left_semi").dropDuplicates(["digest", "doc_id"]).select("row")
+    left = marked.select(place, "row").join(keep, "place", "left_semi").dropDuplicates(["place"]).select("row")
     return left.unionByName(packed.where(F.col("text").isNull()).select("row")).select("row.*")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,22 @@ def test_one_row_of_each_class_stays(spark):
     assert got == ["1", "1", "3", "9", "None"]
 
 
+def test_rows_are_shuffled_once_and_tables_of_the_search_go(spark, plan):
+    rows = [(i, text_of(i % 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    tables = scratch(spark, "test")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = nd.deduplicate(docs, tables)
+        shuffles = plan(kept).count("Exchange hashpartitioning")
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffles == 3  # classes, rows to keep, rows
+    assert [p.name for p in Path(tables.root.removeprefix("file:")).iterdir()] == ["classes"]
+
+
 def test_a_crowded_bucket_loses_no_pair(spark, monkeypatch):
     """Texts that share one band only meet in no other bucket, so all members of that one have to be compared."""
     base, rng = text_of(8), np.random.default_rng(9)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,21 @@ def test_messages_of_the_queries_are_computed_once(spark, plan, monkeypatch):
         getattr(queries, name)(spark, "/root/testdata/sf0.001")
     assert len(texts) == 3
     assert not any("MapInArrow" in t or "o_orderkey" in t for t in texts)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    stored = lineage.Scratch(spark, "job").write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert spark.conf.get(setting) == before
+    assert sorted(tuple(r) for r in stored.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    last = spark.sparkContext._jsc.sc().newShuffleId() - 1
+
+    def files():
+        return [b.name() for b in (all_.apply(i) for all_ in [blocks.getAllBlocks()] for i in range(all_.size())) if b.name().startswith(f"shuffle_{last}_")]
+
+    until = time.monotonic() + 20
+    while files() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert files() == []
