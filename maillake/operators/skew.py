@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HEAVY_SHARE = 0.001
 HEAVY_ROWS = 1_000_000
 SALTS = 64
+SLOTS = 1 << 14  # of keys that are counted together first
 
 
 def _text_of(field: T.StructField) -> Column | None:
@@ -48,6 +51,22 @@ def heavy_keys(
     return [r[key] for r in counts.where(F.col("n") >= bound).select(key).collect()]
 
 
+def heavy_keys_stored(df: DataFrame, key: str, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
+    """The same keys from a stored table, without a shuffle of all of them.
+
+    A key has no more rows than the slot its hash falls into, so only keys of slots with enough rows are counted exactly.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    total = keyed.count()
+    bound = max(rows, total * share)
+    if total < bound or total < 64 * SLOTS:  # few rows are grouped by their key at once
+        return heavy_keys(keyed, key, rows, share, total)
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    counts = keyed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    full = [r["slot"] for r in counts.where(F.col("n") >= bound).collect()]
+    return heavy_keys(keyed.where(slot.isin(full)), key, math.ceil(bound), 0.0, total) if full else []
+
+
 def heavy_counts(counts: DataFrame, key: str, n: str, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
     """The same from a stored table of the keys and their numbers of rows."""
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]

@@ -26,7 +26,8 @@ NO_ID = " row:"
 
 
 def _spread_lookup(left: DataFrame, right: DataFrame, key: str, right_key: str, by: list[str], heavy_rows: int, how: str) -> DataFrame:
-    return skew.lookup(left, right, key, right_key, by, skew.heavy_keys(left, key, heavy_rows), how)
+    """``left`` has to be a stored table."""
+    return skew.lookup(left, right, key, right_key, by, skew.heavy_keys_stored(left, key, heavy_rows), how)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components", heavy_rows: int = skew.HEAVY_ROWS) -> DataFrame:
@@ -51,8 +52,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", hea
             break
         ends = left.union(left.select(F.col("b"), F.col("a"))).toDF("node", "other")
         near = ends.groupBy("node").agg(F.min("other").alias("label"))
-        labels = put(near.select("node", F.least("node", "label").alias("label")), f"labels-{round_}-0")
-        labels = _followed(labels, put, f"labels-{round_}", heavy_rows)
+        near = near.select("node", F.least("node", "label").alias("label"), (F.col("node") <= F.col("label")).alias("settled"))
+        labels = _followed(near, put, f"labels-{round_}", heavy_rows)
         moves.append((labels, written[-1]))
         for end in ("a", "b"):
             target = labels.toDF("_at", "_next")
@@ -77,15 +78,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", hea
     return final.withColumnRenamed("label", "component")
 
 
-def _followed(labels: DataFrame, put: Callable[[DataFrame, str], DataFrame], name: str, heavy_rows: int) -> DataFrame:
-    """Labels followed to their ends: no label is above its node, so there are no cycles."""
+def _followed(near: DataFrame, put: Callable[[DataFrame, str], DataFrame], name: str, heavy_rows: int) -> DataFrame:
+    """Labels followed to their ends: no label is above its node, so there are no cycles.
+
+    A node is ``settled`` once its label is known to be an end; only the others are looked up again. After jump j all nodes
+    less than 2 ** j labels away from their end are settled, so no jump is made only to see that nothing moves.
+    """
+    labels = put(near, f"{name}-0")
     for jump in range(1, MOST_ROUNDS):
-        moved = _spread_lookup(labels, labels.toDF("_at", "_next"), "label", "_at", ["node"], heavy_rows, "inner")
-        moved = moved.select("node", F.col("_next").alias("label"), (F.col("_next") != F.col("label")).alias("moved"))
-        stored = put(moved, f"{name}-{jump}")
-        labels = stored.select("node", "label")
-        if stored.where("moved").isEmpty():
-            return labels
+        left = labels.where("not settled")
+        if left.isEmpty():
+            return labels.select("node", "label")
+        moved = _spread_lookup(left, labels.toDF("_at", "_next", "_settled"), "label", "_at", ["node"], heavy_rows, "inner")
+        moved = moved.select("node", F.col("_next").alias("label"), F.col("_settled").alias("settled"))
+        labels = put(labels.where("settled").union(moved), f"{name}-{jump}")
     raise RuntimeError("labels did not settle")
 
 
@@ -135,13 +141,15 @@ def reference_threads(
         "members",
     )
     first = F.min(F.struct(F.col("sent") == "", "sent", *order, "topic")).alias("first")
-    groups = member.groupBy("component").agg(F.max("begins").alias("begun"), first)
-    # Referred ids count for the name, whether their messages are there or not.
-    least = found.where(~F.col("node").startswith(NO_ID)).groupBy("component").agg(F.min("node").alias("name"))
+    groups = member.groupBy("component").agg(F.max("begins").alias("begun"), first, F.count(F.lit(1)).alias("rows"))
+    # Referred ids count for the name, whether their messages are there or not. Any other component is named by its least id already.
+    unnamed = F.col("component").startswith(NO_ID) & ~F.col("node").startswith(NO_ID)
+    least = found.where(unnamed).groupBy("component").agg(F.min("node").alias("name"))
     named = groups.join(least.withColumnRenamed("component", "_of"), F.col("component") == F.col("_of"), "left")
     named = scratch.write(
         named.select(
             "component",
+            "rows",
             F.coalesce("name", "component").alias("name"),
             F.when(~F.col("begun") & (F.col("first.topic") != ""), _topic_key(F.col("first.topic"), F.col("first.sent"))).alias("key"),
         ),
@@ -157,7 +165,8 @@ def reference_threads(
         joined.select(F.col("component").alias("_of"), F.coalesce("_name", "name").alias("thread_id"), F.col("_name").isNotNull().alias("merged")),
         "threads",
     )
-    out = _spread_lookup(member, threads, "component", "_of", list(order), heavy_rows, "left")
+    often = skew.heavy_counts(named, "component", "rows", heavy_rows)
+    out = skew.lookup(member, threads, "component", "_of", list(order), often, "left")
     return out.select(*order, "message_id", "thread_id", "merged")
 
 

@@ -127,3 +127,37 @@ def test_a_hub_is_spread_over_tasks(spark, monkeypatch):
     found = threads.reference_threads(mail, heavy_rows=50)
     assert found.count() == 1000
     assert seen and all(most < 0.2 * total for total, most in seen if total > 100)
+
+
+def test_settled_labels_are_not_looked_up_again(spark, monkeypatch):
+    """A chain of 32 in order: its labels are 0 to 31 steps from the end, so 30, 28, 24 and 16 are left after a jump."""
+    seen = []
+    plain = threads._spread_lookup
+
+    def watched(left, right, key, *rest):
+        if key == "label":
+            seen.append(left.count())
+        return plain(left, right, key, *rest)
+
+    monkeypatch.setattr(threads, "_spread_lookup", watched)
+    df = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(31)], "a string, b string")
+    found = threads.components(df, Scratch(spark, "test"))
+    assert {r["node"]: r["component"] for r in found.collect()} == {f"{i:02d}": "00" for i in range(32)}
+    assert seen == [31, 30, 28, 24, 16]
+
+
+@pytest.mark.parametrize("slots", [1, 4, skew.SLOTS])
+def test_heavy_keys_of_a_stored_table(spark, monkeypatch, slots):
+    monkeypatch.setattr(skew, "SLOTS", slots)
+    keys = [f"k{i % 90}" for i in range(900)] + ["hot"] * 100 + ["warm"] * 50 + [None] * 200
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    for rows, share in ((1, 0.001), (11, 0.001), (51, 0.001), (1, 0.05), (101, 0.001), (10**6, 0.001)):
+        assert set(skew.heavy_keys_stored(df, "key", rows, share)) == set(skew.heavy_keys(df, "key", rows, share))
+
+
+def test_ids_below_the_keys_of_messages_without_one(spark):
+    """An id may begin with a control character, which sorts before those keys; names are ids all the same."""
+    rows = [(0, 1, None, "\x01a@x", ["b@x"], "", None), (0, 2, None, "b@x", None, "", None), (0, 3, None, "c@x", ["d@x"], "", None),
+            (0, 4, None, None, None, "", None)]
+    found = {r["uid_n"]: r["thread_id"] for r in threads.reference_threads(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1] == found[2] == "\x01a@x" and found[3] == "c@x" and found[4].startswith(threads.NO_ID)
