@@ -333,7 +333,7 @@ select uid, mailbox, 'p' || page_id || '@mail.example' as message_id,
     '\\Seen' as flags, '2024-02-01T00:00:00Z' as fetch_ts_utc, null::varchar as provider_thread_id, 23::bigint as fields from good"""
 
 
-def _exported(spark, sf_dir):
+def _exported(spark, sf_dir, headers=None):
     # Parsed once: the look-up of customers reads the messages more than once, as in ``ExportJob``.
     parsed = export.slim(mime.parse_messages(views.raw_mail(spark, sf_dir)), False)
     good, _ = quality.split_bad_rows(Scratch(spark, "export-parsed").write(parsed, "staging"))
@@ -342,7 +342,7 @@ def _exported(spark, sf_dir):
         "case when c_custkey % 2 = 0 then 's' else 'lead' end || c_custkey || '@shop.example' as email",
         "case when c_custkey = 0 then '' else 'CRM-' || c_custkey end as customer_id",
     )
-    return export.to_export(flagged, crm, views.AGENCY, "acme", "2024-02-01T00:00:00Z")
+    return export.to_export(flagged, crm, views.AGENCY, "acme", "2024-02-01T00:00:00Z", ("mailbox", "uid"), headers)
 
 
 def _export_columns(df, fields):
@@ -356,10 +356,22 @@ def _export_columns(df, fields):
     )
 
 
+def _read_lines(spark, path):
+    """Exported lines with their fields counted, nulls included."""
+    read = spark.read.text(path).select(
+        F.from_json("value", schemas.EXPORT).alias("record"), F.size(F.json_object_keys("value")).alias("keys")
+    )
+    return _export_columns(read.select("record.*", "keys"), F.col("keys"))
+
+
 @query("export_records", EXPORT_SQL)
 def export_records(spark, sf_dir):
-    found = _exported(spark, sf_dir).drop("mailbox_ord", "uid_n")
-    return _export_columns(found, F.lit(len(found.columns)))
+    """A header pass, then the full messages to records, written in order as NDJSON and read back."""
+    tables = Scratch(spark, "export-records")
+    headers, _ = quality.split_bad_rows(mime.parse_headers(views.raw_mail(spark, sf_dir)))
+    found = export.in_order(_exported(spark, sf_dir, tables.write(headers, "headers")))
+    sinks.write_ndjson(found.select(*schemas.EXPORT_FIELDS), tables.path("messages"))
+    return _read_lines(spark, tables.path("messages"))
 
 
 @query("export_ndjson", EXPORT_SQL)
@@ -367,10 +379,7 @@ def export_ndjson(spark, sf_dir):
     """The export written as NDJSON and read back; every line must hold every field, nulls included."""
     path = Scratch(spark, "export").path("messages")
     sinks.write_ndjson(_exported(spark, sf_dir).drop("mailbox_ord", "uid_n"), path)
-    read = spark.read.text(path).select(
-        F.from_json("value", schemas.EXPORT).alias("record"), F.size(F.json_object_keys("value")).alias("keys")
-    )
-    return _export_columns(read.select("record.*", "keys"), F.col("keys"))
+    return _read_lines(spark, path)
 
 
 FLOW_SQL = f"""{RAW}, good as (select *, 's' || (page_id % 13) || '@shop.example' as customer from raw where v < 7)

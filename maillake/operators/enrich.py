@@ -71,3 +71,15 @@ def with_known_conversation(full: DataFrame, known: DataFrame, keys: tuple[str,
     joined = full.join(earlier, list(keys), "left")
     usable = F.when(F.col("_known") != "", F.col("_known"))
     return joined.withColumn("conversation_id", F.coalesce(usable, "conversation_id")).drop("_known")
+
+
+def with_header_index(full: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("mailbox", "uid")) -> DataFrame:
+    """``with_headers`` and the look-up of a conversation id (``_known``, null where there is none) in one join.
+
+    ``index`` has the header records of an earlier pass and their ``conversation_id``.
+    """
+    single = last_of_each(index, keys, F.struct(*HEADER_COLUMNS, "conversation_id"), "_headers")
+    joined = full.join(single, list(keys), "left")
+    kept = {c: F.when(F.col("_headers").isNotNull(), F.col(f"_headers.{c}")).otherwise(F.col(c)) for c in HEADER_COLUMNS}
+    usable = F.when(F.col("_headers.conversation_id") != "", F.col("_headers.conversation_id"))
+    return joined.withColumns({**kept, "_known": usable}).drop("_headers")

@@ -27,12 +27,19 @@ def to_export(
     tenant: str = "default",
     fetch_ts_utc: str | None = None,
     keys: tuple[str, ...] = ("mailbox", "uid"),
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Parsed messages -> the 23 export fields (plus ``mailbox_ord`` and ``uid_n`` where present).
 
-    ``flags`` and ``provider_thread_id`` are taken along when the raw table had them.
+    ``flags`` and ``provider_thread_id`` are taken along when the raw table had them. ``headers`` are the records of a
+    header pass: a message has the header and the conversation id found there, and its own ones where there are none.
+    Without them the full messages, parsed once, give both.
     """
-    keyed = people.with_roles(parsed, agency_domains)
+    if headers is None:
+        keyed = people.with_roles(parsed, agency_domains)
+    else:
+        full = enrich.with_header_index(parsed, people.with_roles(headers, agency_domains), keys)
+        keyed = people.with_roles(full, agency_domains).withColumn("conversation_id", F.coalesce("_known", "conversation_id"))
     full = enrich.with_customer_id(keyed, crm, tenant, keys)
     if "flags" not in full.columns:
         full = full.withColumn("flags", F.array().cast("array<string>"))

@@ -186,6 +186,42 @@ def test_export_takes_flags_and_thread_along(spark, landed):
     assert run_timestamp().endswith("Z")
 
 
+def test_export_takes_the_headers_of_an_earlier_pass(spark, landed):
+    from maillake.operators import mime
+
+    raw = messages.read_raw(spark, landed, "eml").where("mailbox = 'INBOX'").withColumn("mailbox_ord", F.lit(0))
+    parsed = mime.parse_messages(raw).where("error is null")
+    crm = side_inputs.read_crm_map(spark, None)
+    alone = {r["uid"]: r for r in to_export(parsed, crm, ["agency.example"]).collect()}
+    box = F.struct(F.lit("").alias("name"), F.lit("other@shop.example").alias("email"))
+    earlier = mime.parse_headers(raw).where("uid = '1'").withColumns({"subject": F.lit("earlier"), "from": box, "date_utc": F.lit(None).cast("string")})
+    gone = earlier.withColumn("uid", F.lit("99"))
+    out = to_export(parsed, crm, ["agency.example"], headers=earlier.unionByName(gone).unionByName(earlier)).collect()
+    got = {r["uid"]: r for r in out}
+    assert len(out) == len(alone) and got.keys() == alone.keys()
+    one = got.pop("1")
+    assert (one["subject"], one["customer_id"], one["date_utc"]) == ("earlier", "other@shop.example", None)
+    assert one["body_text"] == alone["1"]["body_text"] and one["conversation_id"] not in (None, alone["1"]["conversation_id"])
+    same = [f for f in schemas.EXPORT_FIELDS if f != "fetch_ts_utc"]
+    assert all(r[f] == alone[uid][f] for uid, r in got.items() for f in same)
+
+
+def test_records_are_written_in_order_as_lines_and_read_back(spark, tmp_path):
+    from checks import mime as queries
+
+    pages = [(i, f"https://a.example/{i}", f"<p>page {i}</p>") for i in (12, 3, 21, 4, 1, 10, 2, 8, 7)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(2,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    out = queries.export_records(spark, str(tmp_path))
+    files = sorted(f.removeprefix("file://") for f in out.inputFiles())
+    lines = [json.loads(line) for f in files for line in open(f, encoding="utf-8")]
+    assert all(list(line) == list(schemas.EXPORT_FIELDS) for line in lines)
+    places = {"INBOX": 0, "INBOX.Sent": 1, "Archive": 2}
+    order = [(places[line["mailbox"]], int(line["uid"][1:]), line["uid"]) for line in lines]
+    assert order == sorted(order) and len(order) > len(pages)
+    assert {(r["uid"], r["subject"], r["fields"]) for r in out.collect()} == {(line["uid"], line["subject"], 23) for line in lines}
+
+
 def test_profile_plan(spark, landed):
     counts, summary = mailbox_profile(spark, landed, ["INBOX", "None"], "eml")
     assert {r["mailbox"]: r["messages"] for r in counts.collect()} == {"INBOX": 5, "None": -1}
