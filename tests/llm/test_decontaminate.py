@@ -145,6 +145,50 @@ def test_empty_tables_and_clashing_columns(spark):
     assert row["item_ids"] == [7] and row["overlap"] == 1.0 and row["text"] == item and row["c0"] == 4
 
 
+def blocks(stored):
+    kinds = (np.uint16, np.uint8, np.uint8)
+    rows = stored.where("terms is not null").select("terms", "times", "sizes").collect()
+    return [tuple(np.frombuffer(data, kind) for data, kind in zip(row, kinds)) for row in rows]
+
+
+def test_the_space_is_fitted_on_all_passages(spark):
+    texts = spark.range(26_000).selectExpr("array_join(transform(sequence(1, 50), i -> concat('w', id * i % 9973)), ' ') as text")
+    own = blocks(dc.passages(texts))
+    assert sum(len(sizes) for _, _, sizes in own) == 52_000  # of 48 words and of 2 words
+    assert sum(int(times.sum()) for _, times, _ in own) == 1_300_000
+
+
+def test_products_with_all_passages_against_dense_matrices(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_PASSAGES", 9)
+    rng = random.Random(21)
+    vocabulary = text_of(22, 300).split(" ")
+    docs = [" ".join(rng.choice(vocabulary[: rng.choice([5, 300])]) for _ in range(rng.choice([0, 1, 7, 48, 49, 500]))) for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in [*docs, None]], "text string").repartition(3)
+    tables = scratch(spark, "test")
+    stored = tables.write(dc.passages(frame), "passages")
+    counts, total, n = dc.term_counts(stored)
+    hashed = [dc.terms_of(words).tolist() for words in dc._hashed(docs)]
+    assert total == 61 and n == sum(map(len, hashed))
+    assert all(counts[t] == sum(t in own for own in hashed) for own in hashed for t in own)
+    idf = dc.idf_of(counts, total)
+    matrix = []
+    for own in hashed:
+        for at in range(0, len(own), dc.PASSAGE):
+            row = np.zeros(dc.TERMS)
+            for t in set(part := own[at : at + dc.PASSAGE]):
+                row[t] = (1 + np.log(part.count(t))) * idf[t]
+            matrix.append(row / np.linalg.norm(row))
+    matrix = np.array(matrix)
+    q = np.random.default_rng(3).standard_normal((dc.TERMS, 6)).astype(np.float32)
+    rows = stored.where("terms is not null").select("terms", "times", "sizes")
+    got = dc._gram_product(rows, idf, q, tables, "product")
+    assert np.allclose(got, matrix.T @ (matrix @ q), atol=1e-3)
+
+
+def test_items_and_documents_of_a_few_words_are_part_of_the_fit(spark):
+    assert found(spark, [(1, "seven plain words make this short text"), (2, "others")], [(5, "seven plain words make this short text")]) == [(1, [5]), (2, [])]
+
+
 def test_answers():
     assert dc.answer_of("What? Answer: forty two") == "forty two"
     assert dc.answer_of("One thing. Last words here.") == "Last words here"
