@@ -76,3 +76,11 @@ def test_empty_and_clashing_columns(spark):
                 assert set(rows.columns) <= set(out.columns)
             else:
                 assert out.columns == rows.columns and rows_of(out) == rows_of(rows)
+
+
+def test_documents_of_a_few_words_that_hold_an_item_go(spark, tmp_path):
+    item = "seven plain words make this short text"
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, item, "a"), (2, "others", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    kept = cp.decontaminate(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
