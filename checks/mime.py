@@ -333,10 +333,10 @@ select uid, mailbox, 'p' || page_id || '@mail.example' as message_id,
     '\\Seen' as flags, '2024-02-01T00:00:00Z' as fetch_ts_utc, null::varchar as provider_thread_id, 23::bigint as fields from good"""
 
 
-def _exported(spark, sf_dir, headers=None):
+def _exported(spark, sf_dir, headers=None, tables=None):
     # Parsed once: the look-up of customers reads the messages more than once, as in ``ExportJob``.
     parsed = export.slim(mime.parse_messages(views.raw_mail(spark, sf_dir)), False)
-    good, _ = quality.split_bad_rows(Scratch(spark, "export-parsed").write(parsed, "staging"))
+    good, _ = quality.split_bad_rows((tables or Scratch(spark, "export-parsed")).write(parsed, "staging"))
     flagged = good.withColumn("flags", F.array(F.lit("\\Seen")))
     crm = views.table(spark, sf_dir, "customer").selectExpr(
         "case when c_custkey % 2 = 0 then 's' else 'lead' end || c_custkey || '@shop.example' as email",
@@ -369,8 +369,11 @@ def export_records(spark, sf_dir):
     """A header pass, then the full messages to records, written in order as NDJSON and read back."""
     tables = Scratch(spark, "export-records")
     headers, _ = quality.split_bad_rows(mime.parse_headers(views.raw_mail(spark, sf_dir)))
-    found = export.in_order(_exported(spark, sf_dir, tables.write(headers, "headers")))
-    sinks.write_ndjson(found.select(*schemas.EXPORT_FIELDS), tables.path("messages"))
+    found = tables.write(_exported(spark, sf_dir, tables.write(headers, "headers"), tables), "records")
+    # Wide rows are shuffled by the look-up and by the sort; what a step does not read any more goes before the next one.
+    tables.drop("staging", "headers")
+    sinks.write_ndjson(export.in_order(found).select(*schemas.EXPORT_FIELDS), tables.path("messages"))
+    tables.drop("records")
     return _read_lines(spark, tables.path("messages"))
 
 
